@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import decontaminate, placement, quality
 from .common import ship, table
 
 
@@ -14,8 +14,16 @@ def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placement.op7(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op8_adaptive_quality]
+    found = [op4_benchmark_decontamination, op7_shard_placement, op8_adaptive_quality]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_adaptive_quality": quality.ORACLE}
+    return {"op4_benchmark_decontamination": decontaminate.ORACLE, "op7_shard_placement": placement.oracle(), "op8_adaptive_quality": quality.ORACLE}
