@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, placement, quality
+from . import decontaminate, packing, placement, quality, tokens
 from .common import ship, table
 
 
@@ -18,12 +18,16 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op5(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
 def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.op7(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_benchmark_decontamination, op7_shard_placement, op8_adaptive_quality]
+    found = [op4_benchmark_decontamination, op5_sequence_packing, op7_shard_placement, op8_adaptive_quality]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
