@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, placement, quality, tokens
+from . import decontaminate, packing, placement, quality, token_store, tokens
 from .common import ship, table
 
 
@@ -14,6 +14,10 @@ def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(table(spark, sf_dir, "documents"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.op2(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,7 +31,7 @@ def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_benchmark_decontamination, op5_sequence_packing, op7_shard_placement, op8_adaptive_quality]
+    found = [op2_token_store, op4_benchmark_decontamination, op5_sequence_packing, op7_shard_placement, op8_adaptive_quality]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
