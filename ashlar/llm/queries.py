@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, placement, quality, token_store, tokens
+from . import decontaminate, packing, placement, quality, token_store, tokens, warc
 from .common import ship, table
 
 
@@ -26,12 +26,16 @@ def op5_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op5(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op6(table(spark, sf_dir, "pages"))
+
+
 def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.op7(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_store, op4_benchmark_decontamination, op5_sequence_packing, op7_shard_placement, op8_adaptive_quality]
+    found = [op2_token_store, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": decontaminate.ORACLE, "op7_shard_placement": placement.oracle(), "op8_adaptive_quality": quality.ORACLE}
+    return {"op4_benchmark_decontamination": decontaminate.ORACLE, "op6_warc_archive": warc.ORACLE, "op7_shard_placement": placement.oracle(), "op8_adaptive_quality": quality.ORACLE}
