@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, placement, quality, token_store, tokens, warc
+from . import decontaminate, language, packing, placement, quality, token_store, tokens, warc
 from .common import ship, table
 
 
@@ -18,6 +18,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op2(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
 
+def op3_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,7 +39,7 @@ def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_store, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality]
+    found = [op2_token_store, op3_language_profiles, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
