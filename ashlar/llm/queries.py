@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language, packing, placement, quality, token_store, tokens, warc
+from . import decontaminate, html_extract, language, packing, placement, quality, substrings, token_store, tokens, warc
 from .common import ship, table
 
 
@@ -38,12 +38,16 @@ def op7_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.op7(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.op10(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_store, op3_language_profiles, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality, op10_main_text]
+    found = [op2_token_store, op3_language_profiles, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality, op9_repeated_substrings, op10_main_text]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
