@@ -7,54 +7,87 @@ places where the library's own splitting always has a boundary, whatever stands
 * ``spaced``: before each single space that stands between two bytes that are not ASCII white space (the space opens
   the next part).
 
-So the ids of a text are the ids of its parts in order. Parts are encoded by the library and kept in two dictionaries,
-the newer of which replaces the older when it holds MOST_PARTS: parts that recur stay, memory is bounded, and results
-do not depend on it.
+So the ids of a text are the ids of its parts in order. A part that is letters of ASCII or Latin-1 with punctuation
+after them has a boundary between the two as well, and its letters are merged by the library's model alone; the library
+encodes any other part as a whole. Parts are kept in two dictionaries, the newer of which replaces the older when it
+holds MOST_PARTS: parts that recur stay, memory is bounded, and results do not depend on it.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
-import numpy as np
-
-MOST_PARTS = 350_000
+#: Entries in each of the two generations of parts, and of words without their marks; about 200 bytes an entry.
+MOST_PARTS, MOST_WORDS = 200_000, 500_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 
-_ODD = re.compile(rb"\s | \s|\A | \Z")
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: White space next to a single space, or a space at either end.
+_ODD = [a + b for w in b" \t\n\r\x0b\x0c" for a, b in ((bytes([w]), b" "), (b" ", bytes([w])))][1:]
+#: No white space, ASCII or other.
+_BARE = re.compile(rb"[!-~\xc3\x80-\xbf]*[!-~][!-~\xc3\x80-\xbf]*")
 _CUT = re.compile(rb"(?<=[^\s]) (?=[^\s])")
+#: Byte -> the letter that stands for it in a byte-level vocabulary: itself if it can be printed, else the next from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTER = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 _KEPT: dict[tuple[str, str], "Encoder"] = {}
 
 
-class _Parts:
-    def __init__(self, library, before: bytes):
-        self.library, self.before = library, before
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+class _Parts(dict):
+    """Part (UTF-8) -> its ids, two bytes each; makes what it lacks."""
 
-    def learn(self, parts: set[bytes]) -> dict[bytes, bytes]:
-        """A dictionary that has all of ``parts``."""
-        missing = []
-        for p in parts.difference(self.new):
-            if (ids := self.old.get(p)) is None:
-                missing.append(p)
+    def __init__(self, library, before: str, lower: bool):
+        self.library, self.model, self.before, self.lower = library, library.model, before, lower
+        self.shown = before.encode().decode("latin-1").translate(_LETTER)
+        self.old: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.old_letters: dict[str, bytes] = {}
+        self.after_line, self.line = self, None
+        self.marks: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}H", *ids)
+
+    def __missing__(self, part: bytes) -> bytes:
+        if (ids := self.old.get(part)) is None:
+            text = part.decode("utf-8", "replace")
+            if m := _PLAIN.fullmatch(text):
+                word, marks = m.groups()
+                if self.lower:
+                    word = word.lower()
+                if (ids := self.letters.get(word)) is None:
+                    if (ids := self.old_letters.get(word)) is None:
+                        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
+                        found = [t.id for t in self.model.tokenize(self.shown + shown)]
+                        ids = pack(f"<{len(found)}H", *found)
+                    self.letters[word] = ids
+                if marks:
+                    if (more := self.marks.get(marks)) is None:
+                        more = self.marks[marks] = self.whole(marks)
+                    ids = ids + more
+            elif b"\n" in part and all(map(_BARE.fullmatch, lines := part.split(b"\n"))):
+                # A single line feed between other characters is a token of its own, and what follows has no space before it.
+                if self.line is None:
+                    self.line = self.whole("\n")
+                return self[lines[0]] + b"".join(self.line + self.after_line[x] for x in lines[1:])
             else:
-                self.new[p] = ids
-        known = self.new
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for part, e in zip(some, self.library.encode_batch_fast([(self.before + p).decode("utf-8", "replace") for p in some], add_special_tokens=False)):
-                known[part] = np.array(e.ids, dtype="<u2").tobytes()
-        return known
-
-    def forget(self, parts: set[bytes]) -> None:
-        for p in parts:
-            if len(p) > LONGEST_PART:
-                self.new.pop(p, None)
-        if len(self.new) > MOST_PARTS:
-            self.old, self.new = self.new, {}
+                ids = self.whole(self.before + text)
+        if len(part) <= LONGEST_PART:
+            self[part] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > MOST_PARTS:
+            self.old = dict(self)
+            self.clear()
+        if len(self.letters) > MOST_WORDS:
+            self.old_letters, self.letters = self.letters, {}
+        if len(self.marks) > MOST_PARTS:
+            self.marks = {}
 
 
 class Encoder:
@@ -67,31 +100,24 @@ class Encoder:
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as two bytes each")
         self.spaced = {"words": False, "spaced": True}[kind]
-        self.first = _Parts(self.library, b"")
-        self.rest = _Parts(self.library, b" " if self.spaced else b"")
+        self.first = _Parts(self.library, "", False)
+        self.rest = _Parts(self.library, " ", False) if self.spaced else _Parts(self.library, "", True)
+        self.rest.after_line = self.first
+
+    def one(self, text: bytes) -> bytes:
+        """Little-endian two-byte ids of a text (UTF-8)."""
+        self.rest.trim()
+        if not self.spaced:
+            return b"".join(map(self.rest.__getitem__, text.split()))
+        if not text:
+            return b""
+        odd = text[:1] == b" " or text[-1:] == b" " or any(x in text for x in _ODD)
+        parts = _CUT.split(text) if odd else text.split(b" ")
+        self.first.trim()
+        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian two-byte ids of each text (UTF-8)."""
-        out = []
-        for i in range(0, len(texts), 256):
-            block = texts[i : i + 256]
-            if self.spaced:
-                cut = [(_CUT.split(t) if _ODD.search(t) else t.split(b" ")) if t else [] for t in block]
-                heads = {c[0] for c in cut if c}
-            else:
-                cut, heads = [t.split() for t in block], set()
-            tails = set()
-            for parts in cut:
-                tails.update(parts[1:] if self.spaced else parts)
-            first, rest = self.first.learn(heads), self.rest.learn(tails)
-            for parts in cut:
-                if self.spaced and parts:
-                    out.append(first[parts[0]] + b"".join(map(rest.__getitem__, parts[1:])))
-                else:
-                    out.append(b"".join(map(rest.__getitem__, parts)))
-            self.first.forget(heads)
-            self.rest.forget(tails)
-        return out
+        return [self.one(t) for t in texts]
 
 
 def encoder(path: str, kind: str) -> Encoder:
