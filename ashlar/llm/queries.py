@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, language, packing, placement, quality, substrings, token_store, tokens, warc
+from . import decontaminate, html_extract, language, packing, placement, quality, shingle_join, substrings, token_store, tokens, warc
 from .common import ship, table
 
 
@@ -14,6 +14,10 @@ def op8_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op8(table(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.op2(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_store, op3_language_profiles, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality, op9_repeated_substrings, op10_main_text]
+    found = [op1_ngram_jaccard_join, op2_token_store, op3_language_profiles, op4_benchmark_decontamination, op5_sequence_packing, op6_warc_archive, op7_shard_placement, op8_adaptive_quality, op9_repeated_substrings, op10_main_text]
 
     def shipped(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
