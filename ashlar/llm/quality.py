@@ -124,11 +124,15 @@ def verdicts(binned: DataFrame, limits: DataFrame, by: tuple[str, ...] = ("lang"
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    inside = F.lit(True)
+    # Each comparison needs the joined limits, so that a filter on `kept` stays above the join: pushed below, it would
+    # take the place of the columns that hold words and measure the text again for every word.
+    failed = F.col("base_failed").cast("int") * (10 * BINS)
+    kept = None
     for name in MEASURES:
-        inside = inside & (F.col(name) <= F.col(f"{name}_hi")) & (F.col(name) >= F.col(f"{name}_lo"))
+        inside = (F.col(name) + failed <= F.col(f"{name}_hi")) & (F.col(name) >= F.col(f"{name}_lo"))
+        kept = inside if kept is None else kept & inside
     drop = [*[f"_by_{c}" for c in by], *[f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]]
-    return binned.join(limits, on, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(*drop)
+    return binned.join(limits, on, "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop(*drop)
 
 
 def measures_of(docs: DataFrame, at: str) -> DataFrame:
