@@ -1,18 +1,438 @@
-"""The registered queries of this package and the SQL that each is held against."""
+"""The registered queries of this package and the SQL (DuckDB) that each is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import binexpr as B
+from ..functions import classify as C
+from ..operators import archive, codec, geometry, stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    from ..functions.ship import ship
+
+    def shipped(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {k: shipped(f) for k, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").cast("binary").alias("content"))
+
+
+_HEX = "hex(encode(coalesce(text, '')))"
+_FORMAT = """CASE WHEN h LIKE '89504E470D0A1A0A%' THEN 'png' WHEN h LIKE 'FFD8FF%' THEN 'jpeg' WHEN h LIKE '474946383761%' OR h LIKE '474946383961%' THEN 'gif'
+  WHEN h LIKE '424D%' THEN 'bmp' WHEN h LIKE '44445320%' THEN 'dds' WHEN h LIKE 'AB4B5458203230BB0D0A1A0A%' THEN 'ktx2' WHEN h LIKE 'AB4B5458203131BB0D0A1A0A%' THEN 'ktx'
+  WHEN h LIKE '52494646%' AND substr(h, 17, 8) = '57415645' THEN 'wav' WHEN h LIKE '52494646%' THEN 'riff' WHEN h LIKE '4F676753%' THEN 'ogg' WHEN h LIKE '664C6143%' THEN 'flac'
+  WHEN h LIKE '494433%' THEN 'id3' WHEN h LIKE '504B0304%' OR h LIKE '504B0506%' THEN 'zip' WHEN h LIKE '1F8B%' THEN 'gzip' WHEN h LIKE '425A68%' THEN 'bzip2'
+  WHEN h LIKE 'FD377A585A00%' THEN 'xz' WHEN h LIKE '28B52FFD%' THEN 'zstd' WHEN h LIKE '377ABCAF271C%' THEN '7z'
+  WHEN length(h) >= 4 AND ('0x' || substr(h, 1, 2))::INT & 15 = 8 AND ('0x' || substr(h, 1, 2))::INT >> 4 <= 7 AND ('0x' || substr(h, 1, 4))::INT % 31 = 0 THEN 'zlib'
+  WHEN h LIKE '1B4C7561%' THEN 'lua-bytecode' WHEN h LIKE '3C3F786D6C%' THEN 'xml' ELSE 'unknown' END"""
+
+
+@query("""
+SELECT doc_id, round(-sum(p * log2(p)), 4) AS entropy FROM (
+  SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (
+    SELECT doc_id, substr(h, i, 2) AS b, count(*) AS n FROM (
+      SELECT doc_id, h, unnest(range(1, length(h), 2)) AS i FROM (SELECT doc_id, substr(hex(encode(text)), 1, 131072) AS h FROM documents)) GROUP BY doc_id, b))
+GROUP BY doc_id""")
+def byte_entropy(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.round(stats.entropy_udf()("content"), 4).alias("entropy"))
+
+
+@query("""
+SELECT first_byte, n, rank::INT AS rank FROM (SELECT first_byte, n, row_number() OVER (ORDER BY n DESC, first_byte DESC) AS rank FROM (
+  SELECT ('0x' || substr(hex(encode(text)), 1, 2))::BIGINT AS first_byte, count(*) AS n FROM documents GROUP BY 1)) WHERE rank <= 24""")
+def byte_histogram_top24(spark, sf_dir):
+    first = _documents(spark, sf_dir).select(B.uint(F.col("content"), 0, 1).alias("first_byte"))
+    counts = first.groupBy("first_byte").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("first_byte").desc()))).filter("rank <= 24")
+
+
+@query(f"SELECT page_id, {_FORMAT} AS format FROM (SELECT page_id, hex(encode(html)) AS h FROM pages)")
+def format_probe(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", C.format_of(F.col("html").cast("binary")).alias("format"))
+
+
+@query(f"SELECT source, {_FORMAT} AS format, count(*) AS n, round(avg(n_chars), 3) AS mean_chars FROM (SELECT source, n_chars, {_HEX} AS h FROM documents) GROUP BY 1, 2")
+def format_counts(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("source", "n_chars", C.format_of(F.coalesce("text", F.lit("")).cast("binary")).alias("format"))
+    return docs.groupBy("source", "format").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 3).alias("mean_chars"))
+
+
+@query("""
+SELECT doc_id, string_agg(lpad(lower(to_hex(o)), 4, '0') || '  ' || rpad(regexp_replace(lower(s), '(..)', '\\1 ', 'g'), 48, ' ') || ' ' || a || chr(10), '' ORDER BY o) AS dump FROM (
+  SELECT doc_id, o, substr(h, 2 * o + 1, 32) AS s, (SELECT string_agg(CASE WHEN c BETWEEN 32 AND 126 THEN chr(c) ELSE '.' END, '' ORDER BY k) FROM (
+      SELECT k, ('0x' || substr(h, 2 * k + 1, 2))::INT AS c FROM (SELECT unnest(range(o, least(o + 16, length(h) // 2))) AS k)))  AS a
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 16)) AS o FROM (SELECT doc_id, substr(hex(encode(text)), 1, 128) AS h FROM documents)))
+GROUP BY doc_id""")
+def hex_dump(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", B.hex_dump(F.col("content"), 64).alias("dump"))
+
+
+@query("""
+SELECT k AS lead_key, count(*) AS n FROM (SELECT CASE WHEN length(h) < 8 THEN '(unreadable)' ELSE regexp_replace(lower(substr(h, 1, 8)), '(..)', '\\1 ', 'g') || '|' ||
+  array_to_string(list_transform(range(4), lambda i: CASE WHEN ('0x' || substr(h, 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(h, 2 * i + 1, 2))::INT) ELSE '.' END), '') || '|' END AS k
+  FROM (SELECT hex(encode(coalesce(text, ''))) AS h FROM documents)) GROUP BY k""")
+def lead_bytes_key(spark, sf_dir):
+    return _documents(spark, sf_dir).groupBy(B.lead_key(F.coalesce("content", F.lit(b""))).alias("lead_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN h = '' THEN 'empty' WHEN doc_id % 5 = 0 THEN CASE WHEN length(h) < 8 THEN 'unreadable' ELSE 'packed:' || array_to_string(list_transform(range(4),
+    lambda i: CASE WHEN ('0x' || substr(h, 2 * i + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(h, 2 * i + 1, 2))::INT) ELSE '.' END), '') END
+  WHEN {_FORMAT} <> 'unknown' THEN {_FORMAT}
+  WHEN len(list_filter(range(least(64, length(h) // 2)), lambda i: NOT (('0x' || substr(h, 2 * i + 1, 2))::INT IN (9, 10, 13) OR (('0x' || substr(h, 2 * i + 1, 2))::INT >= 32 AND ('0x' || substr(h, 2 * i + 1, 2))::INT <> 127)))) = 0 THEN 'text' ELSE 'bin' END AS label
+FROM (SELECT doc_id, {_HEX} AS h FROM documents)""")
+def label_entry(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    return docs.select("doc_id", C.label_entry(F.coalesce("content", F.lit(b"")), F.col("doc_id") % 5 != 0).alias("label"))
+
+
+@query("""
+SELECT extension, n, rank::INT AS rank FROM (SELECT extension, n, row_number() OVER (ORDER BY n DESC, extension DESC) AS rank FROM (
+  SELECT CASE WHEN position('.' IN url) = 0 OR url LIKE '%.' THEN '(none)' ELSE translate('.' || string_split(url, '.')[-1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS extension, count(*) AS n
+  FROM pages GROUP BY 1)) WHERE rank <= 25""")
+def extension_hist_leaf(spark, sf_dir):
+    counts = read(spark, sf_dir, "pages").groupBy(C.leaf_extension(F.col("url")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("extension").desc()))).filter("rank <= 25")
+
+
+@query("""
+SELECT CASE WHEN position('.' IN b) = 0 OR b LIKE '%.' OR (b LIKE '.%' AND len(string_split(b, '.')) = 2) THEN '(none)' ELSE translate('.' || string_split(b, '.')[-1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS extension, count(*) AS n
+FROM (SELECT regexp_extract(url, '[^/]*$') AS b FROM pages) GROUP BY 1""")
+def extension_hist_path(spark, sf_dir):
+    return read(spark, sf_dir, "pages").groupBy(C.path_extension(F.col("url")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT event_type, user_id, n, rank::INT AS rank FROM (SELECT event_type, user_id, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id DESC) AS rank FROM (
+  SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2)) WHERE rank <= 10""")
+def top_n_per_group(spark, sf_dir):
+    return stats.top_n(read(spark, sf_dir, "events"), ["event_type"], "user_id", 10)
+
+
+@query("""
+SELECT l_suppkey, l_returnflag, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag) AS rn FROM lineitem) WHERE rn <= 100 GROUP BY 1, 2""")
+def capped_sample_hist(spark, sf_dir):
+    few = stats.first_n(read(spark, sf_dir, "lineitem"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"], 100)
+    return few.groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS no FROM orders) WHERE no % 25 = 0")
+def stride_sample(spark, sf_dir):
+    return stats.every_nth(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 25)
+
+
+@query("""
+WITH s AS (SELECT l_suppkey, l_partkey AS a, l_partkey + l_quantity::BIGINT AS b FROM lineitem WHERE l_quantity >= 1),
+r AS (SELECT *, max(b) OVER (PARTITION BY l_suppkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
+SELECT l_suppkey, sum(greatest(0, b - greatest(a, coalesce(m, a))))::BIGINT AS covered, count(*) FILTER (a < m) AS overlaps, coalesce(max(greatest(a - m, 0)), 0)::BIGINT AS max_gap FROM r GROUP BY 1""")
+def interval_union(spark, sf_dir):
+    spans = read(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("a"), (F.col("l_partkey") + F.col("l_quantity").cast("bigint")).alias("b"))
+    return stats.interval_union(spans, ["l_suppkey"], "a", "b")
+
+
+_RECORD = "(l_suppkey % 256) * 16777216 + l_linenumber"
+
+
+def _records(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"), F.col("l_quantity").cast("bigint").alias("b"), F.col("l_suppkey").alias("c"),
+        ((F.col("l_suppkey") % 256) * 16777216 + F.col("l_linenumber")).cast("bigint").alias("flags"),
+    )
+
+
+@query(f"""
+WITH l AS (SELECT l_partkey AS a, l_quantity::BIGINT AS b, {_RECORD} AS f FROM lineitem), r AS (SELECT 'a' AS rule, a AS o, b FROM l UNION ALL SELECT 'a<<8', a << 8, b FROM l UNION ALL SELECT '(a<<8)|(flags>>24)', (a << 8) | (f >> 24), b FROM l)
+SELECT rule, count(*) FILTER (NOT (o <= 200000 AND b <= 200000 - o)) AS out_of_bounds, count(*) FILTER (o <= 200000 AND b <= 200000 - o AND o < 256) AS below_header, sum(o)::BIGINT AS total FROM r GROUP BY rule""")
+def rule_checks(spark, sf_dir):
+    rows = archive.with_rules(_records(spark, sf_dir))
+    good = archive.in_bounds(F.col("offset"), F.col("b"), F.lit(200000))
+    return rows.groupBy("rule").agg(F.count_if(~good).alias("out_of_bounds"), F.count_if(good & (F.col("offset") < 256)).alias("below_header"), F.sum("offset").alias("total"))
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_partkey AS a, l_quantity::BIGINT AS b, l_suppkey AS c, {_RECORD} AS f FROM lineitem)
+SELECT (l_orderkey % 16)::BIGINT AS bucket, count(*) FILTER (b = c AND f & 255 = 0) AS equal_low0, count(*) FILTER (b = c AND f & 255 <> 0) AS equal_low, count(*) FILTER (b <> c AND f & 255 = 0) AS differ_low0,
+  count(*) FILTER (b <> c AND f & 255 <> 0) AS differ_low, count(*) FILTER (b > c) AS b_above_c, count(DISTINCT f >> 24) AS high_bytes, count(DISTINCT (f >> 8) & 65535) AS middles FROM l GROUP BY 1""")
+def contingency(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    f = F.col("flags")
+    distinct = [F.count_distinct(F.shiftrightunsigned(f, 24)).alias("high_bytes"), F.count_distinct(F.shiftrightunsigned(f, 8).bitwiseAND(F.lit(65535))).alias("middles")]
+    return rows.groupBy((F.col("l_orderkey") % 16).alias("bucket")).agg(*stats.contingency(F.col("b"), F.col("c"), f.bitwiseAND(F.lit(255))), *distinct)
+
+
+@query("""
+WITH h AS (SELECT o_orderkey, (4294967296 - ((o_orderkey * 37) % 65536)) % 4294967296 AS f0, (o_custkey % 4096) + 8 AS f1, ((o_orderkey * 37) % 65536) * 256 + (o_custkey % 4096) + 8 + CASE WHEN o_orderkey % 3 = 0 THEN 17 ELSE 0 END AS size FROM orders),
+c AS (SELECT o_orderkey, f1, size, unnest([0, 1, 2, 3, 4, 5, 6]) AS no, unnest([f0, (4294967296 - f0) & 4294967295, ~f0 & 4294967295, f0 * 256, ((4294967296 - f0) & 4294967295) * 256, (~f0 & 4294967295) * 256, size - f1]) AS o FROM h),
+m AS (SELECT *, o >= 8 AND o < size AND o + f1 = size AS ends FROM c)
+SELECT (['raw', 'negated', 'inverted', 'raw<<8', 'negated<<8', 'inverted<<8', 'size-field1'])[no + 1] AS transform, count(*) FILTER (o >= 8 AND o < size) AS in_file, count(*) FILTER (o >= 8 AND o < size AND o + f1 <= size) AS fits, count(*) FILTER (ends) AS ends_at_eof,
+  count(*) FILTER (ends AND no < 6 AND no = (SELECT min(x.no) FROM m x WHERE x.o_orderkey = m.o_orderkey AND x.ends AND x.no < 6)) AS chosen FROM m GROUP BY 1""")
+def header_candidates(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    where = (F.col("o_orderkey") * 37) % 65536
+    size = where * 256 + F.col("o_custkey") % 4096 + 8 + F.when(F.col("o_orderkey") % 3 == 0, 17).otherwise(0)
+    heads = orders.select("o_orderkey", ((F.lit(1 << 32) - where) % (1 << 32)).alias("f0"), (F.col("o_custkey") % 4096 + 8).alias("f1"), size.alias("size"))
+    rows = archive.candidates(heads, F.col("f0"), F.col("f1"), F.col("size"))
+    return rows.groupBy("transform").agg(F.count_if("in_file").alias("in_file"), F.count_if("table_fits").alias("fits"), F.count_if("ends_at_eof").alias("ends_at_eof"), F.count_if("chosen").alias("chosen"))
+
+
+@query(f"SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_suppkey) - 1 AS id, l_partkey AS a, l_quantity::BIGINT AS b, l_suppkey AS c, ({_RECORD})::BIGINT AS flags FROM lineitem")
+def record_table_roundtrip(spark, sf_dir):
+    packed = F.concat(*[B.le_hex(F.col(c)) for c in ("a", "b", "c", "flags")])
+    rows = _records(spark, sf_dir).select("l_orderkey", F.struct("l_linenumber", "a", "b", "c", packed.alias("h")).alias("r"))
+    blobs = rows.groupBy("l_orderkey").agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), "")).alias("blob"))
+    return archive.records(blobs, ["l_orderkey"])
+
+
+@query("""
+SELECT coalesce(c_mktsegment, '(unnamed)') AS segment, count(*) AS entries, count(*) FILTER (c_custkey IS NULL) AS unnamed, min(coalesce(c_name, '(unnamed ' || o_orderkey || ')')) AS first_name, sum(round(o_totalprice)::BIGINT)::BIGINT AS bytes
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey GROUP BY 1""")
+def catalog_left_join(spark, sf_dir):
+    names = read(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
+    rows = read(spark, sf_dir, "orders").join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
+    name = F.coalesce("c_name", F.concat(F.lit("(unnamed "), F.col("o_orderkey").cast("string"), F.lit(")")))
+    return rows.groupBy(F.coalesce("c_mktsegment", F.lit("(unnamed)")).alias("segment")).agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("c_custkey").isNull()).alias("unnamed"), F.min(name).alias("first_name"), F.sum(F.round("o_totalprice").cast("bigint")).alias("bytes")
+    )
+
+
+_TREE = "t AS (SELECT 'r' || r_regionkey AS id, '' AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer)"
+
+
+def _tree(spark, sf_dir):
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    top = read(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("id"), F.lit("").alias("parent"), F.col("r_name").alias("name"))
+    middle = read(spark, sf_dir, "nation").select(key("n", "n_nationkey").alias("id"), key("r", "n_regionkey").alias("parent"), F.col("n_name").alias("name"))
+    return top.unionByName(middle).unionByName(read(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("id"), key("n", "c_nationkey").alias("parent"), F.col("c_name").alias("name")))
+
+
+@query(f"WITH {_TREE} SELECT id, name FROM t WHERE id IN (SELECT parent FROM t)")
+def dir_semi(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    return t.join(t.select(F.col("parent").alias("p")), F.col("id") == F.col("p"), "left_semi").select("id", "name")
+
+
+@query(f"WITH {_TREE} SELECT id, name FROM t WHERE id NOT IN (SELECT parent FROM t)")
+def file_anti(spark, sf_dir):
+    t = _tree(spark, sf_dir)
+    return t.join(t.select(F.col("parent").alias("p")), F.col("id") == F.col("p"), "left_anti").select("id", "name")
+
+
+@query("SELECT i::BIGINT AS id FROM range((SELECT max(o_custkey) + 1 FROM orders)) r(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
+def missing_ids(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    top = orders.agg(F.max("k")).first()[0] or -1
+    return spark.range(top + 1).join(orders, F.col("id") == F.col("k"), "left_anti")
+
+
+@query(f"""
+WITH RECURSIVE {_TREE}, p AS (SELECT id, parent AS up, name AS names FROM t UNION ALL SELECT p.id, t.parent, t.name || '/' || p.names FROM p JOIN t ON t.id = p.up) SELECT id, names AS path FROM p WHERE up = ''""")
+def tree_paths(spark, sf_dir):
+    _tree(spark, sf_dir).createOrReplaceTempView("_tree_nodes")
+    return spark.sql("""
+      WITH RECURSIVE p(id, up, full) MAX RECURSION LEVEL 20 AS (
+        SELECT id, parent, name FROM _tree_nodes UNION ALL SELECT p.id, t.parent, concat(t.name, '/', p.full) FROM p JOIN _tree_nodes t ON t.id = p.up)
+      SELECT id, full AS path FROM p WHERE up = ''""")
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE (s_suppkey * 3) % 100 END AS parent FROM supplier WHERE s_suppkey < 100),
+w AS (SELECT id, parent AS up, 0 AS steps FROM s UNION ALL SELECT w.id, s.parent, steps + 1 FROM w JOIN s ON s.id = w.up WHERE steps < 30)
+SELECT count(*) FILTER (steps = 30) AS cyclic, max(CASE WHEN steps < 30 THEN steps END)::INT AS longest FROM w""")
+def tree_cycles(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier").filter("s_suppkey < 100").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 7 == 0, F.lit(-1)).otherwise((F.col("s_suppkey") * 3) % 100).cast("bigint").alias("parent"))
+    s.createOrReplaceTempView("_cycle_nodes")
+    return spark.sql("""
+      WITH RECURSIVE w(id, up, steps) MAX RECURSION LEVEL 40 AS (
+        SELECT id, parent, 0 FROM _cycle_nodes UNION ALL SELECT w.id, s.parent, w.steps + 1 FROM w JOIN _cycle_nodes s ON s.id = w.up WHERE w.steps < 30)
+      SELECT count_if(steps = 30) AS cyclic, max(CASE WHEN steps < 30 THEN steps END) AS longest FROM w""")
+
+
+@query("""
+SELECT event_type, count(*) AS users, count(*) FILTER (c > 1) AS repeated, sum(first_id)::BIGINT AS first_ids FROM (SELECT event_type, user_id, min(event_id) AS first_id, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1""")
+def dedup_first_wins(spark, sf_dir):
+    w = Window.partitionBy("event_type", "user_id")
+    rows = read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w.orderBy("event_id"))).withColumn("c", F.count(F.lit(1)).over(w)).filter("rn = 1")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("c") > 1).alias("repeated"), F.sum("event_id").alias("first_ids"))
+
+
+@query("""
+WITH s AS (SELECT n_nationkey AS no, n_nationkey * 70 AS va, 100 AS span, 80 AS raw FROM nation), j AS (SELECT p_partkey, no, p_partkey - va AS delta, raw, row_number() OVER (PARTITION BY p_partkey ORDER BY no) AS rn FROM part JOIN s ON p_partkey >= va AND p_partkey < va + span)
+SELECT p_partkey, no::INT AS section, CASE WHEN delta < raw THEN (no * 1000 + delta)::BIGINT END AS file_offset FROM j WHERE rn = 1""")
+def range_join_first(spark, sf_dir):
+    sections = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("no"), (F.col("n_nationkey") * 70).alias("va"))
+    # Cells of the ranges' width: a point can only lie in ranges that begin in its cell or the one before, so the join has an equality.
+    cells = sections.withColumn("cell", F.explode(F.array(F.floor(F.col("va") / 100), F.floor(F.col("va") / 100) + 1)))
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 100).alias("cell"))
+    met = parts.join(cells, "cell").filter((F.col("p_partkey") >= F.col("va")) & (F.col("p_partkey") < F.col("va") + 100))
+    first = met.groupBy("p_partkey").agg(F.min(F.struct("no", "va")).alias("s"))
+    delta = F.col("p_partkey") - F.col("s.va")
+    return first.select("p_partkey", F.col("s.no").cast("int").alias("section"), F.when(delta < 80, F.col("s.no") * 1000 + delta).cast("bigint").alias("file_offset"))
+
+
+@query("""
+WITH p(k, pattern, api) AS (VALUES (0, 'the', 'directx9'), (1, 'ning', 'opengl'), (2, 'ond', 'opengles'), (3, 'heit', 'vulkan'), (4, 'ción', 'metal')),
+h AS (SELECT doc_id, api FROM documents JOIN p ON contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), pattern))
+SELECT api, count(DISTINCT doc_id) AS n FROM h WHERE NOT (api = 'opengl' AND doc_id IN (SELECT doc_id FROM h WHERE api = 'opengles')) GROUP BY 1""")
+def pattern_scan(spark, sf_dir):
+    patterns = (("the", "directx9"), ("ning", "opengl"), ("ond", "opengles"), ("heit", "vulkan"), ("ción", "metal"))
+    text = C.ascii_lower(F.col("text"))
+    found = F.filter(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(api)) for p, api in patterns]), lambda x: x.isNotNull())
+    apis = F.when(F.array_contains(found, "opengles"), F.filter(found, lambda x: x != "opengl")).otherwise(found)
+    return read(spark, sf_dir, "documents").select(F.explode(apis).alias("api")).groupBy("api").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT conv_id, array_to_string(list_distinct_ordered, ',') AS roles FROM (SELECT conv_id, list(role ORDER BY f) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS f FROM conversations WHERE role <> '' GROUP BY 1, 2) GROUP BY 1)""")
+def distinct_union_order(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return turns.select("conv_id", F.array_join(F.array_distinct(F.filter(F.transform("t", lambda x: x["role"]), lambda r: r != "")), ",").alias("roles"))
+
+
+@query(f"""
+WITH d AS (SELECT source, n_chars, {_FORMAT} AS label FROM (SELECT source, n_chars, {_HEX} AS h FROM documents)), g AS (SELECT source, label, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM d GROUP BY 1, 2)
+SELECT source, label, n, chars, sum(n) OVER (PARTITION BY source)::BIGINT AS of_source, (sum(chars) OVER (PARTITION BY source))::BIGINT AS chars_of_source FROM g""")
+def two_level_hist(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("source", "n_chars", C.format_of(F.coalesce("text", F.lit("")).cast("binary")).alias("label"))
+    both = docs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    w = Window.partitionBy("source")
+    return both.select("source", "label", "n", "chars", F.sum("n").over(w).alias("of_source"), F.sum("chars").over(w).alias("chars_of_source"))
+
+
+_PLAN = """p AS (SELECT *, CASE WHEN low = 0 AND b = c THEN 's' WHEN low = 2 THEN 'z' ELSE 'x' END AS kind, l_returnflag IN ('A', 'R') AS wanted, (l_orderkey % 11 = 0) AS unsafe FROM (
+  SELECT l_orderkey, l_returnflag, l_quantity::BIGINT AS b, CASE WHEN l_partkey % 2 = 0 THEN l_quantity::BIGINT ELSE l_quantity::BIGINT * 2 END AS c, CASE WHEN l_partkey % 2 = 0 THEN 0 WHEN l_partkey % 3 = 0 THEN 2 ELSE 1 END AS low FROM lineitem))"""
+
+
+def _plan(spark, sf_dir):
+    n, k = F.col("l_quantity").cast("bigint"), F.col("l_partkey")
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", n.alias("b"), F.when(k % 2 == 0, n).otherwise(n * 2).alias("c"), F.when(k % 2 == 0, 0).when(k % 3 == 0, 2).otherwise(1).alias("low"))
+    return rows.withColumns({"stored": archive.is_stored(F.col("low").cast("bigint"), F.col("b"), F.col("c")), "packed": F.col("low") == 2, "wanted": F.col("l_returnflag").isin("A", "R"), "unsafe": F.col("l_orderkey") % 11 == 0})
+
+
+@query(f"WITH {_PLAN} SELECT l_returnflag, sum(CASE WHEN kind = 's' THEN b WHEN kind = 'z' THEN c ELSE 0 END)::BIGINT AS planned_bytes FROM p WHERE wanted GROUP BY 1")
+def planned_bytes(spark, sf_dir):
+    return _plan(spark, sf_dir).filter("wanted").groupBy("l_returnflag").agg(F.sum(F.when(F.col("stored"), F.col("b")).when(F.col("packed"), F.col("c")).otherwise(0)).alias("planned_bytes"))
+
+
+@query(f"WITH {_PLAN} SELECT CASE WHEN NOT wanted THEN 'skipped_filter' WHEN kind = 'x' THEN 'skipped_compressed' WHEN unsafe THEN 'rejected' WHEN kind = 's' THEN 'written' ELSE 'decompressed' END AS status, count(*) AS n FROM p GROUP BY 1")
+def extract_status(spark, sf_dir):
+    status = F.when(~F.col("wanted"), "skipped_filter").when(~(F.col("stored") | F.col("packed")), "skipped_compressed").when(F.col("unsafe"), "rejected").when(F.col("stored"), "written").otherwise("decompressed")
+    return _plan(spark, sf_dir).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_HOSTILE = ("audio/vo/dx_line.ogg", "../evil.txt", "a/../../b", "/abs/path", "c:/windows/x", "dir/con.txt", "dir//x", "trailing./x", "", "ok/name.tex", "COM1.txt")
+
+
+@query("""
+WITH h(p) AS (SELECT unnest(['audio/vo/dx_line.ogg', '../evil.txt', 'a/../../b', '/abs/path', 'c:/windows/x', 'dir/con.txt', 'dir//x', 'trailing./x', '', 'ok/name.tex', 'COM1.txt']) UNION ALL SELECT regexp_replace(url, '^[a-z]+://', '') FROM pages)
+SELECT p AS path, length(p) BETWEEN 1 AND 240 AND NOT regexp_matches(p, '^[/\\\\]') AND NOT regexp_matches(p, '[^ -~]|[<>:"|?*]') AND len(list_filter(regexp_split_to_array(p, '[/\\\\]'),
+  lambda c: c IN ('', '.', '..') OR regexp_matches(c, '[ .]$') OR regexp_matches(lower(string_split(c, '.')[1]), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$'))) = 0 AS ok FROM h""")
+def sanitize_path(spark, sf_dir):
+    hostile = spark.createDataFrame([(p,) for p in _HOSTILE], "path string")
+    urls = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return hostile.unionByName(urls).select("path", C.path_check(F.col("path")).isNull().alias("ok"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GiB', n / 1073741824.0::DOUBLE) END AS size
+FROM (SELECT doc_id, n_chars * (1 + (doc_id % 3) * 1021 + (doc_id % 2) * 500009) AS n FROM documents)""")
+def format_bytes(spark, sf_dir):
+    n = F.col("n_chars") * (1 + (F.col("doc_id") % 3) * 1021 + (F.col("doc_id") % 2) * 500009)
+    return read(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", C.format_bytes(F.col("n")).alias("size"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN e = 0 THEN f * pow(2.0, -24) ELSE pow(2.0, e - 15) * (1 + f / 1024.0) END AS value FROM (SELECT p_partkey, (h >> 10) & 31 AS e, h & 1023 AS f FROM (SELECT p_partkey, (p_partkey * 97) & 31743 AS h FROM part))""")
+def half_float(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", C.half_to_float((F.col("p_partkey") * 97).bitwiseAND(F.lit(31743))).alias("value"))
+
+
+@query("""
+SELECT label, min(x)::DOUBLE AS min_x, max(x)::DOUBLE AS max_x, min(y)::DOUBLE AS min_y, max(y)::DOUBLE AS max_y, min(z)::DOUBLE AS min_z, max(z)::DOUBLE AS max_z, greatest(max(x) - min(x), 1e-6::DOUBLE) AS extent_x, greatest(max(y) - min(y), 1e-6::DOUBLE) AS extent_y, greatest(max(z) - min(z), 1e-6::DOUBLE) AS extent_z
+FROM (SELECT label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings) GROUP BY label""")
+def bbox_extent(spark, sf_dir):
+    points = read(spark, sf_dir, "embeddings").select("label", *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")])
+    return geometry.bounds(points, ["label"])
+
+
+@query("""
+SELECT vec_id, CASE WHEN len(i) % 3 <> 0 THEN 'indices are not triangles' WHEN len(list_filter(i, lambda k: k < 0 OR k >= n)) > 0 THEN 'index out of range' END AS fault
+FROM (SELECT vec_id, len(embedding) // 3 AS n, CASE WHEN vec_id % 4 = 0 THEN [0, 1, 2, 3] WHEN vec_id % 5 = 0 THEN [0, 1, 999] ELSE [0, 1, 2] END AS i FROM embeddings)""")
+def mesh_validate(spark, sf_dir):
+    from ..operators import scene
+
+    n = F.size("embedding")
+    i = F.when(F.col("vec_id") % 4 == 0, F.array(*map(F.lit, (0, 1, 2, 3)))).when(F.col("vec_id") % 5 == 0, F.array(*map(F.lit, (0, 1, 999)))).otherwise(F.array(*map(F.lit, (0, 1, 2))))
+    none = F.array().cast("array<float>")
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.slice("embedding", F.lit(1), n - n % 3).alias("positions"), none.alias("normals"), none.alias("uvs"), i.alias("indices")).alias("m"))
+    return rows.select("vec_id", scene.mesh(F.col("m")).alias("fault"))
+
+
+def _frames(spark, sf_dir):
+    """Entries with a verbatim chunk for every turn of a conversation."""
+    raw = F.col("text").cast("binary")
+    size = B.le_hex(F.octet_length(raw))
+    frame = F.concat(F.lit("4C5A324B"), size, size, F.hex(raw))
+    turns = read(spark, sf_dir, "conversations").filter("text <> ''").select("conv_id", F.struct("turn", "role", frame.alias("h"), F.octet_length(raw).cast("bigint").alias("n")).alias("x"))
+    entries = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    return entries.select(F.col("conv_id").cast("string").alias("key"), F.unhex(F.array_join(F.transform("xs", lambda x: x["h"]), "")).alias("entry"), F.aggregate("xs", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("expected"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, strlen(text) AS n, row_number() OVER w AS rn, sum(12 + strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM conversations WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id::VARCHAR AS key, (rn - 1)::INT AS chunk_no, coalesce(o, 0)::BIGINT AS header_offset, n::BIGINT AS raw_size, rn = max(rn) OVER (PARTITION BY conv_id) AS is_last FROM c""")
+def chunk_framing(spark, sf_dir):
+    rows = codec.chunks(_frames(spark, sf_dir)).filter("failure is null")
+    last = F.lead("chunk_no").over(Window.partitionBy("key").orderBy("chunk_no")).isNull()
+    return rows.select("key", "chunk_no", "header_offset", "raw_size", last.alias("is_last"))
+
+
+@query("SELECT conv_id::VARCHAR AS key, string_agg(text, '' ORDER BY turn, role, text) AS text FROM conversations WHERE text <> '' GROUP BY 1")
+def lz2k_decompress(spark, sf_dir):
+    return codec.decompressed(_frames(spark, sf_dir)).select("key", F.col("output").cast("string").alias("text"))
+
+
+@query()
+def decode_scoreboard(spark, sf_dir):
+    return codec.scoreboard(codec.chunks(_frames(spark, sf_dir)))
+
+
+@query()
+def file_reports(spark, sf_dir):
+    from ..operators import inspect
+
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
+    return inspect.by_format(inspect.report(pages))
