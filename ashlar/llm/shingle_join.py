@@ -6,7 +6,7 @@ A document's set is its distinct n-grams of SHINGLE words; two sets link when 10
    COMMON nodes get a place at the end of the global order, the more frequent the later; the rest are ordered by hash.
 2. The global order is cut vertically into fragments. Each node sends the n-grams of its prefix (one more than it may
    lack of a partner's) to their fragments; there pairs of nodes that share n-grams, and whose sizes allow a link, are
-   counted, and the partial overlaps are summed for each pair. Pairs without any overlap in their prefixes cannot link.
+   counted, and the partial overlaps are summed for each pair. Pairs whose prefixes have too little in common cannot link.
 3. Where more than CROWD nodes share one n-gram of their prefixes no pairs are written: the nodes of such n-grams
    form crowds, which are cut into blocks of BLOCK nodes by size, and two blocks are compared in one task.
 4. The sets of pairs and blocks are brought together and overlaps are counted fragment by fragment and summed until
@@ -433,7 +433,10 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = nodes.select("node", "n")
     pairs = partial.filter("n is not null").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     pairs = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"node": "b", "n": "nb"}), "b")
-    pairs = stored(pairs.filter(PER * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")).select("a", "b"), f"{at}/pairs")
+    # Of the two the set whose prefix ends first has `shared` n-grams of it in common, and at most the rest besides.
+    # (What n-grams of crowds add is not in `shared`: pairs of one crowd are compared anyway.)
+    enough = F.expr(f"shared >= ({SHARE} * (na + nb) + {PER + SHARE - 1}) div {PER + SHARE} - ({SHARE} * greatest(na, nb) + {PER - 1}) div {PER} + 1")
+    pairs = stored(pairs.filter((PER * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & enough).select("a", "b"), f"{at}/pairs")
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other"))
     label = ends.select("node", F.least("node", "other").alias("label"))
     tasks = pairs.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
@@ -475,7 +478,11 @@ def op1(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each class the row of the least id stays, and of rows equal in id and text one; all columns stay."""
-    found = classes(docs).filter("doc_id is null or component_id = doc_id").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    spark = docs.sparkSession
+    found = classes(docs).filter("doc_id is null or component_id = doc_id").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).count()
+    found = stored(found, f"{shared_dir(spark)}/kept")
+    kept = docs.join(found.drop("count").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
+    if not found.filter("count > 1").limit(1).count():
+        return kept
     first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
     return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
