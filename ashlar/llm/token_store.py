@@ -2,7 +2,7 @@
 
 Folder layout, all Parquet files written by Spark:
 
-* ``chunks``: digest (16 bytes), n_ids, payload (two-byte little-endian ids, deflated). Each distinct chunk is stored once.
+* ``chunks``: digest (16 bytes), n_ids, payload (two-byte little-endian ids). Each distinct chunk is stored once.
 * ``recipes``: for each document in ascending id order, its start, n_tokens, the digests and lengths of its chunks and
   the Merkle root over them; ``file_no`` orders the files.
 * ``manifest``: for each recipe file its first and last id, ids held, and the Merkle root over its documents' roots.
@@ -25,14 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import tokens
 from .common import partitions, prefix_sums, shared_dir, stored
 
 END = 2
 #: A cut where the hash of the last 16 ids has its CUT_BITS top bits zero: every 2**CUT_BITS ids on average.
-GEAR_WINDOW, CUT_BITS = 16, 9
-MIN_CHUNK, MAX_CHUNK = 128, 4096
+GEAR_WINDOW, CUT_BITS = 16, 10
+MIN_CHUNK, MAX_CHUNK = 256, 8192
 
 _RAW = "kind string, key binary, doc_id long, mark long, n_tokens long, digests array<binary>, lengths array<int>, root binary, n_ids int, payload binary"
 _RAW_ARROW = pa.schema([
@@ -50,9 +51,10 @@ def _scrambled(ids: np.ndarray) -> np.ndarray:
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream. The hash at i is the sum of scrambled ids i - GEAR_WINDOW + 1 .. i, each doubled for each id after it."""
     n = len(ids)
-    x, h = _scrambled(ids), np.zeros(n, dtype=np.uint64)
-    for k in range(min(GEAR_WINDOW, n)):
-        h[k:] += x[: n - k] << np.uint64(k)
+    h, k = _scrambled(ids), 1
+    while k < GEAR_WINDOW:  # sums over k ids become sums over 2 k
+        h[k:] += h[:-k] << np.uint64(k)
+        k *= 2
     ends, last = [], 0
     for at in (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
         while at - last > MAX_CHUNK:
@@ -106,7 +108,7 @@ def _encode(path: str, end: int):
                         if len(seen) > 1_000_000:
                             seen.clear()
                         seen.add(d)
-                        rows.append(("chunk", d, None, None, None, None, None, None, to - last, zlib.compress(part, 6)))
+                        rows.append(("chunk", d, None, None, None, None, None, None, to - last, part))
                     last = to
                 mark = zlib.crc32(text)
                 rows.append(("recipe", (doc or 0).to_bytes(8, "little", signed=True) + mark.to_bytes(4, "little"), doc, mark, len(ids), digests, lengths, merkle(digests), None, None))
@@ -117,19 +119,6 @@ def _encode(path: str, end: int):
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by kind and key: chunks that repeat the one before are dropped."""
-    last = None
-    for batch in batches:
-        kinds, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for kind, key in zip(kinds, keys):
-            keep.append(kind != "chunk" or key != last)
-            if kind == "chunk":
-                last = key
-        yield batch.filter(pa.array(keep))
-
-
 def write(docs: DataFrame, path: str, at: str, end: int = END) -> None:
     """Encode every text once and write the store at ``at``.
 
@@ -138,8 +127,9 @@ def write(docs: DataFrame, path: str, at: str, end: int = END) -> None:
     """
     spark = docs.sparkSession
     raw = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_encode(path, end), _RAW)
-    met = raw.repartition(partitions(spark), "kind", "key").sortWithinPartitions("kind", "key")
-    met.mapInArrow(_once, _RAW).write.partitionBy("kind").parquet(f"{at}/chunks_and_recipes")
+    met = raw.repartition(partitions(spark), "kind", "key")
+    no = F.row_number().over(Window.partitionBy("kind", "key").orderBy("n_ids"))
+    met.withColumn("_no", no).filter("kind = 'recipe' or _no = 1").drop("_no").write.partitionBy("kind").parquet(f"{at}/chunks_and_recipes")
     recipes = spark.read.schema(_RAW).parquet(f"{at}/chunks_and_recipes").filter("kind = 'recipe'").select("doc_id", "mark", "n_tokens", "digests", "lengths", "root")
     ordered = prefix_sums(recipes, [F.col("doc_id"), F.col("mark"), F.col("root")], "n_tokens", "start", f"{at}/ordered")
     final = ordered.repartitionByRange(partitions(spark), "doc_id", "start").sortWithinPartitions("doc_id", "start").withColumn("file_no", F.spark_partition_id())
@@ -178,8 +168,7 @@ def _checked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """(key, n_ids, crc32 of the ids as four bytes each) of stored chunks that match their digests."""
     for batch in batches:
         keys, counts, crcs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-        for key, n, packed in zip(keys, counts, batch.column(2).to_pylist()):
-            raw = zlib.decompress(packed)
+        for key, n, raw in zip(keys, counts, batch.column(2).to_pylist()):
             if _digest(raw) != key or len(raw) != 2 * n:
                 raise ValueError(f"chunk {key.hex()} does not match its digest")
             crcs.append(zlib.crc32(np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()))
@@ -212,7 +201,7 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
     operators, total = _zero_operators_kept(), 0
     for crc, size in parts:
         k = 0
-        while size:
+        while size and total:
             if size & 1:
                 total = _times(operators[k], total)
             size >>= 1
@@ -271,7 +260,7 @@ def ids_of(spark: SparkSession, at: str, docs: DataFrame) -> DataFrame:
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(zlib.decompress(p["payload"]) for p in parts), dtype="<u2").astype(np.int32) for parts in batch.column(2).to_pylist()]
+            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), dtype="<u2").astype(np.int32) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return rows.select("doc_id", "start", "parts").mapInArrow(rebuilt, "doc_id long, start long, ids array<int>")

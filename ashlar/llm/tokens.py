@@ -3,7 +3,7 @@
 Both vocabularies split a text before it is merged into tokens, and never merge across white space. A text is cut at
 places where the library's own splitting always has a boundary, whatever stands around it:
 
-* ``words``: at runs of ASCII white space, which the vocabulary drops;
+* ``words``: at runs of ASCII white space, which the vocabulary drops, after A-Z are lower-cased, as it does itself;
 * ``spaced``: before each single space that stands between two bytes that are not ASCII white space (the space opens
   the next part).
 
@@ -20,7 +20,7 @@ import re
 from struct import pack
 
 #: Entries in each of the two generations of parts, and of words without their marks; about 200 bytes an entry.
-MOST_PARTS, MOST_WORDS = 200_000, 500_000
+MOST_PARTS, MOST_WORDS = 350_000, 350_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 
@@ -108,7 +108,7 @@ class Encoder:
         """Little-endian two-byte ids of a text (UTF-8)."""
         self.rest.trim()
         if not self.spaced:
-            return b"".join(map(self.rest.__getitem__, text.split()))
+            return b"".join(map(self.rest.__getitem__, text.lower().split()))  # the vocabulary has no capitals
         if not text:
             return b""
         odd = text[:1] == b" " or text[-1:] == b" " or any(x in text for x in _ODD)
