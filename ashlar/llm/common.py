@@ -27,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers that are started from now on import this package from where the driver has it."""
+    """Let Python workers that are started from now on import this package from where the driver has it.
+
+    Batches of rows for them are kept small, as texts may be long: a worker holds a batch at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in parts:

@@ -35,7 +35,7 @@ from .common import free_shuffles, partitions, shared_dir, stored
 LENGTH, Q = 200, 32
 WINDOW = LENGTH - Q + 1
 #: Bytes that are looked at together: short texts one after the other, long ones in pieces that overlap by LENGTH - 1.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Anchors that a task holds before it settles and sends them.
 FLUSH = 400_000
 #: Bytes of text for each range of buckets.
@@ -148,7 +148,8 @@ def _found(kind: str, entries: np.ndarray) -> pa.RecordBatch:
 
 
 def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
-    return ((grams >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
+    """Anchors are least hashes, so these are mixed once more to deal them out evenly."""
+    return ((_mixed(grams + _ROOT) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
 
 
 def _collect(ranges: int):
@@ -167,7 +168,9 @@ def _collect(ranges: int):
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *found.columns], schema=_SENT_ARROW)
         entries = entries[heads]
         entries["twice"] = repeated
-        to = _range_of(entries["gram"], ranges)  # entries are sorted by gram, so by range too
+        to = _range_of(entries["gram"], ranges)
+        order = np.argsort(to, kind="stable")
+        to, entries = to[order], entries[order]
         cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
         ends = np.append(cut[1:], len(entries))
         blobs = [entries[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist())]
