@@ -141,9 +141,17 @@ def measures_of(docs: DataFrame, at: str) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """``docs`` with measures, base_failed and kept. Texts are measured again here rather than moved or written."""
+    """The measures, base_failed and kept of every row of ``docs``, which is in the struct ``row``.
+
+    Texts are measured again here rather than moved or written.
+    """
     limits = fences(sketches(measures_of(docs, f"{shared_dir(docs.sparkSession)}/measures")))
-    return verdicts(_binned(measure(docs)), limits)
+    return verdicts(_binned(measure(docs.select(F.struct("*").alias("row"), "text", "lang", "source"))), limits)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` without rejected rows; all columns stay, whatever their names."""
+    return judge(docs).filter("kept").select("row.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def test_quality_on_odd_rows(spark, odd, empty):
     got = {(r.doc_id, r.n_words, r.base_failed) for r in quality.op8(odd).collect()}
     assert {(0, 0, True), (1, 0, True), (2, 0, True), (8, 3000, False), (11, 90, True)} <= got
     assert quality.op8(odd).count() == len(odd_rows()) and quality.op8(empty).count() == 0
-    kept = quality.judge(odd).filter("kept").select(*odd.columns)
+    kept = quality.keep(odd)
     assert {r.doc_id for r in kept.collect()} <= {8, 9, 10} and kept.columns == odd.columns
     texts = ["a b c a b c", "a b c d a b c", "a a a a", "a b c d e"]
     want = []
