@@ -37,6 +37,13 @@ def top_n(df: DataFrame, by: list[str], key: str, n: int, count: str = "n") -> D
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def top_overall(df: DataFrame, key: str, n: int, count: str = "n") -> DataFrame:
+    """The ``n`` most frequent values of ``key``, ranked. Only ``n`` rows of each task reach the one that ranks them."""
+    order = (F.col(count).desc(), F.col(key).desc())
+    top = df.groupBy(key).agg(F.count(F.lit(1)).alias(count)).orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def first_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group in ``order``."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -44,18 +51,22 @@ def first_n(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame
 
 
 def numbered(df: DataFrame, order: list[str], into: str = "_no") -> DataFrame:
-    """Add a 0-based row number in a global ``order`` without bringing all rows to one task.
+    """Add a 0-based row number in a global ``order`` (the first column is a number) without bringing all rows to one task.
 
-    Rows are range-partitioned; each partition numbers its own after the counts of those before it, of which there is
-    one row a partition.
+    Rows fall into buckets between approximate quantiles of the first column, which the driver asks for once, so that
+    every pass agrees on them (a range exchange samples anew each time). Each bucket numbers its own rows after the
+    counts of those before it, of which there is one row a bucket. Rows that tie in the first column share a bucket.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
-    out = ranged.withColumn("_own", F.row_number().over(own) - 1).join(counts, F.col("_part") == F.col("_p"))
-    return out.withColumn(into, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_part", "_p")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(df.approxQuantile(order[0], [k / parts for k in range(1, parts)], 0.001))) if parts > 1 else []
+    edges = F.array(*map(F.lit, bounds)).cast("array<double>")
+    bucketed = df.withColumn("_bucket", F.size(F.filter(edges, lambda b: b <= F.col(order[0]))))
+    own = Window.partitionBy("_bucket").orderBy(*order)
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.select(F.col("_bucket").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    out = bucketed.withColumn("_own", F.row_number().over(own) - 1).join(F.broadcast(counts), F.col("_bucket") == F.col("_b"))
+    return out.withColumn(into, (F.col("_own") + F.col("_before")).cast("bigint")).drop("_own", "_before", "_bucket", "_b")
 
 
 def every_nth(df: DataFrame, order: list[str], n: int) -> DataFrame:

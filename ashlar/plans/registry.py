@@ -76,8 +76,7 @@ SELECT first_byte, n, rank::INT AS rank FROM (SELECT first_byte, n, row_number()
   SELECT ('0x' || substr(hex(encode(text)), 1, 2))::BIGINT AS first_byte, count(*) AS n FROM documents GROUP BY 1)) WHERE rank <= 24""")
 def byte_histogram_top24(spark, sf_dir):
     first = _documents(spark, sf_dir).select(B.uint(F.col("content"), 0, 1).alias("first_byte"))
-    counts = first.groupBy("first_byte").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("first_byte").desc()))).filter("rank <= 24")
+    return stats.top_overall(first, "first_byte", 24)
 
 
 @query(f"SELECT page_id, {_FORMAT} AS format FROM (SELECT page_id, hex(encode(html)) AS h FROM pages)")
@@ -125,8 +124,7 @@ SELECT extension, n, rank::INT AS rank FROM (SELECT extension, n, row_number() O
   SELECT CASE WHEN position('.' IN url) = 0 OR url LIKE '%.' THEN '(none)' ELSE translate('.' || string_split(url, '.')[-1], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS extension, count(*) AS n
   FROM pages GROUP BY 1)) WHERE rank <= 25""")
 def extension_hist_leaf(spark, sf_dir):
-    counts = read(spark, sf_dir, "pages").groupBy(C.leaf_extension(F.col("url")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("extension").desc()))).filter("rank <= 25")
+    return stats.top_overall(read(spark, sf_dir, "pages").select(C.leaf_extension(F.col("url")).alias("extension")), "extension", 25)
 
 
 @query("""
@@ -425,6 +423,53 @@ def lz2k_decompress(spark, sf_dir):
     return codec.decompressed(_frames(spark, sf_dir)).select("key", F.col("output").cast("string").alias("text"))
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '(none)' ELSE '.' || lower(p_brand) END AS extension, raw, packed, CASE WHEN raw = 0 THEN 0.0::DOUBLE ELSE round(packed / raw::DOUBLE, 6) END AS ratio FROM (
+  SELECT p_partkey, p_brand, (p_size % 5)::BIGINT AS raw, p_size::BIGINT AS packed FROM part)""")
+def compression_ratio(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.lit("x.")).otherwise(F.concat(F.lit("x."), F.col("p_brand"))).alias("name"), (F.col("p_size") % 5).cast("bigint").alias("raw"), F.col("p_size").cast("bigint").alias("packed"))
+    return part.select("p_partkey", C.leaf_extension(F.col("name")).alias("extension"), "raw", "packed", F.coalesce(F.round(F.try_divide(F.col("packed").cast("double"), F.col("raw").cast("double")), 6), F.lit(0.0)).alias("ratio"))
+
+
+@query("""
+SELECT l_returnflag, CASE WHEN n > 16 THEN 17 ELSE n END::BIGINT AS chunks, count(*) AS entries FROM (SELECT l_returnflag, l_suppkey, l_linestatus, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL) GROUP BY 1, 2""")
+def chunks_per_entry(spark, sf_dir):
+    per = read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").groupBy("l_returnflag", "l_suppkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("l_returnflag", F.least("n", F.lit(17)).alias("chunks")).agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query("""
+SELECT event_type, max_by(user_id, event_id) AS last_user, list_sort(list(DISTINCT user_id % 5))[1]::BIGINT AS least, count(DISTINCT user_id % 5) AS versions FROM events GROUP BY 1""")
+def last_wins_versions(spark, sf_dir):
+    version = F.col("user_id") % 5
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("user_id", "event_id").alias("last_user"), F.get(F.sort_array(F.collect_set(version)), F.lit(0)).alias("least"), F.count_distinct(version).alias("versions"))
+
+
+@query("""
+SELECT i AS id, c_name AS name FROM (SELECT c_custkey AS i, c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % (1 + (SELECT count(*) FROM customer) // 12) = 0) WHERE rn <= 12""")
+def display_sample(spark, sf_dir):
+    names = read(spark, sf_dir, "customer")
+    step = 1 + names.count() // 12
+    return names.filter(F.col("c_custkey") % step == 0).orderBy("c_custkey").limit(12).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+
+
+@query("""
+SELECT user_id, event_id FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type DESC LIMIT 1) AND contains(lower(props), 'a') AND user_id % 3 = 0""")
+def path_filter(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    top = stats.top_overall(events, "event_type", 1).select(F.col("event_type").alias("t"))
+    return events.filter("user_id % 3 = 0").filter(F.contains(C.ascii_lower(F.col("props")), F.lit("a"))).join(F.broadcast(top), F.col("event_type") == F.col("t"), "left_semi").select("user_id", "event_id")
+
+
+@query("""
+SELECT doc_id, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS le, ('0x' || substr(h, 1, 8))::BIGINT AS be, ('0x' || substr(h, 1, 4))::BIGINT AS be16, '0x' || lower(substr(h, 1, 8)) AS shown
+FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= 4)""")
+def endian_integers(spark, sf_dir):
+    c = F.col("content")
+    rows = _documents(spark, sf_dir).filter(F.octet_length("content") >= 4)
+    return rows.select("doc_id", B.uint(c, 0, 4).alias("le"), B.uint(c, 0, 4, little=False).alias("be"), B.uint(c, 0, 2, little=False).alias("be16"), B.hex32(B.uint(c, 0, 4, little=False)).alias("shown"))
+
+
 @query()
 def decode_scoreboard(spark, sf_dir):
     return codec.scoreboard(codec.chunks(_frames(spark, sf_dir)))
