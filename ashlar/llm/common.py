@@ -29,11 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Let Python workers that are started from now on import this package from where the driver has it.
 
-    Batches of rows for them are kept small, as texts may be long: a worker holds a batch at a time.
+    Batches of rows for them are kept small, as texts may be long: a worker holds a batch at a time. Workers are used
+    again by later tasks, so their allocators are set to give large blocks back when they are freed.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     env = spark.sparkContext.environment
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(4 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20))):
+        env.setdefault(name, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in parts:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *parts])
@@ -62,6 +65,21 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def release() -> None:
+    """Give memory that a task of a Python worker no longer holds back to the system: workers are used again."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

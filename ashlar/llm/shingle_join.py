@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_shuffles, partitions, shared_dir, stored
+from .common import free_shuffles, partitions, release, shared_dir, stored
 from .components import components
 
 SHINGLE = 5
@@ -46,8 +46,8 @@ CROWD, BLOCK = 64, 256
 FRAGMENTS, FRAGMENT_ROWS = 64, 4_000_000
 #: Fragments in which the overlap of two sets is counted.
 PARTS = 8
-FLUSH = 3_000_000
-MOST_WORDS = 500_000
+FLUSH = 2_000_000
+MOST_WORDS = 300_000
 
 _U = np.uint64
 _SIX = np.dtype([("lo", "<u2"), ("hi", "<u4")])
@@ -65,6 +65,12 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _forget() -> None:
+    """At the end of a task."""
+    _WORDS.clear()
+    release()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
     x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
@@ -173,6 +179,7 @@ def _count(ranges: int):
                 seen.clear()
         if held:
             yield send(held)
+        _forget()
 
     return run
 
@@ -240,6 +247,7 @@ def _prefixes(ranges: int, common: np.ndarray, ranks: np.ndarray):
                 seen.clear()
         if grams:
             yield send(grams, nodes, sizes)
+        _forget()
 
     return run
 
@@ -264,19 +272,20 @@ def _partial_overlaps(table: pa.Table) -> pa.Table:
     heads = np.flatnonzero(np.concatenate([[True], e["gram"][1:] != e["gram"][:-1]]))
     sizes = np.diff(np.append(heads, len(e)))
     node, code = e["node"], e["size"].astype(np.int64)
-    pairs = []
+    pairs, most = [], 1_000_000
     for k in range(2, CROWD + 1):
         starts = heads[sizes == k]
         if not len(starts):
             continue
         i, j = np.triu_indices(k, 1)
-        for at in range(0, len(starts), max(1, 2_000_000 // len(i))):
-            some = starts[at : at + max(1, 2_000_000 // len(i)), None]
+        for at in range(0, len(starts), max(1, 250_000 // len(i))):
+            some = starts[at : at + max(1, 250_000 // len(i)), None]
             x, y = (some + i).ravel(), (some + j).ravel()
             fit = np.abs(code[x] - code[y]) <= _CODE_GAP
             pairs.append(np.stack([node[x[fit]], node[y[fit]]], axis=1))
-            if sum(map(len, pairs)) > 8_000_000:
+            if sum(map(len, pairs)) > most:
                 pairs = [_summed(pairs)]
+                most = max(most, 2 * len(pairs[0]))
     out = []
     if pairs:
         found = _summed(pairs)
@@ -313,6 +322,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, size = [], 0
         if rows:
             yield _set_batch(rows)
+    _forget()
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -12,8 +12,7 @@ that, and only where they can tie:
 
 Buckets are dealt out by ranges of their hash, as arrays: about one anchor for every 85 bytes. What one task holds
 twice it settles itself and sends once, so that a passage in a third of all texts comes once from each task. Equal texts
-are one text with copies, all of whose strings repeat. Texts are shuffled for step 3 (those that are asked) and for the
-result.
+are one text with copies, all of whose strings repeat. Texts are shuffled for step 3 and for the result.
 
 Bucket pointers are 64-bit hashes of the bytes. Defined results: a null text is empty, a text shorter than LENGTH has
 no string that could repeat; equal rows repeat each other wholly; overlapping repeats within one text count; a table
@@ -27,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_shuffles, partitions, shared_dir, stored
+from .common import free_shuffles, partitions, release, shared_dir, stored
 
 LENGTH, Q = 200, 32
 WINDOW = LENGTH - Q + 1
@@ -201,6 +201,7 @@ def _collect(ranges: int):
                 seen.clear()
         held.append(anchors(pieces))
         yield from send(held)
+        release()
 
     return run
 
@@ -383,28 +384,30 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last three columns are the bytes, copied and runs; ``text`` is replaced."""
+    """(row, data, copied, runs) -> (row, kept)."""
     for batch in batches:
-        names = batch.schema.names
         kept = []
-        for text, copied, runs in zip(batch.column(len(names) - 3), batch.column(len(names) - 2).to_pylist(), batch.column(len(names) - 1)):
+        for text, copied, runs in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3)):
             data = text.as_py()
             kept.append(without(data, whole_characters(data, spans_of(len(data), bool(copied), runs.as_py()))).decode("utf-8", "replace"))
-        columns = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names[:-3]]
-        yield pa.RecordBatch.from_arrays(columns, names[:-3])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
 
 
-def _joined(docs: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, keep: Column, name: str) -> DataFrame:
+    """``keep`` under ``name``, with _data, _copied and _runs; other columns of ``docs`` can have any names."""
     found = repeats(docs, shared_dir(docs.sparkSession)).withColumnsRenamed({"text": "_text", "copied": "_copied", "runs": "_runs"})
-    return _keyed(docs).join(found.hint("shuffle_hash"), F.col("_key") == F.col("_text"), "left")
+    keyed = _keyed(docs.select(keep.alias(name), "text"))
+    return keyed.join(found.hint("shuffle_hash"), F.col("_key") == F.col("_text"), "left").select(name, "_data", "_copied", "_runs")
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    rows = _joined(docs.select("doc_id", "text")).select("doc_id", "_data", "_copied", "_runs")
-    return rows.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(docs, F.col("doc_id"), "doc_id").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated strings taken out of ``text``, whole characters only; all columns stay."""
-    rows = _joined(docs).select(*docs.columns, "_data", "_copied", "_runs")
-    return rows.mapInArrow(_texts, docs.schema)
+    """``docs`` with the repeated strings taken out of ``text``, whole characters only; all columns stay, and a null text stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(F.col("text").isNull().alias("_null"), *others)
+    schema = T.StructType([T.StructField("row", docs.select(row.alias("row")).schema["row"].dataType), T.StructField("kept", T.StringType())])
+    left = _joined(docs, row, "row").mapInArrow(_texts, schema)
+    return left.select(*[F.when(~F.col("row._null"), F.col("kept")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -90,12 +90,12 @@ def _encode(path: str, end: int):
     """Rows of kind ``chunk`` (the first of its digest in this task) and ``recipe``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, close = tokens.encoder(path, "words").encode, np.array([end], dtype="<u2").tobytes()
+        encoder, close = tokens.encoder(path, "words"), np.array([end], dtype="<u2").tobytes()
         seen: set[bytes] = set()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             rows = []
-            for doc, text, packed in zip(docs, texts, encode(texts)):
+            for doc, text, packed in zip(docs, texts, encoder.encode(texts)):
                 raw = packed + close
                 ids = np.frombuffer(raw, dtype="<u2")
                 digests, lengths, last = [], [], 0

@@ -19,12 +19,15 @@ import os
 import re
 from struct import pack
 
+from .common import release
+
 #: Entries in each of the two generations of parts, and of words without their marks; about 200 bytes an entry.
 MOST_PARTS, MOST_WORDS = 350_000, 350_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_ENDS = b".,!?;:$%&*#"
 #: White space next to a single space, or a space at either end.
 _ODD = [a + b for w in b" \t\n\r\x0b\x0c" for a, b in ((bytes([w]), b" "), (b" ", bytes([w])))][1:]
 #: No white space, ASCII or other.
@@ -43,32 +46,40 @@ class _Parts(dict):
         self.library, self.model, self.before, self.lower = library, library.model, before, lower
         self.shown = before.encode().decode("latin-1").translate(_LETTER)
         self.old: dict[bytes, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.old_letters: dict[str, bytes] = {}
+        self.letters: dict[bytes, bytes] = {}
+        self.old_letters: dict[bytes, bytes] = {}
         self.after_line, self.line = self, None
-        self.marks: dict[str, bytes] = {}
+        self.marks: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return pack(f"<{len(ids)}H", *ids)
 
+    def word(self, word: bytes) -> bytes:
+        """Ids of letters alone."""
+        if (ids := self.letters.get(word)) is None:
+            if (ids := self.old_letters.get(word)) is None:
+                shown = word.decode("latin-1")
+                found = [t.id for t in self.model.tokenize(self.shown + (shown if word.isascii() else shown.translate(_LETTER)))]
+                ids = pack(f"<{len(found)}H", *found)
+            self.letters[word] = ids
+        return ids
+
     def __missing__(self, part: bytes) -> bytes:
         if (ids := self.old.get(part)) is None:
-            text = part.decode("utf-8", "replace")
-            if m := _PLAIN.fullmatch(text):
-                word, marks = m.groups()
-                if self.lower:
-                    word = word.lower()
-                if (ids := self.letters.get(word)) is None:
-                    if (ids := self.old_letters.get(word)) is None:
-                        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTER)
-                        found = [t.id for t in self.model.tokenize(self.shown + shown)]
-                        ids = pack(f"<{len(found)}H", *found)
-                    self.letters[word] = ids
+            word = part.rstrip(_ENDS)
+            if not word.isalpha():  # bytes: letters of ASCII only
+                m = _PLAIN.fullmatch(text := part.decode("utf-8", "replace"))
+                word = (m[1].lower() if self.lower else m[1]).encode() if m else b""
+                marks = m[2].encode() if m else b""
+            else:
+                marks = part[len(word) :]
+            if word:
+                ids = self.word(word)
                 if marks:
                     if (more := self.marks.get(marks)) is None:
-                        more = self.marks[marks] = self.whole(marks)
-                    ids = ids + more
+                        more = self.marks[marks] = self.whole(marks.decode())
+                    ids += more
             elif b"\n" in part and all(map(_BARE.fullmatch, lines := part.split(b"\n"))):
                 # A single line feed between other characters is a token of its own, and what follows has no space before it.
                 if self.line is None:
@@ -80,6 +91,11 @@ class _Parts(dict):
             self[part] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop all but the newer words."""
+        self.clear()
+        self.old, self.old_letters, self.marks = {}, {}, {}
+
     def trim(self) -> None:
         if len(self) > MOST_PARTS:
             self.old = dict(self)
@@ -119,6 +135,12 @@ class Encoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         return [self.one(t) for t in texts]
 
+    def done(self) -> None:
+        """At the end of a task: the worker may wait long for the next, beside others."""
+        self.first.forget()
+        self.rest.forget()
+        release()
+
 
 def encoder(path: str, kind: str) -> Encoder:
     """One for each Python worker."""
