@@ -23,7 +23,7 @@ from ashlar.llm.common import shared_dir, ship, stored, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.op5(docs, tokens.vocabulary("byte_bpe_50k.json"))
+    return packing.op5(docs, tokens.vocabulary("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [
