@@ -22,8 +22,9 @@ BINS = 1001
 #: A row is rejected beyond quartile +- FENCE * max(interquartile range, the measure's least spread).
 FENCE = 3
 #: Measure -> (least interquartile range in bins, whether low values are rejected too). The least range keeps a fence
-#: from closing on the bulk of a group whose values are all alike.
-MEASURES = {"symbol_bin": (50, False), "dup_line_bin": (200, False), "repeat_bin": (100, False), "word_length_bin": (50, True)}
+#: from closing on the bulk of a group whose values are all alike. A repeated line of three, or a few repeated windows
+#: of a short text, are no sign of junk: texts of quality 1 reach bins 333 and 281, so those two ranges stay wide.
+MEASURES = {"symbol_bin": (5, False), "dup_line_bin": (120, False), "repeat_bin": (100, False), "word_length_bin": (20, True)}
 #: The longest text in words whose windows are sorted as packed numbers (48 bits of hash, 16 bits of position).
 PACKED_WORDS = 65536
 

@@ -273,6 +273,15 @@ def test_quality_on_odd_rows(spark, odd, empty):
     assert [r.n_repeat_words for r in quality.op8(docs).orderBy("doc_id").collect()] == want
 
 
+def test_quality_rejects_symbols_and_keeps_good_rows(spark):
+    large = SF.replace("0.001", "0.1")  # groups of 37 to 322 rows
+    rows = quality.op8(table(spark, large, "documents")).filter("not base_failed").join(table(spark, large, "labels"), "doc_id", "left").collect()
+    laden = [r for r in rows if 100 <= 1000 * r.n_symbols // max(r.word_chars, 1) <= 120]
+    assert laden and not any(r.kept for r in laden)
+    good = [r for r in rows if r.quality == 1]
+    assert good and all(r.kept for r in good)
+
+
 def brute_removed(rows):
     seen = collections.Counter(b[k : k + 200] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - 199))
     out = []
