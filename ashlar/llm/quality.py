@@ -5,6 +5,9 @@ sketches per language and source: every measure is an integer bin, a sketch is t
 sketches merge by adding counts. Bins are at most ``BINS`` for each measure, so a group's sketch has a bounded size
 however many rows it has, and the result does not depend on the order of rows or on how they were dealt out.
 
+Small groups are judged by their language, then by the whole table, and both bound the fences of larger groups. Junk
+that is more than a quarter of its language and of the whole table alike is not told from the rest.
+
 Defined results: a null text has no words; null ``lang`` and ``source`` form groups of their own; equal rows get equal
 verdicts; a table without rows gives none; other columns of the input are kept and never read.
 """
@@ -25,6 +28,8 @@ FENCE = 3
 #: from closing on the bulk of a group whose values are all alike. A repeated line of three, or a few repeated windows
 #: of a short text, are no sign of junk: texts of quality 1 reach bins 333 and 281, so those two ranges stay wide.
 MEASURES = {"symbol_bin": (5, False), "dup_line_bin": (120, False), "repeat_bin": (100, False), "word_length_bin": (20, True)}
+#: Quartiles of fewer rows say little: one to three have none beyond their fences.
+LEAST_ROWS = 30
 #: The longest text in words whose windows are sorted as packed numbers (48 bits of hash, 16 bits of position).
 PACKED_WORDS = 65536
 
@@ -101,18 +106,42 @@ def sketches(binned: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Dat
 
 
 def fences(sketch: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """For each group: the bins ``<measure>_lo`` and ``<measure>_hi`` outside which a row is rejected."""
-    group = Window.partitionBy(*by, "measure")
-    ranked = sketch.withColumn("_upto", F.sum("n").over(group.orderBy("bin"))).withColumn("_all", F.sum("n").over(group))
-    quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_all") * q, F.col("bin")))
-    at = ranked.groupBy(*by, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
-    columns = []
+    """For each group: the bins ``<measure>_lo`` and ``<measure>_hi`` outside which a row is rejected.
+
+    Sketches are merged by the first keys of ``by`` as well, down to the whole table. A group of fewer than LEAST_ROWS
+    rows takes the fences of the least pool with as many, and no group's are wider than its pools': junk of one source
+    does not raise its own. Word lengths are held by the language only, since languages differ in them.
+    """
+    limits = [f"{m}_{e}" for m in MEASURES for e in ("hi", "lo")]
+    levels = [F.struct(F.lit(k).alias("_level"), *[F.when(F.lit(i < k), F.col(c)).alias(c) for i, c in enumerate(by)]) for k in range(len(by) + 1)]
+    pooled = sketch.select(F.explode(F.array(*levels)).alias("_k"), "measure", "bin", "n").select("_k.*", "measure", "bin", "n")
+    keys = ("_level", *by)
+    pooled = pooled.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "measure")
+    ranked = pooled.withColumn("_upto", F.sum("n").over(group.orderBy("bin"))).withColumn("_rows", F.sum("n").over(group))
+    quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_rows") * q, F.col("bin")))
+    at = ranked.groupBy(*keys, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("_rows").alias("_rows"))
+    columns = [F.max("_rows").alias("_rows")]
     for name, (least, low) in MEASURES.items():
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
         mine = F.col("measure") == name
         columns.append(F.max(F.when(mine, F.col("q3") + FENCE * spread)).alias(f"{name}_hi"))
         columns.append(F.max(F.when(mine, F.col("q1") - FENCE * spread if low else F.lit(-1))).alias(f"{name}_lo"))
-    return at.groupBy(*by).agg(*columns)
+    at = at.groupBy(*keys).agg(*columns)
+    out = at.filter(F.col("_level") == len(by)).drop("_level")
+    for k in reversed(range(len(by))):
+        pool = at.filter(F.col("_level") == k).select(*[F.col(c).alias(f"_in_{c}") for c in (*by[:k], "_rows", *limits)])
+        on = F.lit(True)
+        for c in by[:k]:
+            on = on & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+        enough = F.col("_rows") >= LEAST_ROWS
+        held = []
+        for name, (_, low) in MEASURES.items():
+            for end, nearer in (("hi", F.least), ("lo", F.greatest)):
+                own, wide = F.col(f"{name}_{end}"), F.col(f"_in_{name}_{end}")
+                held.append(F.when(~enough, wide).otherwise(own if low and k == 0 else nearer(own, wide)).alias(f"{name}_{end}"))
+        out = out.join(F.broadcast(pool), on).select(*by, F.when(enough, F.col("_rows")).otherwise(F.col("_in__rows")).alias("_rows"), *held)
+    return out.drop("_rows")
 
 
 def verdicts(binned: DataFrame, limits: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:

@@ -282,6 +282,50 @@ def test_quality_rejects_symbols_and_keeps_good_rows(spark):
     assert good and all(r.kept for r in good)
 
 
+def test_quality_pools_small_and_junk_heavy_groups(spark):
+    r = random.Random(7)
+    words = lambda w: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(4, 6))) + w for _ in range(60))
+    groups = [("en", f"s{k}", "good") for k in range(4) for _ in range(60)] + [("en", "hot", "junk")] * 40 + [("en", "hot", "good")] * 30
+    groups += [("en", "rare", "junk"), ("en", "rare", "good"), ("xx", "s0", "junk"), ("xx", "s1", "good"), (None, None, "junk"), (None, None, "good")]
+    docs = spark.createDataFrame([(i, words(" |" if kind == "junk" else ""), lang, source) for i, (lang, source, kind) in enumerate(groups)], "doc_id long, text string, lang string, source string")
+    assert {x.doc_id for x in quality.op8(docs).filter("kept").collect()} == {i for i, g in enumerate(groups) if g[2] == "good"}
+
+
+def brute_fences(rows):
+    """(lang, source) -> the eight fences, from rows of (lang, source, four bins)."""
+    pools = collections.defaultdict(list)
+    for lang, source, *bins in rows:
+        for key in ((), (lang,), (lang, source)):
+            pools[key].append(bins)
+
+    def own(key, m, least, low):
+        v = sorted(b[m] for b in pools[key])
+        q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+        spread = max(q3 - q1, least)
+        return q3 + quality.FENCE * spread, q1 - quality.FENCE * spread if low else -1
+
+    out = {}
+    for key in [k for k in pools if len(k) == 2]:
+        chain = [key, key[:1], ()]
+        while len(chain) > 1 and len(pools[chain[0]]) < quality.LEAST_ROWS:
+            chain.pop(0)
+        limits = []
+        for m, (least, low) in enumerate(quality.MEASURES.values()):
+            used = [own(k, m, least, low) for k in chain if k or not low or chain == [()]]
+            limits += [max(x[1] for x in used), min(x[0] for x in used)]
+        out[key] = limits
+    return out
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_quality_fences_by_brute_force(spark, sf):
+    binned = quality.measures_of(table(spark, SF.replace("0.001", sf), "documents"), f"{quality.shared_dir(spark)}/measures")
+    want = brute_fences([tuple(r) for r in binned.select("lang", "source", *quality.MEASURES).collect()])
+    limits = quality.fences(quality.sketches(binned)).collect()
+    assert len(limits) == len(want)
+    assert {(r.lang, r.source): [r[f"{m}_{e}"] for m in quality.MEASURES for e in ("lo", "hi")] for r in limits} == want
+
+
 def brute_removed(rows):
     seen = collections.Counter(b[k : k + 200] for b in ((t or "").encode() for _, t in rows) for k in range(len(b) - 199))
     out = []
