@@ -175,6 +175,23 @@ def paths(nodes: DataFrame, levels: int = 64) -> DataFrame:
     """)
 
 
+def steps_up(nodes: DataFrame, bound: int) -> DataFrame:
+    """(id, steps): parents above each node of (id, parent), exact below ``bound``; at or above it for longer walks and cycles.
+
+    Every round doubles how far each node looks, so there are log2(bound) joins, whose results are checkpointed.
+    """
+    context = nodes.sparkSession.sparkContext
+    held = lambda df: df.checkpoint() if context.getCheckpointDir() else df.localCheckpoint()
+    known = nodes.select(F.col("id").alias("_id"))
+    far = held(nodes.join(known, F.col("parent") == F.col("_id"), "left").select("id", F.col("_id").alias("to"), F.when(F.col("_id").isNull(), 0).otherwise(1).cast("bigint").alias("steps")))
+    reach = 1
+    while reach < bound:
+        on = far.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        far = held(far.join(on, F.col("to") == F.col("_id"), "left").select("id", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+        reach *= 2
+    return far.select("id", "steps")
+
+
 def listing(files: DataFrame) -> DataFrame:
     """Catalogue of ``files`` (path, content): archive, id, path, offset, stored_size, original_size, compression, in_bounds; archives that cannot be read give a row with ``error``."""
     head = probe(files)

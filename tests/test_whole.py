@@ -3,6 +3,7 @@
 import duckdb
 from test_queries import SF, canonical
 
+from ashlar.operators import archive
 from ashlar.plans import registry
 
 
@@ -11,3 +12,34 @@ def test_chunks_of_every_entry(spark):
       SELECT l_returnflag, least(n, 17)::BIGINT AS chunks, count(*) AS entries FROM (
         SELECT l_returnflag, l_suppkey, l_linestatus, count(*) AS n FROM '{SF}/lineitem.parquet' GROUP BY ALL) GROUP BY 1, 2""").df()
     assert canonical(registry.queries()["chunks_per_entry"](spark, SF).toPandas()) == canonical(want)
+
+
+def test_cycles_among_all_suppliers(spark):
+    large = SF.replace("0.001", "0.1")
+    ids = [r[0] for r in duckdb.sql(f"SELECT s_suppkey FROM '{large}/supplier.parquet'").fetchall()]
+    n = len(ids)
+    assert n > 100
+    up = {i: -1 if i % 7 == 0 else 3 * i % n for i in ids}
+    steps = []
+    for i in ids:
+        k = 0
+        while up[i] in up and k <= n:
+            i, k = up[i], k + 1
+        steps.append(k)
+    cyclic = sum(k > n for k in steps)
+    assert registry.queries()["tree_cycles"](spark, large).collect() == [(cyclic, min(max(steps), n))]
+
+
+def test_steps_up_of_chains_and_cycles(spark):
+    up = {0: -1, **{i: i - 1 for i in range(1, 120)}, 200: 201, 201: 202, 202: 200, 300: 999, 301: 301, 302: 201}
+    got = archive.steps_up(spark.createDataFrame(list(up.items()), "id long, parent long"), len(up) + 1).collect()
+    want = {i: min(i, 119) for i in range(120)} | {300: 0}
+    assert len(got) == len(up) and {r.id: r.steps for r in got if r.steps <= len(up)} == want
+
+
+def test_path_filter_over_all_users(spark, tmp_path):
+    """On rows of its own: no event of the given tables passes the substring filter."""
+    rows = [(i, i % 7, "view" if i % 4 else "buy", "Path/A" if i % 2 else "zz") for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted((u, e) for e, u, kind, props in rows if kind == "view" and "a" in props.lower())
+    assert sorted(map(tuple, registry.queries()["path_filter"](spark, str(tmp_path)).collect())) == want
