@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 ENTROPY_BYTES = 65536
 
 
-def entropy_udf(most: int = ENTROPY_BYTES):
-    """Shannon entropy in bits a byte of the first ``most`` bytes. A byte histogram by numpy: exploding bytes into rows is far slower."""
+def entropy_udf(most: int | None = ENTROPY_BYTES):
+    """Shannon entropy in bits a byte of the first ``most`` bytes, of all if None. A byte histogram by numpy: exploding bytes into rows is far slower."""
 
     @pandas_udf("double")
     def entropy(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -68,7 +68,7 @@ SELECT doc_id, round(-sum(p * log2(p)), 4) AS entropy FROM (
       SELECT doc_id, h, unnest(range(1, length(h), 2)) AS i FROM (SELECT doc_id, substr(hex(encode(text)), 1, 131072) AS h FROM documents)) GROUP BY doc_id, b))
 GROUP BY doc_id""")
 def byte_entropy(spark, sf_dir):
-    return _documents(spark, sf_dir).select("doc_id", F.round(stats.entropy_udf()("content"), 4).alias("entropy"))
+    return _documents(spark, sf_dir).select("doc_id", F.round(stats.entropy_udf(None)("content"), 4).alias("entropy"))
 
 
 @query("""

@@ -43,3 +43,10 @@ def test_path_filter_over_all_users(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     want = sorted((u, e) for e, u, kind, props in rows if kind == "view" and "a" in props.lower())
     assert sorted(map(tuple, registry.queries()["path_filter"](spark, str(tmp_path)).collect())) == want
+
+
+def test_entropy_of_whole_texts(spark, tmp_path):
+    texts = ["a" * 65536 + "b" * 65536, "abcd" * 20000, "x" * 65536 + "y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.entropy for r in registry.queries()["byte_entropy"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1.0, 1: 2.0, 2: 0.0003}
