@@ -3,6 +3,7 @@
 Both vocabularies split a text before it is merged into tokens, and never merge across white space. A text is cut at
 places where the library's own splitting always has a boundary, whatever stands around it:
 
+* at the literals of added tokens such as ``<|endoftext|>``, which have ids of their own;
 * ``words``: at runs of ASCII white space, which the vocabulary drops, after A-Z are lower-cased, as it does itself;
 * ``spaced``: before each single space that stands between two bytes that are not ASCII white space (the space opens
   the next part).
@@ -111,17 +112,36 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.library.get_vocab_size() > 1 << 16:
+        self.path = path
+        plain = Tokenizer.from_file(path)
+        if plain.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as two bytes each")
+        added = plain.get_added_tokens_decoder()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens are looked for as they stand")
+        self.added = {t.content.encode(): pack("<H", i) for i, t in added.items()}
+        self.literal = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")")
+        plain.encode_special_tokens = True  # texts are cut at these literals first: a part that has one got it by lower-casing
         self.spaced = {"words": False, "spaced": True}[kind]
-        self.first = _Parts(self.library, "", False)
-        self.rest = _Parts(self.library, " ", False) if self.spaced else _Parts(self.library, "", True)
+        self.first = _Parts(plain, "", False)
+        self.rest = _Parts(plain, " ", False) if self.spaced else _Parts(plain, "", True)
         self.rest.after_line = self.first
 
+    @property
+    def library(self):
+        """The library's own tokenizer, whose ids those of ``one`` are."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def one(self, text: bytes) -> bytes:
         """Little-endian two-byte ids of a text (UTF-8)."""
+        if any(map(text.__contains__, self.added)):
+            return b"".join(self.added[x] if k % 2 else self.between(x) for k, x in enumerate(self.literal.split(text)))
+        return self.between(text)
+
+    def between(self, text: bytes) -> bytes:
+        """Ids of a text without literals of added tokens."""
         self.rest.trim()
         if not self.spaced:
             return b"".join(map(self.rest.__getitem__, text.lower().split()))  # the vocabulary has no capitals

@@ -142,6 +142,15 @@ def test_encoder_is_the_library(path, kind, duck):
         assert got == want
 
 
+@pytest.mark.parametrize("path, kind", [(WORDS, "words"), (BYTES, "spaced")])
+def test_literals_of_added_tokens(path, kind):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a<|endoftext|>\n<|startoftext|> b", "<|ENDOFTEXT|> a", "<|endoftext |> <|endoftext|", " <|startoftext|>é ", "x <|<|endoftext|>|> y"]
+    want = [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    assert tokens.Encoder(path, kind).encode([t.encode() for t in texts]) == want
+
+
 def brute_ids(path, rows, end):
     lib = tokens.Encoder(path, "words").library
     return [(d, np.array(lib.encode(t or "", add_special_tokens=False).ids + [end], dtype="<u4")) for d, t in rows]
