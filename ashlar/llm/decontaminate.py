@@ -6,8 +6,8 @@ words there (every window of WINDOW words has such a place), and only texts that
 Hits of the hash set are verified word by word before they count. Neither texts nor word positions are shuffled: a row
 for each document, and one for each hit, leaves the scan.
 
-Defined results: a null or wordless text has no words and no hits; null items and items without words have no
-windows; items of equal text each count; equal documents (repeated rows) get equal rows; tables without rows give no
+Defined results: a null or wordless text has no words and no hits; items without text or words have
+no windows; items without id are hits as others are, count as one item and are not in the list; items of equal text each count; equal documents (repeated rows) get equal rows; tables without rows give no
 rows, or no hits; other columns are not read.
 """
 
@@ -42,7 +42,7 @@ def folded(word: Column) -> Column:
 def windows_of(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
     """(item, words, h): the distinct windows of every item; an item of fewer than WINDOW words is one window."""
     words = F.transform(words_of(F.col("text")), folded)
-    items = benchmark.select(F.col(item).cast("string").alias("item"), words.alias("_w")).filter((F.size("_w") > 0) & F.col("item").isNotNull())
+    items = benchmark.select(F.col(item).cast("string").alias("item"), words.alias("_w")).filter(F.size("_w") > 0)
     width = F.least(F.size("_w"), F.lit(WINDOW))
     parts = F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.slice("_w", i, width))
     out = items.select("item", F.explode(parts).alias("words")).distinct()
@@ -78,7 +78,7 @@ def _window_structs(width: int, table: BitTable | None) -> Column:
 
 
 def hits(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each verified hit (``at``: 0-based first word, ``width``, ``items``), or one with nulls for a document without.
+    """A row for each verified hit (``at``: 0-based first word, ``width``, ``items``, ``unnamed``: whether one has no id), or one with nulls for a document without.
 
     ``keep``: columns of ``docs`` to carry; ``n_words`` is added, and ``first``, true once for each document. Short items
     make windows of their own widths, which are looked for at every position.
@@ -101,20 +101,21 @@ def hits(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
     rows = scanned.select(*keep, "n_words", F.posexplode_outer(F.concat(*[_window_structs(w, table) for w in widths])).alias("_n", "_hit"))
     rows = rows.select(*keep, "n_words", (F.coalesce(F.col("_n"), F.lit(0)) == 0).alias("first"), F.col("_hit.at").alias("at"), F.col("_hit.width").alias("width"), F.col("_hit.words").alias("_words"))
     rows = rows.withColumn("_h", F.xxhash64("_words"))
-    known = windows.groupBy("h", "words").agg(F.collect_set("item").alias("items")).withColumnRenamed("h", "_kh").withColumnRenamed("words", "_kw")
+    known = windows.groupBy("h", "words").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed")).withColumnRenamed("h", "_kh").withColumnRenamed("words", "_kw")
     joined = rows.join(F.broadcast(known) if small else known, (F.col("_h") == F.col("_kh")) & (F.col("_words") == F.col("_kw")), "left")
     real = F.col("items").isNotNull()
-    return joined.select(*keep, "n_words", "first", F.when(real, F.col("at")).alias("at"), F.when(real, F.col("width")).alias("width"), "items")
+    return joined.select(*keep, "n_words", "first", F.when(real, F.col("at")).alias("at"), F.when(real, F.col("width")).alias("width"), "items", "unnamed")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
-    """For each distinct row of ``keep``: times it occurs, n_words, n_hit, items (sorted) and spans (first word, word after the last)."""
+    """For each distinct row of ``keep``: times it occurs, n_words, n_hit, items (sorted), unnamed and spans (first word, word after the last)."""
     found = hits(docs, windows_of(benchmark), keep)
     places = found.groupBy(*keep).agg(
         F.max("n_words").alias("n_words"),
         F.count_if("first").alias("times"),
         F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("a"), (F.col("at") + F.col("width")).alias("b"))))).alias("_at"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.coalesce(F.max("unnamed"), F.lit(False)).alias("unnamed"),
     )
     # Sorted by start: a hit opens a new span where it starts beyond the end so far.
     empty = F.array().cast("array<struct<a:int,b:int>>")
@@ -143,7 +144,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = spans(keyed, benchmark, ["doc_id", "_x", "_y"])
     found = found.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "spans"
+        "doc_id", "n_words", "n_hit", (F.size("items") + F.col("unnamed").cast("int")).cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "spans"
     )
 
 

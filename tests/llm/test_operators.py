@@ -191,6 +191,19 @@ def test_language(spark, duck, odd, empty):
     assert {r.lang_pred for r in language.op3(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_decontamination_by_items_without_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(None, item), (None, "lone words"), (1, item + " more"), (2, "other words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "the lone words"), (3, "other words"), (4, "nothing"), (5, "lone words or other words")], "doc_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", items)):
+        con.register(name, df.toArrow())
+    want = con.sql(decontaminate.ORACLE)
+    got = rows_of(decontaminate.op4(docs, items), *want.columns)
+    assert got == sorted(want.fetchall(), key=repr) and [r[2] for r in sorted(got)] == [20, 2, 2, 0, 4]
+    assert [r.doc_id for r in decontaminate.remove_documents(docs, items).collect()] == [4]
+
+
 def test_decontamination_on_odd_rows(spark, odd, empty):
     long_item = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, long_item), (2, "one"), (3, None), (4, "..."), (5, "Two words")], "item_id long, text string")
