@@ -422,3 +422,24 @@ def test_main_text_of_sample(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         want = [re.sub(r"\s+", " ", html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x)))).strip() for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(x for x in want if x)
+
+
+def test_members_in_linear_time():
+    """Twice the records take about twice the time; a file that ends within a record is an error."""
+    import gzip
+    import time
+
+    r = random.Random(4)
+    one = gzip.compress(bytes(r.randrange(256) for _ in range(2800)), mtime=0)
+    took = []
+    for n in (2000, 4000):
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert sum(1 for _ in warc.members(one * n)) == n
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+    assert took[1] <= 2.5 * took[0]
+    assert list(warc.members(gzip.compress(b"a" * 50_000) + gzip.compress(b""))) == [b"a" * 50_000, b""]
+    with pytest.raises(ValueError):
+        list(warc.members(one[:-5]))
