@@ -1,29 +1,33 @@
 """Benchmark decontamination (operator 4), in DataFrame functions only.
 
-The benchmark's windows of normalised words are a hash set that is broadcast. Texts are scanned in their own rows, in
-two steps: a bit table tells at every STRIDE-th word whether a benchmark item may have the same GRAM
-words there (every window of WINDOW words has such a place), and only texts that may are hashed at every position.
-Hits of the hash set are verified word by word before they count. Neither texts nor word positions are shuffled: a row
-for each document, and one for each hit, leaves the scan.
+The benchmark's windows of normalised words are a hash set that is broadcast, and so are the hashes of their grams of
+GRAM words. A window of WINDOW words has a gram at exactly one of any STRIDE places next to each other, so a text gives
+a row for each STRIDE-th place, with the gram's hash alone; rows that the set of grams holds look up the STRIDE windows
+around them, which are verified word by word. Shorter items make windows of their own widths, with strides of their
+own. All this happens within the scan: neither texts nor word positions are shuffled, and a row for each document and
+one for each hit leave it.
+
+A set of windows is broadcast up to PART_WINDOWS windows. A larger benchmark is cut into parts of at most as many, and
+texts are scanned once for each part; only hits leave a scan, whatever the size of the benchmark.
 
 Defined results: a null or wordless text has no words and no hits; items without text or words have
 no windows; items without id are hits as others are, count as one item and are not in the list; items of equal text each count; equal documents (repeated rows) get equal rows; tables without rows give no
-rows, or no hits; other columns are not read.
+rows, or no hits; other columns are not read, and :func:`remove_documents` keeps them under any names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
 GRAM = 4
-STRIDE = WINDOW - GRAM + 1
-#: The largest set of windows that is broadcast, in rows (about 300 bytes each). Beyond it no bit table is made either:
-#: every window of every text is hashed and joined by a shuffle.
-BROADCAST_WINDOWS = 200_000
-#: Slots of a bit table for each hash in it (a byte each, three probes), and the most slots: 4 MB with the plan.
-SLOTS_EACH, MOST_SLOTS = 24, 1 << 22
+#: Windows of one broadcast set (about 300 bytes each; a window adds a gram or so, 16 bytes each).
+PART_WINDOWS = 200_000
+#: Windows of one item that stay together, as windows next to each other share their grams.
+RUN = 4096
 
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -40,71 +44,72 @@ def folded(word: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, item: str = "item_id") -> DataFrame:
-    """(item, words, h): the distinct windows of every item; an item of fewer than WINDOW words is one window."""
+    """(item, run, words, h): the distinct windows of every item; an item of fewer than WINDOW words is one window."""
     words = F.transform(words_of(F.col("text")), folded)
     items = benchmark.select(F.col(item).cast("string").alias("item"), words.alias("_w")).filter(F.size("_w") > 0)
     width = F.least(F.size("_w"), F.lit(WINDOW))
     parts = F.transform(F.sequence(F.lit(1), F.size("_w") - width + 1), lambda i: F.slice("_w", i, width))
-    out = items.select("item", F.explode(parts).alias("words")).distinct()
+    out = items.select("item", F.posexplode(parts).alias("_at", "words"))
+    out = out.groupBy("item", "words").agg(F.min(F.expr(f"_at div {RUN}")).alias("run"))
     return out.withColumn("h", F.xxhash64("words"))
 
 
-class BitTable:
-    """Set of hashes as a literal: false for most others, never false for a member."""
+def _grams_of(width: int) -> tuple[int, int]:
+    """Words of a gram of windows of ``width`` words, and how far apart the places stand at which texts are looked at."""
+    gram = min(GRAM, width)
+    return gram, width - gram + 1
 
-    def __init__(self, hashes: list[int]):
-        self.slots = 1 << 16
-        while self.slots < min(MOST_SLOTS, SLOTS_EACH * len(hashes)):
-            self.slots *= 2
-        table = bytearray(self.slots)
-        for h in hashes:
-            for shift in (0, 21, 42):
-                table[(h >> shift) % self.slots] = 1
-        self.table = F.lit(bytes(table))
 
-    def has(self, h: Column) -> Column:
-        probe = lambda shift: F.substring(self.table, F.pmod(F.shiftright(h, shift), F.lit(self.slots)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
-        return probe(0) & probe(21) & probe(42)
+def _gram(words: str, at: Column, width: int) -> Column:
+    """Hash of the gram at the 0-based ``at``. Wider folding than the windows': more places are looked at, none is missed."""
+    return F.xxhash64(F.lit(width), F.array(*[F.lower(F.get(words, at + k)) for k in range(_grams_of(width)[0])]))
 
 
-def _places(width: int, table: BitTable | None) -> Column:
-    """1-based starts in ``_f`` of windows of ``width`` words that the set may hold."""
-    every = F.when(F.size("_f") >= width, F.sequence(F.lit(1), F.size("_f") - width + 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(every, lambda i: table.has(F.xxhash64(F.slice("_f", i, width)))) if table else every
+def _always() -> Column:
+    """The gram of a row that every text has, so that texts without hits are counted too."""
+    return F.xxhash64(F.lit(0))
 
 
-def _window_structs(width: int, table: BitTable | None) -> Column:
-    return F.transform(_places(width, table), lambda i: F.struct((i - 1).alias("at"), F.lit(width).alias("width"), F.slice("_f", i, width).alias("words")))
+def _place_of(width: int):
+    return lambda at: F.struct(F.lit(width).alias("width"), at.alias("at"), _gram("_w", at, width).alias("h"))
 
 
-def hits(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each verified hit (``at``: 0-based first word, ``width``, ``items``, ``unnamed``: whether one has no id), or one with nulls for a document without.
+def _hits(scanned: DataFrame, windows: DataFrame, widths: list[int], keep: list[str]) -> DataFrame:
+    """Hits of one part of the windows, and a row for each text (``first``)."""
+    none = F.array().cast("array<struct<width:int,at:int,h:bigint>>")
+    looked, known = [F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("at"), _always().alias("h")))], [F.array(_always())]
+    for w in widths:
+        gram, stride = _grams_of(w)
+        places = F.sequence(F.lit(0), F.size("_w") - gram, F.lit(stride))
+        looked.append(F.when(F.size("_w") >= w, F.transform(places, _place_of(w))).otherwise(none))
+        parts = F.array(*[_gram("words", F.lit(i), w) for i in range(stride)])
+        known.append(F.when(F.size("words") == w, parts).otherwise(F.array().cast("array<bigint>")))
+    grams = windows.select(F.explode(F.concat(*known)).alias("_g")).unionByName(scanned.sparkSession.range(1).select(_always().alias("_g"))).distinct()
+    rows = scanned.select(*keep, "n_words", "_w", F.explode(F.concat(*looked)).alias("_look")).select(*keep, "n_words", "_w", "_look.*")
+    rows = rows.join(F.broadcast(grams), F.col("h") == F.col("_g"), "left_semi")
+    stride = reduce(lambda c, w: c.when(F.col("width") == w, _grams_of(w)[1]), widths, F.when(F.col("width") == 0, 0))
+    starts = F.filter(F.sequence(F.greatest(F.col("at") - stride + 1, F.lit(0)), F.col("at")), lambda i: (F.col("width") > 0) & (i + F.col("width") <= F.size("_w")))
+    found = F.transform(starts, lambda i: F.struct(i.alias("at"), F.transform(F.slice("_w", i + 1, F.col("width")), folded).alias("words")))
+    rows = rows.select(*keep, "n_words", "width", F.explode_outer(found).alias("_hit"))
+    rows = rows.select(*keep, "n_words", (F.col("width") == 0).alias("first"), F.col("_hit.at").alias("at"), F.col("width"), F.col("_hit.words").alias("_words")).withColumn("_h", F.xxhash64("_words"))
+    items = windows.groupBy(F.col("h").alias("_kh"), F.col("words").alias("_kw")).agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed"))
+    joined = rows.join(F.broadcast(items), (F.col("_h") == F.col("_kh")) & (F.col("_words") == F.col("_kw")), "left")
+    return joined.select(*keep, "n_words", "first", "at", "width", "items", "unnamed").filter(F.col("first") | F.col("items").isNotNull())
 
-    ``keep``: columns of ``docs`` to carry; ``n_words`` is added, and ``first``, true once for each document. Short items
-    make windows of their own widths, which are looked for at every position.
-    """
-    widths = sorted({*(r[0] for r in windows.select(F.size("words")).distinct().collect()), WINDOW})  # at most WINDOW numbers
-    small = windows.count() <= BROADCAST_WINDOWS
-    table = grams = None
-    if small:
-        parts = F.transform(F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: F.xxhash64(F.transform(F.slice("words", i, GRAM), F.lower)))
-        grams = BitTable([r[0] for r in windows.filter(F.size("words") == WINDOW).select(F.explode(parts)).distinct().collect()])
-        table = BitTable([r[0] for r in windows.select("h").distinct().collect()])
 
+def hits(docs: DataFrame, windows: DataFrame, keep: list[str], part_windows: int = PART_WINDOWS) -> DataFrame:
+    """A row for each verified hit (``at``: 0-based first word, ``width``, ``items``, ``unnamed``: whether one has no id), and one for each document (``first``).
+
+    ``keep``: columns of ``docs`` to carry; ``n_words`` is added. A window that items in several parts have is a hit of each part.
+    """
+    widths = sorted(r[0] for r in windows.select(F.size("words")).distinct().collect())  # at most WINDOW numbers
+    parts = -(-windows.count() // part_windows) or 1
     scanned = docs.select(*keep, words_of(F.col("text")).alias("_w")).withColumn("n_words", F.size("_w").cast("long"))
-    n = F.size("_w")
-    may = F.lit(True)
-    if small and widths == [WINDOW]:
-        gram = lambda i: F.xxhash64(F.array(*[F.lower(F.get("_w", i + k)) for k in range(GRAM)]))
-        may = (n >= WINDOW) & F.exists(F.sequence(F.lit(0), F.greatest(n - GRAM, F.lit(0)), F.lit(STRIDE)), lambda i: grams.has(gram(i)))
-    scanned = scanned.withColumn("_f", F.when(may, F.transform("_w", folded)).otherwise(F.array().cast("array<string>"))).drop("_w")
-    rows = scanned.select(*keep, "n_words", F.posexplode_outer(F.concat(*[_window_structs(w, table) for w in widths])).alias("_n", "_hit"))
-    rows = rows.select(*keep, "n_words", (F.coalesce(F.col("_n"), F.lit(0)) == 0).alias("first"), F.col("_hit.at").alias("at"), F.col("_hit.width").alias("width"), F.col("_hit.words").alias("_words"))
-    rows = rows.withColumn("_h", F.xxhash64("_words"))
-    known = windows.groupBy("h", "words").agg(F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed")).withColumnRenamed("h", "_kh").withColumnRenamed("words", "_kw")
-    joined = rows.join(F.broadcast(known) if small else known, (F.col("_h") == F.col("_kh")) & (F.col("_words") == F.col("_kw")), "left")
-    real = F.col("items").isNotNull()
-    return joined.select(*keep, "n_words", "first", F.when(real, F.col("at")).alias("at"), F.when(real, F.col("width")).alias("width"), "items", "unnamed")
+    found = []
+    for k in range(parts):
+        some = windows if parts == 1 else windows.filter(F.pmod(F.xxhash64("item", "run"), F.lit(parts)) == k)
+        found.append(_hits(scanned, some, widths, keep).filter(F.lit(k == 0) | ~F.col("first")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
@@ -113,7 +118,7 @@ def spans(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     places = found.groupBy(*keep).agg(
         F.max("n_words").alias("n_words"),
         F.count_if("first").alias("times"),
-        F.sort_array(F.collect_set(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("a"), (F.col("at") + F.col("width")).alias("b"))))).alias("_at"),
+        F.sort_array(F.collect_set(F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("a"), (F.col("at") + F.col("width")).alias("b"))))).alias("_at"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.coalesce(F.max("unnamed"), F.lit(False)).alias("unnamed"),
     )
@@ -159,8 +164,10 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_x"), F.md5("text").alias("_y"))
     bad = spans(keyed, benchmark, ["doc_id", "_x", "_y"]).filter(contaminated()).select(F.col("doc_id").alias("_id"), "_x", "_y")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_x")) & F.md5("text").eqNullSafe(F.col("_y"))
-    return docs.join(bad, on, "left_anti")
+    rows = docs.select(F.struct("*").alias("row"))
+    text = F.col("row")["text"]
+    on = F.col("row")["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_x")) & F.md5(text).eqNullSafe(F.col("_y"))
+    return rows.join(bad, on, "left_anti").select("row.*")
 
 
 #: DuckDB: the rows of op4.

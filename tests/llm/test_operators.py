@@ -443,3 +443,39 @@ def test_members_in_linear_time():
     assert list(warc.members(gzip.compress(b"a" * 50_000) + gzip.compress(b""))) == [b"a" * 50_000, b""]
     with pytest.raises(ValueError):
         list(warc.members(one[:-5]))
+
+
+def test_decontamination_in_parts(spark, duck):
+    """A benchmark in several broadcast parts, with short items, gives what one part gives; each part is within the bound."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abc") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(r.choice((1, 2, 3, 5, 12, 13, 14, 40, 230))))) for i in range(30)]
+    rows = [(i, " ".join(word() for _ in range(r.randint(0, 60))) + " " + items[i % 30][1][: r.randint(0, 300)]) for i in range(90)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", docs), ("benchmark", benchmark)):
+        con.register(name, df.toArrow())
+    want = con.sql(decontaminate.ORACLE)
+    rows = sorted(want.fetchall(), key=repr)
+    n = decontaminate.windows_of(benchmark).count()
+    for most in (n, n - 1, n // 5):
+        most, decontaminate.hits.__defaults__ = decontaminate.hits.__defaults__, (most,)
+        try:
+            assert rows_of(decontaminate.op4(docs, benchmark), *want.columns) == rows
+        finally:
+            decontaminate.hits.__defaults__ = most
+
+
+def test_decontamination_plan_is_small(spark):
+    items = spark.range(1000).selectExpr("id AS item_id", "array_join(transform(sequence(1, 60), k -> concat('w', id * 60 + k)), ' ') AS text")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(600, 640))), (2, "nothing")], "doc_id long, text string")
+    got = decontaminate.op4(docs, items)
+    assert {r.doc_id: r.n_hit for r in got.collect()} == {1: 39, 2: 0}
+    assert len(got._jdf.queryExecution().toString()) < 200_000
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "c", 1, 2, 3, 4)], "doc_id long, text string, _x int, _y int, _id int, row int")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    left = decontaminate.remove_documents(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "c", 1, 2, 3, 4)]
