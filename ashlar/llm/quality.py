@@ -1,15 +1,18 @@
 """Quality rules with adaptive thresholds (operator 8), in DataFrame functions only.
 
 Each text is measured in its own row. Fixed cutoffs are replaced by fences that come from mergeable quantile
-sketches per language and source: every measure is an integer bin, a sketch is the count of rows in each bin, and two
-sketches merge by adding counts. Bins are at most ``BINS`` for each measure, so a group's sketch has a bounded size
-however many rows it has, and the result does not depend on the order of rows or on how they were dealt out.
+sketches per language and source. A sketch counts rows in bins of relative width: a value of LEAST or more is
+put in a bin that is at most 1/32 of the value wide, smaller ones in the bin 0. So a quantile has a relative error of
+1/32 at most (or is below LEAST), a sketch has at most 2,000 bins however many rows it stands for, two sketches merge by adding counts, and
+the result does not depend on the order of rows or on how they were dealt out.
 
-Small groups are judged by their language, then by the whole table, and both bound the fences of larger groups. Junk
-that is more than a quarter of its language and of the whole table alike is not told from the rest.
+A fence stands beyond a quantile of the group's own sketch by a factor. Nothing else bounds it: there is no least or
+greatest fence, and values have no upper limit. A quantile counts where BEYOND rows or more lie past it. Other groups are judged by their
+language, then by the whole table, and both bound the fences of larger groups, so that junk of one source does not
+raise its own. Junk that is more than a quarter of its language and of the whole table alike is not told from the rest.
 
 Defined results: a null text has no words; null ``lang`` and ``source`` form groups of their own; equal rows get equal
-verdicts; a table without rows gives none; other columns of the input are kept and never read.
+verdicts; a table without rows gives none; other columns of the input are kept, under any names, and never read.
 """
 
 from __future__ import annotations
@@ -20,16 +23,16 @@ from pyspark.sql.window import Window
 
 from .common import shared_dir, stored
 
-#: Bins are 0 .. BINS - 1; each measure is a share in thousandths, or a mean word length in fiftieths of a character.
-BINS = 1001
-#: A row is rejected beyond quartile +- FENCE * max(interquartile range, the measure's least spread).
-FENCE = 3
-#: Measure -> (least interquartile range in bins, whether low values are rejected too). The least range keeps a fence
-#: from closing on the bulk of a group whose values are all alike. A repeated line of three, or a few repeated windows
-#: of a short text, are no sign of junk: texts of quality 1 reach bins 333 and 281, so those two ranges stay wide.
-MEASURES = {"symbol_bin": (5, False), "dup_line_bin": (120, False), "repeat_bin": (100, False), "word_length_bin": (20, True)}
-#: Quartiles of fewer rows say little: one to three have none beyond their fences.
-LEAST_ROWS = 30
+#: The least value that has a bin of its own; shares are in ten thousandths, so half a hundredth. Bits of a bin's place between powers of two.
+LEAST, BITS = 50, 5
+#: Measure -> (quantile in hundredths, factor in tenths, whether low values are rejected too, at the opposite quantile).
+#: Symbols and word lengths part junk from prose by themselves: beyond the upper quartile. Repeated lines and words are
+#: common in good texts, so that only the last hundredth tells how far they go.
+MEASURES = {"symbols": (75, 13, False), "dup_lines": (99, 30, False), "repeats": (99, 30, False), "word_length": (75, 13, True)}
+#: Rows that must lie past a quantile.
+BEYOND = 10
+#: Groups whose fences are broadcast (about 100 bytes each); more are joined by a shuffle that Spark can split.
+BROADCAST_GROUPS = 200_000
 #: The longest text in words whose windows are sorted as packed numbers (48 bits of hash, 16 bits of position).
 PACKED_WORDS = 65536
 
@@ -85,111 +88,121 @@ def measure(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_words", "_lines")
 
 
-def _binned(measured: DataFrame) -> DataFrame:
-    """Integer bins of the measures; integer arithmetic, so that every engine gets the same."""
-    share = lambda x, y: F.least(F.lit(BINS - 1), F.expr(f"(1000 * {x}) div greatest({y}, 1)")).cast("int")
+def _valued(measured: DataFrame) -> DataFrame:
+    """The measures as integers, in integer arithmetic, so that every engine gets the same: shares in ten thousandths, a mean word length in thousandths of a character."""
     return measured.withColumns({
-        "symbol_bin": share("n_symbols", "word_chars"),
-        "dup_line_bin": share("n_dup_lines", "_n_lines"),
-        "repeat_bin": share("n_repeat_words", "n_words"),
-        "word_length_bin": F.least(F.lit(BINS - 1), F.expr("(50 * word_chars) div greatest(n_words, 1)")).cast("int"),
+        "symbols": F.expr("(10000 * n_symbols) div greatest(word_chars, 1)"),
+        "dup_lines": F.expr("(10000 * n_dup_lines) div greatest(_n_lines, 1)"),
+        "repeats": F.expr("(10000 * n_repeat_words) div greatest(n_words, 1)"),
+        "word_length": F.expr("(1000 * word_chars) div greatest(n_words, 1)"),
     }).drop("_n_lines")
 
 
-def sketches(binned: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """A row for each group, measure and bin in use, with its count: at most BINS rows a measure and group.
+def bin_of(value: Column) -> Column:
+    """0 below LEAST; else the place of the highest bit and the BITS bits after it. Bins are in the order of values."""
+    top = F.length(F.bin(value)) - 1
+    return F.when(value < LEAST, 0).otherwise(top * (1 << BITS) + F.call_function("shiftright", value, top - BITS).cast("int").bitwiseAND(F.lit((1 << BITS) - 1))).cast("int")
+
+
+def _edge(bin_: Column, upper: bool) -> Column:
+    """The largest or least value of a bin."""
+    top, low = F.shiftright(bin_, BITS), bin_.bitwiseAND(F.lit((1 << BITS) - 1))
+    width = F.call_function("shiftleft", F.lit(1).cast("bigint"), top - BITS)
+    return F.when(bin_ == 0, F.lit(LEAST - 1 if upper else 0)).otherwise((low + (1 << BITS) + (1 if upper else 0)) * width - (1 if upper else 0)).cast("bigint")
+
+
+def sketches(valued: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """A row for each group, measure and bin in use, with its count.
 
     Sketches of two tables merge by union and a sum of ``n``.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("bin")) for k in MEASURES]))
-    return binned.select(*by, pairs.alias("_p")).groupBy(*by, F.col("_p.measure").alias("measure"), F.col("_p.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), bin_of(F.col(k)).alias("bin")) for k in MEASURES]))
+    return valued.select(*by, pairs.alias("_p")).groupBy(*by, F.col("_p.measure").alias("measure"), F.col("_p.bin").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _own_fences(sketch: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """For each group of ``by``: ``<measure>_hi``, ``<measure>_lo`` and ``<measure>_enough``, whether its quantiles count."""
+    group = Window.partitionBy(*by, "measure")
+    merged = sketch.groupBy(*by, "measure", F.col("bin").alias("_bin")).agg(F.sum("n").alias("n"))
+    ranked = merged.withColumn("_upto", F.sum("n").over(group.orderBy("_bin"))).withColumn("_rows", F.sum("n").over(group))
+    columns = []
+    for name, (level, factor, low) in MEASURES.items():
+        mine = F.col("measure") == name
+        at = lambda q, upper: F.min(F.when(mine & (F.col("_upto") * 100 >= F.col("_rows") * q), _edge(F.col("_bin"), upper)))  # noqa: B023, E731
+        columns.append(F.floor(at(level, True) * factor / 10).cast("bigint").alias(f"{name}_hi"))
+        columns.append((F.ceil(at(100 - level, False) * 10 / factor) if low else F.lit(0)).cast("bigint").alias(f"{name}_lo"))
+        columns.append((F.max(F.when(mine, F.col("_rows"))) * (100 - level) >= 100 * BEYOND).alias(f"{name}_enough"))
+    return ranked.groupBy(*by).agg(*columns)
 
 
 def fences(sketch: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """For each group: the bins ``<measure>_lo`` and ``<measure>_hi`` outside which a row is rejected.
+    """For each group: the values ``<measure>_lo`` and ``<measure>_hi`` outside which a row is rejected, and ``<measure>_from``: keys of the pool that set them.
 
-    Sketches are merged by the first keys of ``by`` as well, down to the whole table. A group of fewer than LEAST_ROWS
-    rows takes the fences of the least pool with as many, and no group's are wider than its pools': junk of one source
-    does not raise its own. Word lengths are held by the language only, since languages differ in them.
+    A group whose quantile does not count takes the fence of the least pool where it does (the whole table's counts
+    always), and no group's are wider than its pools'. Word lengths are held by the language only, since languages differ in them.
     """
-    limits = [f"{m}_{e}" for m in MEASURES for e in ("hi", "lo")]
-    levels = [F.struct(F.lit(k).alias("_level"), *[F.when(F.lit(i < k), F.col(c)).alias(c) for i, c in enumerate(by)]) for k in range(len(by) + 1)]
-    pooled = sketch.select(F.explode(F.array(*levels)).alias("_k"), "measure", "bin", "n").select("_k.*", "measure", "bin", "n")
-    keys = ("_level", *by)
-    pooled = pooled.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "measure")
-    ranked = pooled.withColumn("_upto", F.sum("n").over(group.orderBy("bin"))).withColumn("_rows", F.sum("n").over(group))
-    quartile = lambda q: F.min(F.when(F.col("_upto") * 4 >= F.col("_rows") * q, F.col("bin")))
-    at = ranked.groupBy(*keys, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("_rows").alias("_rows"))
-    columns = [F.max("_rows").alias("_rows")]
-    for name, (least, low) in MEASURES.items():
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q3") + FENCE * spread)).alias(f"{name}_hi"))
-        columns.append(F.max(F.when(mine, F.col("q1") - FENCE * spread if low else F.lit(-1))).alias(f"{name}_lo"))
-    at = at.groupBy(*keys).agg(*columns)
-    out = at.filter(F.col("_level") == len(by)).drop("_level")
+    out = _own_fences(sketch, by)
+    limits = [f"{m}_{e}" for m in MEASURES for e in ("hi", "lo", "enough")]
+    out = out.select(*by, *limits, *[F.lit(len(by)).alias(f"{m}_from") for m in MEASURES])
+    pools = [_own_fences(sketch, by[:k]).select(*[F.col(c).alias(f"_in_{c}") for c in (*by[:k], *limits)]) for k in range(len(by))]
     for k in reversed(range(len(by))):
-        pool = at.filter(F.col("_level") == k).select(*[F.col(c).alias(f"_in_{c}") for c in (*by[:k], "_rows", *limits)])
-        on = F.lit(True)
-        for c in by[:k]:
-            on = on & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
-        enough = F.col("_rows") >= LEAST_ROWS
+        if k:
+            on = [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in by[:k]]
+            out = out.join(pools[k], on, "left")
+        else:
+            out = out.join(F.broadcast(pools[0]))  # one row
         held = []
-        for name, (_, low) in MEASURES.items():
+        for name, (_, _, low) in MEASURES.items():
+            enough, sure = F.col(f"{name}_enough"), F.col(f"_in_{name}_enough") | F.lit(k == 0)
             for end, nearer in (("hi", F.least), ("lo", F.greatest)):
                 own, wide = F.col(f"{name}_{end}"), F.col(f"_in_{name}_{end}")
-                held.append(F.when(~enough, wide).otherwise(own if low and k == 0 else nearer(own, wide)).alias(f"{name}_{end}"))
-        out = out.join(F.broadcast(pool), on).select(*by, F.when(enough, F.col("_rows")).otherwise(F.col("_in__rows")).alias("_rows"), *held)
-    return out.drop("_rows")
+                both = own if low and k == 0 else nearer(own, wide)
+                held.append(F.when(~enough, wide).when(sure, both).otherwise(own).alias(f"{name}_{end}"))
+            held.append((enough | sure).alias(f"{name}_enough"))
+            held.append(F.when(enough, F.col(f"{name}_from")).otherwise(F.lit(k)).alias(f"{name}_from"))
+        out = out.select(*by, *held)
+    return out.drop(*[f"{m}_enough" for m in MEASURES])
 
 
-def verdicts(binned: DataFrame, limits: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """``binned`` with kept: base rules passed, and every measure within the fences of the row's group.
+def verdicts(valued: DataFrame, limits: DataFrame, at: str, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """``valued`` with kept: base rules passed, and every measure within the fences of the row's group.
 
-    ``limits`` has a row for each group and is joined by an ordinary equi-join: Catalyst broadcasts it when it is
-    small, and splits the partition of a hot group when it is not.
+    ``limits`` has a row for each group and is written at ``at``. Up to BROADCAST_GROUPS rows of it are broadcast; more
+    are joined by an ordinary equi-join, of which Spark splits the partition of a hot group.
     """
-    limits = limits.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in limits.columns if c not in by])
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    # Each comparison needs the joined limits, so that a filter on `kept` stays above the join: pushed below, it would
-    # take the place of the columns that hold words and measure the text again for every word.
-    failed = F.col("base_failed").cast("int") * (10 * BINS)
-    kept = None
+    limits = stored(limits.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[f"{m}_{e}" for m in MEASURES for e in ("hi", "lo")]), at)
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    kept = ~F.col("base_failed")
     for name in MEASURES:
-        inside = (F.col(name) + failed <= F.col(f"{name}_hi")) & (F.col(name) >= F.col(f"{name}_lo"))
-        kept = inside if kept is None else kept & inside
-    drop = [*[f"_by_{c}" for c in by], *[f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]]
-    return binned.join(limits, on, "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop(*drop)
+        kept = kept & (F.col(name) <= F.col(f"{name}_hi")) & (F.col(name) >= F.col(f"{name}_lo"))
+    few = limits.count() <= BROADCAST_GROUPS
+    return valued.join(F.broadcast(limits) if few else limits, on, "left").withColumn("kept", F.coalesce(kept, F.lit(False))).drop(*limits.columns)
 
 
 def measures_of(docs: DataFrame, at: str) -> DataFrame:
-    """The binned measures of every row, without texts, written at ``at``: they are read for sketches and verdicts."""
-    return stored(_binned(measure(docs.select("doc_id", "text", "lang", "source"))).drop("text"), at)
+    """The measures of every row, without texts, written at ``at``: they are read for sketches and verdicts."""
+    return stored(_valued(measure(docs.select("doc_id", "text", "lang", "source"))).drop("text"), at)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """The measures, base_failed and kept of every row of ``docs``, which is in the struct ``row``.
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` without rejected rows; all columns stay, whatever their names.
 
-    Texts are measured again here rather than moved or written.
+    Texts are measured once: rows that pass the base rules are written with their measures, and read again for the verdict.
     """
-    limits = fences(sketches(measures_of(docs, f"{shared_dir(docs.sparkSession)}/measures")))
-    return verdicts(_binned(measure(docs.select(F.struct("*").alias("row"), "text", "lang", "source"))), limits)
-
-
-def keep(docs: DataFrame) -> DataFrame:
-    """``docs`` without rejected rows; all columns stay, whatever their names."""
-    return judge(docs).filter("kept").select("row.*")
+    at = shared_dir(docs.sparkSession)
+    row = docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("_row"))
+    valued = _valued(measure(row)).withColumn("_row", F.when(~F.col("base_failed"), F.col("_row"))).drop("text")
+    valued = stored(valued, f"{at}/measures")
+    return verdicts(valued, fences(sketches(valued)), f"{at}/fences").filter("kept").select("_row.*")
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    binned = measures_of(docs, f"{shared_dir(docs.sparkSession)}/measures")
-    return verdicts(binned, fences(sketches(binned))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    at = shared_dir(docs.sparkSession)
+    valued = measures_of(docs, f"{at}/measures")
+    return verdicts(valued, fences(sketches(valued)), f"{at}/fences").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: DuckDB: the rows of op8.
+#: DuckDB: the rows of op8. The n-th least bin of a group stands for its quantile; `v` are the measures, `k` their number.
 ORACLE = """
 WITH w AS (
   SELECT rowid AS r, doc_id, text, lang, source,
@@ -202,19 +215,32 @@ rep AS (SELECT r, count(DISTINCT i + k) AS n FROM d, (VALUES (0), (1), (2)) AS k
 m AS (
   SELECT w.doc_id, w.r, lang, source, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
     (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep ON rep.r = w.r),
-b AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS m1, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS m2,
-    least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS m3, least(1000, 50 * word_chars // greatest(n_words, 1)) AS m4
-  FROM m),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+v AS (
+  SELECT r, lang, source, unnest([1, 2, 3, 4]) AS k, unnest([10000 * n_symbols // greatest(word_chars, 1), 10000 * n_dup_lines // greatest(n_lines, 1),
+    10000 * n_repeat_words // greatest(n_words, 1), 1000 * word_chars // greatest(n_words, 1)]) AS v FROM b),
+e AS (SELECT *, length(bin(v)) - 1 AS e FROM v),
+s AS (SELECT r, lang, source, k, v, CASE WHEN v < 50 THEN 0 ELSE e * 32 + ((v >> greatest(e - 5, 0)::INT) & 31) END AS bin FROM e),
+p(k, level, factor) AS (VALUES (1, 75, 13), (2, 99, 30), (3, 99, 30), (4, 75, 13)),
+a AS (
+  SELECT 2 AS z, lang, source, k, bin FROM s UNION ALL SELECT 1, lang, NULL, k, bin FROM s UNION ALL SELECT 0, NULL, NULL, k, bin FROM s),
+o AS (SELECT *, row_number() OVER (PARTITION BY z, lang, source, k ORDER BY bin) AS no, count(*) OVER (PARTITION BY z, lang, source, k) AS n FROM a),
 q AS (
-  SELECT lang, source, quantile_disc(m1, 0.25) AS a1, quantile_disc(m1, 0.75) AS b1, quantile_disc(m2, 0.25) AS a2, quantile_disc(m2, 0.75) AS b2,
-    quantile_disc(m3, 0.25) AS a3, quantile_disc(m3, 0.75) AS b3, quantile_disc(m4, 0.25) AS a4, quantile_disc(m4, 0.75) AS b4
-  FROM b GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND m1 <= b1 + 3 * greatest(b1 - a1, 50) AND m2 <= b2 + 3 * greatest(b2 - a2, 200)
-    AND m3 <= b3 + 3 * greatest(b3 - a3, 100) AND m4 <= b4 + 3 * greatest(b4 - a4, 50) AND m4 >= a4 - 3 * greatest(b4 - a4, 50) AS kept
-FROM b JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source
+  SELECT z, lang, source, k, any_value(n) AS n, max(bin) FILTER (no = (n * level + 99) // 100) AS up, max(bin) FILTER (no = (n * (100 - level) + 99) // 100) AS down, any_value(factor) AS factor,
+    any_value(n) * (100 - any_value(level)) >= 1000 AS enough
+  FROM o JOIN p USING (k) GROUP BY z, lang, source, k),
+f AS (
+  SELECT z, lang, source, k, enough, CASE WHEN up = 0 THEN 49 ELSE ((up % 32 + 33) << greatest(up // 32 - 5, 0)::INT) - 1 END * factor // 10 AS hi,
+    CASE WHEN k < 4 THEN 0 WHEN down = 0 THEN 0 ELSE (((down % 32 + 32) << greatest(down // 32 - 5, 0)::INT) * 10 + factor - 1) // factor END AS lo FROM q),
+l AS (
+  SELECT x.lang, x.k, CASE WHEN NOT x.enough THEN y.hi WHEN x.k = 4 THEN x.hi ELSE least(x.hi, y.hi) END AS hi, CASE WHEN NOT x.enough THEN y.lo WHEN x.k = 4 THEN x.lo ELSE greatest(x.lo, y.lo) END AS lo
+  FROM f x JOIN f y ON x.z = 1 AND y.z = 0 AND x.k = y.k),
+g AS (
+  SELECT x.lang, x.source, x.k, CASE WHEN x.enough THEN least(x.hi, l.hi) ELSE l.hi END AS hi, CASE WHEN x.enough THEN greatest(x.lo, l.lo) ELSE l.lo END AS lo
+  FROM f x JOIN l ON x.z = 2 AND x.k = l.k AND x.lang IS NOT DISTINCT FROM l.lang),
+i AS (
+  SELECT s.r, bool_and(s.v BETWEEN g.lo AND g.hi) AS inside FROM s JOIN g ON s.k = g.k AND s.lang IS NOT DISTINCT FROM g.lang AND s.source IS NOT DISTINCT FROM g.source GROUP BY s.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM b JOIN i USING (r)
 """

@@ -314,26 +314,29 @@ def test_quality_pools_small_and_junk_heavy_groups(spark):
 
 
 def brute_fences(rows):
-    """(lang, source) -> the eight fences, from rows of (lang, source, four bins)."""
+    """(lang, source) -> the eight fences, from rows of (lang, source, four values), by sorting whole groups."""
     pools = collections.defaultdict(list)
-    for lang, source, *bins in rows:
+    for lang, source, *values in rows:
         for key in ((), (lang,), (lang, source)):
-            pools[key].append(bins)
+            pools[key].append(values)
 
-    def own(key, m, least, low):
-        v = sorted(b[m] for b in pools[key])
-        q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
-        spread = max(q3 - q1, least)
-        return q3 + quality.FENCE * spread, q1 - quality.FENCE * spread if low else -1
+    def bin_ends(v):
+        if v < quality.LEAST:
+            return 0, quality.LEAST - 1
+        step = 1 << (v.bit_length() - 1 - quality.BITS)
+        return v // step * step, v // step * step + step - 1
+
+    def own(key, m, level, factor, low):
+        v = sorted(x[m] for x in pools[key])
+        hi, lo = v[-(-level * len(v) // 100) - 1], v[-(-(100 - level) * len(v) // 100) - 1]
+        return bin_ends(hi)[1] * factor // 10, -(-bin_ends(lo)[0] * 10 // factor) if low else 0
 
     out = {}
     for key in [k for k in pools if len(k) == 2]:
-        chain = [key, key[:1], ()]
-        while len(chain) > 1 and len(pools[chain[0]]) < quality.LEAST_ROWS:
-            chain.pop(0)
         limits = []
-        for m, (least, low) in enumerate(quality.MEASURES.values()):
-            used = [own(k, m, least, low) for k in chain if k or not low or chain == [()]]
+        for m, (level, factor, low) in enumerate(quality.MEASURES.values()):
+            chain = [k for k in (key, key[:1]) if len(pools[k]) * (100 - level) >= 100 * quality.BEYOND]
+            used = [own(k, m, level, factor, low) for k in (chain if low and chain else [*chain, ()])]
             limits += [max(x[1] for x in used), min(x[0] for x in used)]
         out[key] = limits
     return out
@@ -341,11 +344,46 @@ def brute_fences(rows):
 
 @pytest.mark.parametrize("sf", ["0.001", "0.01"])
 def test_quality_fences_by_brute_force(spark, sf):
-    binned = quality.measures_of(table(spark, SF.replace("0.001", sf), "documents"), f"{quality.shared_dir(spark)}/measures")
-    want = brute_fences([tuple(r) for r in binned.select("lang", "source", *quality.MEASURES).collect()])
-    limits = quality.fences(quality.sketches(binned)).collect()
-    assert len(limits) == len(want)
-    assert {(r.lang, r.source): [r[f"{m}_{e}"] for m in quality.MEASURES for e in ("lo", "hi")] for r in limits} == want
+    valued = quality.measures_of(table(spark, SF.replace("0.001", sf), "documents"), f"{quality.shared_dir(spark)}/measures")
+    rows = [tuple(r) for r in valued.select("lang", "source", *quality.MEASURES).collect()]
+    for some in (rows, [(r[0], None if r[1] > "src3" else r[1], *r[2:]) for r in rows]):  # many small groups; a few large ones
+        frame = spark.createDataFrame(some, "lang string, source string, " + ", ".join(f"{m} long" for m in quality.MEASURES))
+        limits = quality.fences(quality.sketches(frame)).collect()
+        want = brute_fences(some)
+        assert len(limits) == len(want)
+        assert {(r.lang, r.source): [r[f"{m}_{e}"] for m in quality.MEASURES for e in ("lo", "hi")] for r in limits} == want
+        assert {r.symbols_from for r in limits} <= {0, 1, 2}
+
+
+def test_quality_sketch_error(spark):
+    """Bins are in the order of values and at most 1/32 of them wide; sketches merge by adding counts."""
+    values = [0, 1, 49, 50, 51, 63, 64, 65, 1000, 4095, 4096, 10**6, 10**9, 2**40]
+    rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.bin_of(F.col("v")).alias("_bin"))
+    got = rows.select("v", "_bin", quality._edge(F.col("_bin"), False).alias("a"), quality._edge(F.col("_bin"), True).alias("b")).orderBy("v").collect()
+    assert [r._bin for r in got] == sorted(r._bin for r in got)
+    assert all(r.a <= r.v <= r.b and (r.v < quality.LEAST or 32 * (r.b - r.a) <= r.v) for r in got)
+    some = table(spark, SF, "documents")
+    valued = quality.measures_of(some, f"{quality.shared_dir(spark)}/measures")
+    one, two = (quality.sketches(valued.filter(F.col("doc_id") % 2 == k)) for k in (0, 1))
+    merged = one.unionByName(two).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
+    assert rows_of(merged, "lang", "source", "measure", "bin", "n") == rows_of(quality.sketches(valued), "lang", "source", "measure", "bin", "n")
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", "s", 1, 2, 3), (2, "short", "en", "s", 1, 2, 3)], "doc_id long, text string, lang string, source string, _row int, symbols int, _by_lang int")
+    left = quality.keep(docs)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, text, "en", "s", 1, 2, 3)]
+
+
+def test_repeated_words_of_a_wide_text(spark):
+    """More words than the packed numbers hold."""
+    r = random.Random(6)
+    words = [f"w{r.randrange(3000)}" for _ in range(quality.PACKED_WORDS + 5000)]
+    c = collections.Counter(zip(words, words[1:], words[2:]))
+    want = len({i + k for i in range(len(words) - 2) if c[tuple(words[i : i + 3])] > 1 for k in range(3)})
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s")], "doc_id long, text string, lang string, source string")
+    assert [(x.n_words, x.n_repeat_words) for x in quality.op8(docs).collect()] == [(len(words), want)]
 
 
 def brute_removed(rows):
