@@ -517,3 +517,38 @@ def test_decontamination_keeps_columns_of_any_name(spark):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     left = decontaminate.remove_documents(docs, items)
     assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "c", 1, 2, 3, 4)]
+
+
+def test_refinement_by_brute_force():
+    r = np.random.default_rng(3)
+    base = r.integers(97, 100, 2000).astype(np.uint8)
+    parts = [base[a : a + n].copy() for a, n in zip(r.integers(0, 1500, 60), r.integers(200, 369, 60))]
+    for p in parts[::3]:
+        p[r.integers(0, len(p))] = 65
+    counts = np.array([len(p) - 199 for p in parts])
+    sizes = np.array([len(p) for p in parts])
+    got = substrings.refined(np.concatenate(parts), np.cumsum(sizes) - sizes, sizes, counts)
+    strings = [p[k : k + 200].tobytes() for p in parts for k in range(len(p) - 199)]
+    seen = collections.Counter(strings)
+    assert got.tolist() == [seen[x] > 1 for x in strings] and 0 < got.sum() < len(got)
+
+
+def test_substrings_of_a_crowd(spark):
+    """A Q-gram with more unlike surroundings than meet in one task, some of which repeat."""
+    r = random.Random(9)
+    some = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    common, tails = some(150), [some(120) for _ in range(5)]
+    rows = [(i, some(90) + common + (tails[i % 5] if i % 3 else some(100)) + some(40)) for i in range(60)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = brute_removed(rows)
+    assert sum(x[2] for x in want) > 0
+    kinds = {k for b in substrings._settle(substrings.anchors([(i, 0, t.encode()) for i, t in rows if t]), 3) for k in b.column(0).to_pylist()}
+    assert "crowd" in kinds
+    for crowd in (1, 3, substrings.CROWD):
+        assert rows_of(substrings.op9(docs, crowd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
+def test_substrings_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a" * 500, 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], "doc_id long, text string, _null int, missing int, _key int, row int")
+    left = substrings.remove(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)]
