@@ -4,21 +4,23 @@ A document's set is its distinct n-grams of SHINGLE words; two sets link when 10
 
 1. Equal sets are one node. All n-grams are counted, dealt out by hash ranges as arrays, and those in more than
    COMMON nodes get a place at the end of the global order, the more frequent the later; the rest are ordered by hash.
-2. The global order is cut vertically into fragments. Each node sends the n-grams of its prefix (one more than it may
+2. The global order is cut vertically into fragments: contiguous pieces, with cuts where the cumulative frequency of what
+   is sent reaches equal shares. Each node sends the n-grams of its prefix (one more than it may
    lack of a partner's) to their fragments; there pairs of nodes that share n-grams, and whose sizes allow a link, are
    counted, and the partial overlaps are summed for each pair. Pairs whose prefixes have too little in common cannot link.
-3. Where more than CROWD nodes share one n-gram of their prefixes no pairs are written: the nodes of such n-grams
-   form crowds, which are cut into blocks of BLOCK nodes by size, and two blocks are compared in one task.
-4. The sets of pairs and blocks are brought together and overlaps are counted fragment by fragment and summed until
-   the pair links or cannot. Blocks give a spanning forest of their links.
+3. Sets of the remaining pairs are cut into PARTS contiguous fragments of the order, each of which counts the partial
+   overlaps of its pairs by itself. They are summed for each pair, and the sum decides.
+4. Where more than CROWD nodes share one n-gram of their prefixes no pairs are written: the nodes of such n-grams
+   form crowds, which are cut into blocks of BLOCK nodes by size, and two blocks are compared in one task, fragment by
+   fragment. Blocks give a spanning forest of their links.
 5. Components come from alternating stars over the links.
 
 Only sums, candidates and sets of candidates move; nothing is collected but the common n-grams, at most MOST_COMMON
-(the limit COMMON is doubled until they are no more). Sets are kept as 64-bit hashes of their n-grams.
+(the limit COMMON is doubled until they are no more), and counts of nodes by size class. Sets are kept as 64-bit hashes of their n-grams.
 
 Defined results: a null or blank text has an empty set, links with nothing and is a component of its own; a text of
 fewer than SHINGLE words is one n-gram; ties and equal rows are equal nodes; a null id never names a component; a table
-without rows gives none; other columns are not read; texts and sets are never cut.
+without rows gives none; other columns are not read by :func:`op1`, and :func:`keep_one` keeps them under any names; texts and sets are never cut.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import free_shuffles, partitions, release, shared_dir, stored
 from .components import components
@@ -44,8 +45,10 @@ COMMON, MOST_COMMON = 16, 1_000_000
 CROWD, BLOCK = 64, 256
 #: Fragments of the order, at least, and n-grams of prefixes for each beyond that.
 FRAGMENTS, FRAGMENT_ROWS = 64, 4_000_000
-#: Fragments in which the overlap of two sets is counted.
-PARTS = 8
+#: Fragments in which the overlap of two sets is counted (a power of two).
+PARTS = 4
+#: Bytes of the table for each range in which n-grams are counted.
+RANGE_BYTES = 8 << 20
 FLUSH = 2_000_000
 MOST_WORDS = 300_000
 
@@ -203,22 +206,50 @@ def _sum_up(table: pa.Table) -> pa.Table:
     return pa.concat_tables([t.cast(_FIRST_ARROW) for t in out])
 
 
-def _prefixes(ranges: int, common: np.ndarray, ranks: np.ndarray):
+def places(grams: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Places in the global order: by rank (0: not common), then by hash."""
+    return (ranks.astype(_U) << _U(56)) | (grams >> _U(8))
+
+
+def cuts(by_size: list[tuple[int, int]], common: np.ndarray, ranks: np.ndarray, fragments: int) -> np.ndarray:
+    """Where the global order is cut, so that each fragment gets a like share of prefixes: ``by_size`` has (n-grams of a set, nodes).
+
+    The hashes of a set are even over the order, and its prefix is its first n-grams, so that up to the share x of the order
+    a set of n has about min(prefix, n * x) of them (less what the spread of n * x takes over the prefix). Common n-grams follow, by the frequencies of their ranks.
+    """
+    grid = np.arange(1, 4097) / 4096
+    upto = np.zeros(len(grid))
+    for n, nodes in by_size:
+        spread = np.sqrt(n * grid * (1 - grid) + 1e-9)
+        upto += nodes * (n * grid - spread / 1.702 * np.logaddexp(0, 1.702 * (n * grid - prefix_length(n)) / spread))
+    upto = np.maximum.accumulate(upto)
+    share = np.arange(1, fragments) / fragments * (upto[-1] if len(by_size) else 1)
+    rare = np.interp(share, np.concatenate([[0], upto]), np.concatenate([[0], grid])) * float(1 << 56) if len(by_size) else share
+    edges = [np.unique(rare.astype(_U)), np.array([1 << 56], dtype=_U)]
+    if len(common):
+        order = np.argsort(places(common << _U(16), ranks), kind="stable")
+        frequency = np.cumsum(np.exp2(ranks[order].astype(np.float64)))
+        at = np.searchsorted(frequency, np.arange(1, fragments // 4) / (fragments // 4) * frequency[-1])
+        edges.append(np.unique(places(common[order][np.minimum(at, len(order) - 1)] << _U(16), ranks[order][np.minimum(at, len(order) - 1)])))
+    return np.concatenate(edges)
+
+
+def _prefixes(edges: np.ndarray, common: np.ndarray, ranks: np.ndarray):
     """Entries of each node's prefix in blobs for each fragment; ``common`` (48 bits, sorted) come last, by ``ranks``."""
 
-    def send(grams: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+    def send(grams: list[np.ndarray], places_: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         entries = np.zeros(sum(map(len, grams)), dtype=_ENTRY)
         lengths = [len(g) for g in grams]
         entries["gram"], entries["node"] = np.concatenate(grams), np.repeat(np.array(nodes, dtype=np.int64), lengths)
         entries["size"] = np.repeat(_size_codes(np.array(sizes)), lengths)
-        to = _range_of(_mixed(entries["gram"]), ranges)  # prefixes crowd at one end of the order, so fragments interleave
+        to = np.searchsorted(edges, np.concatenate(places_), side="right")
         order = np.argsort(to, kind="stable")
         entries = entries[order]
         keys, slices = _cut(to[order])
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([entries[a:b].tobytes() for a, b in slices], pa.binary())], ["range", "entries"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array([entries[a:b].tobytes() for a, b in slices], pa.binary())], ["range", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, nodes, sizes, size, seen = [], [], [], 0, set()
+        grams, where, nodes, sizes, size, seen = [], [], [], [], 0, set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 g = shingles(text or b"")
@@ -228,25 +259,28 @@ def _prefixes(ranges: int, common: np.ndarray, ranks: np.ndarray):
                 if node in seen:
                     continue
                 seen.add(node)
+                place = g >> _U(8)
                 if len(common):
                     short = g >> _U(16)
                     at = np.minimum(np.searchsorted(common, short), len(common) - 1)
                     late = common[at] == short
                     if late.any():
-                        last = g[late]
-                        g = np.concatenate([g[~late], last[np.argsort(ranks[at[late]], kind="stable")]])
+                        place = places(g, np.where(late, ranks[at], 0))
+                        order = np.argsort(place, kind="stable")
+                        g, place = g[order], place[order]
                 n = len(g)
                 grams.append(g[: prefix_length(n)])
+                where.append(place[: prefix_length(n)])
                 nodes.append(node)
                 sizes.append(n)
                 size += len(grams[-1])
             if size > FLUSH // 4:
-                yield send(grams, nodes, sizes)
-                grams, nodes, sizes, size = [], [], [], 0
+                yield send(grams, where, nodes, sizes)
+                grams, where, nodes, sizes, size = [], [], [], [], 0
             if len(seen) > 1_000_000:
                 seen.clear()
         if grams:
-            yield send(grams, nodes, sizes)
+            yield send(grams, where, nodes, sizes)
         _forget()
 
     return run
@@ -309,14 +343,19 @@ def _summed(pairs: list[np.ndarray]) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each asked node, for each of its tasks: (task, side, node, grams)."""
+    """The set of each asked node for each of its tasks: (task, part, side, node, grams). A task of pairs gets the fragments of the set apart."""
     for batch in batches:
         rows, size = [], 0
         for text, node, tasks in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            raw = shingles(text.as_py() or b"").tobytes()
+            grams = shingles(text.as_py() or b"")
+            bounds = _bounds(grams).tolist()
+            whole, parts = grams.tobytes(), [grams[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
             for t in tasks:
-                rows.append((t["task"], t["side"], node, raw))
-                size += len(raw)
+                if t["task"][0] == "p":
+                    rows += [(t["task"], k, t["side"], node, part) for k, part in enumerate(parts) if part]
+                else:
+                    rows.append((t["task"], 0, t["side"], node, whole))
+                size += len(whole)
                 if size > 16_000_000:
                     yield _set_batch(rows)
                     rows, size = [], 0
@@ -326,23 +365,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["task", "side", "node", "grams"])
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["task", "part", "side", "node", "grams"])
 
 
 def _bounds(grams: np.ndarray) -> np.ndarray:
     """Where each of PARTS fragments of the order begins in a sorted set, and the end."""
-    return np.append(np.searchsorted(grams, np.arange(PARTS, dtype=_U) << _U(61)), len(grams))
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """|a & b|, summed over the fragments; -1 as soon as the sets cannot link any more."""
-    least, both, x, y = int(needed(np.int64(len(a)), np.int64(len(b)))), 0, _bounds(a), _bounds(b)
-    for k in range(PARTS):
-        both += len(np.intersect1d(a[x[k] : x[k + 1]], b[y[k] : y[k + 1]], assume_unique=True))
-        if both + min(len(a) - x[k + 1], len(b) - y[k + 1]) < least:
-            return -1
-    return both
+    return np.append(np.searchsorted(grams, np.arange(PARTS, dtype=_U) << _U(65 - PARTS.bit_length())), len(grams))
+
+
+def partial_overlaps(sets: dict[int, np.ndarray], a: list[int], b: list[int]) -> np.ndarray:
+    """Overlaps in one fragment of the pairs (a[i], b[i]) of ``sets``, by the n-grams that any two of the sets share."""
+    if len(sets) == 2:
+        x, y = sets.values()
+        return np.full(len(a), len(np.intersect1d(x, y, assume_unique=True)))
+    flat = np.concatenate(list(sets.values()))
+    _, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    who, shared = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()]), seen[at] > 1
+    column = np.cumsum(seen > 1) - 1
+    number = {node: k for k, node in enumerate(sets)}
+    rows, columns = np.array([number[x] for x in a]), np.array([number[x] for x in b])
+    total, at, who = np.zeros(len(a), dtype=np.int64), column[at[shared]], who[shared]
+    for start in range(0, int((seen > 1).sum()), 8192):
+        mine = (at >= start) & (at < start + 8192)
+        has = np.zeros((len(sets), 8192), dtype=bool)
+        has[who[mine], at[mine] - start] = True
+        for k in range(0, len(rows), 1024):
+            total[k : k + 1024] += (has[rows[k : k + 1024]] & has[columns[k : k + 1024]]).sum(axis=1)
+    return total
 
 
 def _matrix(rows: list[np.ndarray], columns: list[np.ndarray]) -> np.ndarray:
@@ -386,27 +436,42 @@ def _forest(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_PARTIAL = "a long, b long, na long, nb long, n long"
+
+
 def _verify(table: pa.Table) -> pa.Table:
-    """Links of the tasks of one bucket. A task ``p...`` has sets (side 0) and pairs (side 2); a task ``c...`` has two blocks (sides 0, 1), or one."""
-    tasks: dict[str, tuple[dict, dict, set]] = {}
-    for task, side, node, raw, other in zip(*(table.column(c).to_pylist() for c in ("task", "side", "node", "grams", "other"))):
-        held = tasks.setdefault(task, ({}, {}, set()))
+    """What the tasks of one bucket find. A task ``p...`` has one fragment of sets (side 0) and pairs (side 2) and gives
+    partial overlaps; a task ``c...`` has two blocks (sides 0, 1), or one, sums over their fragments and gives links, without ``n``."""
+    tasks: dict[tuple, tuple[dict, dict, set]] = {}
+    for task, part, side, node, raw, other, na, nb in zip(*(table.column(c).to_pylist() for c in ("task", "part", "side", "node", "grams", "other", "na", "nb"))):
+        held = tasks.setdefault((task, part), ({}, {}, set()))
         if side == 2:
-            held[2].add((node, other))
+            held[2].add((node, other, na, nb))
         else:
             held[side][node] = np.frombuffer(raw, dtype=_U)
-    found: list[tuple[int, int]] = []
-    for task, (left, right, pairs) in tasks.items():
+    found: list[tuple] = []
+    for (task, _), (left, right, pairs) in tasks.items():
         if task[0] == "p":
-            found += _forest([(a, b) for a, b in sorted(pairs) if a in left and b in left and overlap(left[a], left[b]) >= 0])
+            pairs = [p for p in pairs if p[0] in left and p[1] in left]
+            if pairs:
+                counts = partial_overlaps(left, [p[0] for p in pairs], [p[1] for p in pairs])
+                found += [(*p, n) for p, n in zip(pairs, counts.tolist()) if n]
         elif left:
             rows = list(left)
             columns, sets = (list(right), list(right.values())) if right else (rows, list(left.values()))
             both = _matrix(list(left.values()), sets)
             n, m = np.array([len(left[k]) for k in rows]), np.array([len(s) for s in sets])
             hit = np.argwhere(PER * both >= SHARE * (n[:, None] + m[None, :] - both))
-            found += _forest([(rows[i], columns[j]) for i, j in hit.tolist() if rows[i] != columns[j]])
-    return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+            found += [(a, b, None, None, None) for a, b in _forest([(rows[i], columns[j]) for i, j in hit.tolist() if rows[i] != columns[j]])]
+    return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found)) or [()] * 5)], names=["a", "b", "na", "nb", "n"])
+
+
+def _ranges(docs: DataFrame) -> int:
+    """Ranges in proportion to the table: by the size that Spark knows of its files, else by the texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), size // RANGE_BYTES + 1)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -414,7 +479,7 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     at = shared_dir(spark)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("text").cast("binary").alias("data"))
-    ranges = partitions(spark)
+    ranges = _ranges(docs.select("text"))
     first = stored(keyed.mapInArrow(_count(ranges), _COUNTED).groupBy("range").applyInArrow(_sum_up, _FIRST), f"{at}/first")
     free_shuffles(spark)
     rows = first.filter("n is not null").drop("gram", "df")
@@ -436,7 +501,10 @@ def classes(docs: DataFrame) -> DataFrame:
     fragments = FRAGMENTS
     while fragments * FRAGMENT_ROWS < volume:
         fragments *= 4
-    partial = keyed.select("data").mapInArrow(_prefixes(fragments, grams, ranks), "range int, entries binary").groupBy("range").applyInArrow(_partial_overlaps, "a long, b long, n long")
+    size_class = F.floor(F.log2("n") * 8)
+    by_size = [(int(r[0]), r[1]) for r in nodes.groupBy(size_class).agg(F.avg("n").alias("n"), F.count(F.lit(1)).alias("c")).select("n", "c").collect()]  # some 200 classes
+    edges = cuts(by_size, grams, ranks, fragments)
+    partial = keyed.select("data").mapInArrow(_prefixes(edges, grams, ranks), "range int, entries binary").groupBy("range").applyInArrow(_partial_overlaps, "a long, b long, n long")
     partial = stored(partial, f"{at}/partial")
     free_shuffles(spark)
 
@@ -446,11 +514,11 @@ def classes(docs: DataFrame) -> DataFrame:
     # Of the two the set whose prefix ends first has `shared` n-grams of it in common, and at most the rest besides.
     # (What n-grams of crowds add is not in `shared`: pairs of one crowd are compared anyway.)
     enough = F.expr(f"shared >= ({SHARE} * (na + nb) + {PER + SHARE - 1}) div {PER + SHARE} - ({SHARE} * greatest(na, nb) + {PER - 1}) div {PER} + 1")
-    pairs = stored(pairs.filter((PER * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & enough).select("a", "b"), f"{at}/pairs")
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other"))
+    pairs = stored(pairs.filter((PER * F.least("na", "nb") >= SHARE * F.greatest("na", "nb")) & enough).select("a", "b", "na", "nb"), f"{at}/pairs")
+    ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("other"))
     label = ends.select("node", F.least("node", "other").alias("label"))
     tasks = pairs.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
-    tasks = stored(tasks.select("a", "b", F.concat(F.lit("p"), F.least("la", "lb").cast("string")).alias("task")), f"{at}/pair-tasks")
+    tasks = stored(tasks.select("a", "b", "na", "nb", F.concat(F.lit("p"), F.least("la", "lb").cast("string")).alias("task")), f"{at}/pair-tasks")
     of_pairs = tasks.select(F.col("a").alias("node"), "task").unionByName(tasks.select(F.col("b").alias("node"), "task")).distinct().withColumn("side", F.lit(0))
 
     crowd = components(partial.filter("n is null"), "a", "b", f"{at}/crowds").join(sizes, "node")
@@ -468,11 +536,13 @@ def classes(docs: DataFrame) -> DataFrame:
     moved = asked.agg(F.sum(F.col("n") * F.size("tasks") * 8)).first()[0] or 0
     buckets = max(partitions(spark), int(moved) // (32 << 20) + 1)
     texts = keyed.join(asked.drop("n").hint("shuffle_hash"), (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = texts.select("data", "_node", "tasks").mapInArrow(_sets, "task string, side int, node long, grams binary").withColumn("other", F.lit(None).cast("long"))
-    wanted = tasks.select("task", F.lit(2).alias("side"), F.col("a").alias("node"), F.lit(None).cast("binary").alias("grams"), F.col("b").alias("other"))
-    dealt = sets.unionByName(wanted).withColumn("bucket", F.pmod(F.xxhash64("task"), F.lit(buckets)).cast("int"))
-    found = stored(dealt.groupBy("bucket").applyInArrow(_verify, "a long, b long"), f"{at}/links")
+    sets = texts.select("data", "_node", "tasks").mapInArrow(_sets, "task string, part int, side int, node long, grams binary")
+    wanted = tasks.select("task", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"), "na", "nb")
+    dealt = sets.unionByName(wanted, allowMissingColumns=True).withColumn("bucket", F.pmod(F.xxhash64("task", "part"), F.lit(buckets)).cast("int"))
+    counts = stored(dealt.groupBy("bucket").applyInArrow(_verify, _PARTIAL), f"{at}/overlaps")
     free_shuffles(spark)
+    summed = counts.filter("n is not null").groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n")).filter(PER * F.col("n") >= SHARE * (F.col("na") + F.col("nb") - F.col("n")))
+    found = stored(counts.filter("n is null").select("a", "b").unionByName(summed.select("a", "b")), f"{at}/links")
 
     roots = components(found, "a", "b", f"{at}/components")
     named = nodes.select("node", "least_id").join(roots, "node")
@@ -489,10 +559,16 @@ def op1(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of each class the row of the least id stays, and of rows equal in id and text one; all columns stay."""
     spark = docs.sparkSession
-    found = classes(docs).filter("doc_id is null or component_id = doc_id").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).count()
+    found = classes(docs.select("doc_id", "text")).filter("doc_id is null or component_id = doc_id").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text")).count()
     found = stored(found, f"{shared_dir(spark)}/kept")
-    kept = docs.join(found.drop("count").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"))
+    id_, text = F.col("row")["doc_id"], F.xxhash64(F.col("row")["text"])
+
+    def of(keys: DataFrame) -> DataFrame:
+        return rows.join(keys.drop("count").hint("shuffle_hash"), id_.eqNullSafe(F.col("_id")) & (text == F.col("_text")), "left_semi")
+
     if not found.filter("count > 1").limit(1).count():
-        return kept
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+        return of(found).select("row.*")
+    # Equal rows are put together before they are shuffled.
+    again = of(found.filter("count > 1")).groupBy(id_.alias("_id"), text.alias("_text")).agg(F.first("row").alias("row"))
+    return of(found.filter("count = 1")).unionByName(again.select("row")).select("row.*")

@@ -122,9 +122,35 @@ def test_overlap_by_fragments():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
     b = np.unique(np.concatenate([a[:380], r.integers(0, 1 << 63, 20, dtype=np.uint64)]))
+    c = np.unique(np.concatenate([a[100:200], b[300:]]))
+    sets, pairs = {5: a, 7: b, 9: c}, [(5, 7), (5, 9), (7, 9)]
+    total = np.zeros(3, dtype=np.int64)
+    for k in range(shingle_join.PARTS):
+        part = {n: x[shingle_join._bounds(x)[k] : shingle_join._bounds(x)[k + 1]] for n, x in sets.items()}
+        total += shingle_join.partial_overlaps(part, *map(list, zip(*pairs)))
+        two = {n: part[n] for n in (5, 7)}
+        assert shingle_join.partial_overlaps(two, [5], [7])[0] == len(np.intersect1d(*two.values()))
+    assert total.tolist() == [len(np.intersect1d(sets[x], sets[y])) for x, y in pairs]
     both = len(np.intersect1d(a, b))
-    assert shingle_join.overlap(a, b) == both and shingle_join._matrix([a], [b, a]).tolist() == [[both, len(a)]]
-    assert shingle_join.overlap(a, a[:200]) == -1
+    assert shingle_join._matrix([a], [b, a]).tolist() == [[both, len(a)]]
+
+
+def test_fragments_are_even_pieces_of_the_order():
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 600, 2000)
+    common = np.unique(r.integers(0, 1 << 48, 500, dtype=np.uint64))
+    ranks = r.integers(5, 12, 500).astype(np.int32)
+    edges = shingle_join.cuts([(int(n), 1) for n in sizes], common, ranks, 64)
+    assert (np.diff(edges.astype(np.float64)) > 0).all()
+    sent = np.concatenate([np.sort(r.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))[: shingle_join.prefix_length(n)] for n in sizes.tolist()])
+    counts = np.bincount(np.searchsorted(edges, sent >> np.uint64(8), side="right"), minlength=64)[:64]
+    assert counts.max() <= 2 * counts.mean()
+
+
+def test_join_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3, 4), (2, "A b  c", 1, 2, 3, 4), (3, "d", 1, 2, 3, 4), (3, "d", 1, 2, 3, 4)], "doc_id long, text string, _id int, _text int, _row int, row int")
+    left = shingle_join.keep_one(docs)
+    assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "a b c", 1, 2, 3, 4), (3, "d", 1, 2, 3, 4)]
 
 
 @pytest.mark.parametrize("path, kind", [(WORDS, "words"), (BYTES, "spaced")])
