@@ -40,8 +40,8 @@ GRAPHICS = (
 )
 # Text in the name of an imported library -> graphics interface.
 IMPORTS = (
-    ("d3d9", "directx9"), ("d3d11", "directx11"), ("d3d12", "directx12"), ("dxgi", "directxgi"), ("opengl32", "opengl"),
-    ("libgles", "opengles"), ("libegl", "opengles"), ("vulkan", "vulkan"), ("metal.framework", "metal"),
+    ("d3d9.dll", "directx9"), ("d3d11.dll", "directx11"), ("d3d12.dll", "directx12"), ("dxgi.dll", "directxgi"), ("opengl32.dll", "opengl"),
+    ("libglesv2", "opengles"), ("libegl", "opengles"), ("vulkan-1.dll", "vulkan"), ("metal.framework", "metal"),
 )
 
 GRAPHICS_BYTES = 4 << 20
@@ -128,21 +128,34 @@ def label_entry(content: Column, stored: Column) -> Column:
     )
 
 
-def graphics_in(content: Column) -> Column:
-    """Interfaces named in the first bytes, in the order of the patterns; plain OpenGL goes where OpenGL ES is named."""
+def _named(text: Column, patterns: tuple) -> Column:
+    """(pattern, api) of the patterns that ``text`` has, in their order."""
+    found = F.array(*[F.when(F.contains(text, F.lit(p)), F.struct(F.lit(p).alias("pattern"), F.lit(api).alias("api"))) for p, api in patterns])
+    return F.filter(found, lambda x: x.isNotNull())
+
+
+def graphics_in(content: Column, patterns: tuple = GRAPHICS) -> Column:
+    """Interfaces named in the first bytes, in the order of the patterns (UTF-8); plain OpenGL goes where OpenGL ES is named."""
+    latin = tuple((p.encode().decode("latin-1"), api) for p, api in patterns)
     text = ascii_lower(F.decode(clamped(content, 0, GRAPHICS_BYTES), "ISO-8859-1"))
-    found = F.array_distinct(F.filter(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(api)) for p, api in GRAPHICS]), lambda x: x.isNotNull()))
+    found = F.array_distinct(F.transform(_named(text, latin), lambda x: x["api"]))
     return F.when(F.array_contains(found, "opengles"), F.filter(found, lambda x: x != "opengl")).otherwise(found)
 
 
 def graphics_evidence(content: Column) -> Column:
+    """The patterns themselves; those of an interface that :func:`graphics_in` drops go as well."""
     text = ascii_lower(F.decode(clamped(content, 0, GRAPHICS_BYTES), "ISO-8859-1"))
-    return F.filter(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p, _ in GRAPHICS]), lambda x: x.isNotNull())
+    found = _named(text, GRAPHICS)
+    es = F.exists(found, lambda x: x["api"] == "opengles")
+    return F.transform(F.filter(found, lambda x: ~(es & (x["api"] == "opengl"))), lambda x: x["pattern"])
 
 
 def imported_graphics(libraries: Column) -> Column:
-    joined = ascii_lower(F.array_join(libraries, "\n"))
-    return F.array_distinct(F.filter(F.array(*[F.when(F.contains(joined, F.lit(p)), F.lit(api)) for p, api in IMPORTS]), lambda x: x.isNotNull()))
+    return F.array_distinct(F.flatten(F.transform(libraries, lambda name: F.transform(_named(ascii_lower(name), IMPORTS), lambda x: x["api"]))))
+
+
+def imported_evidence(libraries: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(libraries, lambda name: F.transform(_named(ascii_lower(name), IMPORTS), lambda x: F.concat(x["pattern"], F.lit(" import"))))))
 
 
 def compression_name(code: Column) -> Column:
@@ -183,19 +196,29 @@ def half_to_float(h: Column) -> Column:
 
 
 def path_check(path: Column) -> Column:
-    """Why a relative path cannot be written anywhere, or null if it can: the first fault from left to right."""
+    """Why a relative path cannot be written anywhere, or null if it can: the first fault from left to right.
+
+    A component's characters come before the component as a whole. Lengths are in bytes.
+    """
     parts = F.split(path, "[/\\\\]")
     device = "^(?i)(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
     fault = lambda p: (
-        F.when(p == "", F.lit("empty component"))
-        .when(p.isin(".", ".."), F.lit("dot component"))
+        F.when(F.regexp_like(p, F.lit("[^ -~]|[<>:\"|?*]")), F.lit("forbidden character"))
+        .when(p.isin("", ".", ".."), F.lit("empty or dot component"))
         .when(F.regexp_like(p, F.lit("[ .]$")), F.lit("trailing space or dot"))
         .when(F.regexp_like(F.substring_index(p, ".", 1), F.lit(device)), F.lit("reserved name"))
     )
     return (
-        F.when((F.length(path) == 0) | path.isNull(), F.lit("empty path"))
-        .when(F.length(path) > 240, F.lit("too long"))
+        F.when(path.isNull() | ~F.octet_length(path).between(1, 240), F.lit("empty or too long"))
         .when(F.regexp_like(path, F.lit("^[/\\\\]")), F.lit("absolute path"))
-        .when(F.regexp_like(path, F.lit("[^ -~]|[<>:\"|?*]")), F.lit("forbidden character"))
         .otherwise(F.get(F.filter(F.transform(parts, fault), lambda x: x.isNotNull()), F.lit(0)))
     )
+
+
+def detail_row(e: dict[str, Column]) -> Column:
+    """One line for an entry of a catalogue: id, compression_code, stored_size, original_size, offset, in_bounds."""
+    code = e["compression_code"]
+    packed = F.concat(compression_name(code), F.lit("  "), format_bytes(e["stored_size"]), F.lit(" -> "), format_bytes(e["original_size"]))
+    packed = F.when(code == 2, packed).otherwise(F.concat(packed, F.lit(" (code "), code.cast("string"), F.lit(")")))
+    size = F.when(code == 0, F.concat(F.lit("stored  "), format_bytes(e["stored_size"]))).otherwise(packed)
+    return F.concat(F.lit("#"), e["id"].cast("string"), F.lit("  "), size, F.lit("  @0x"), F.hex(e["offset"].cast("bigint")), F.when(e["in_bounds"], F.lit("")).otherwise(F.lit("  out of bounds")))

@@ -8,12 +8,17 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.classify import format_of, leaf_extension
 from ..functions.rows import flat_map
+from . import stats
 
 MAGIC, MOST_CHUNKS = b"LZ2K", 1 << 20
+#: Raw bytes of a chunk that is not the last; entropies of chunks that are summed up.
+CHUNK_RAW, ENTROPY_CHUNKS = 0x8000, 4000
 # Name, bits of the dictionary, bits of a count of position codes.
 PARAMETERS = (("lh5", 13, 4), ("lh6", 15, 5), ("lh7", 16, 5))
 CHAR_CODES, CHAR_BITS, TEMP_CODES, TEMP_BITS, LONGEST_CODE = 510, 9, 19, 5, 16
@@ -26,44 +31,54 @@ class Broken(ValueError):
 def frames(entry: bytes, expected: int | None) -> tuple[list[tuple[int, int, int]], int, str | None]:
     """([(header offset, raw size, packed size)], bytes left over, failure or None)."""
     if not entry[:12]:
-        return [], 0, "entry too small for a chunk header"
+        return [], 0, "too small for a chunk header"
     found, at, total = [], 0, 0
     while len(entry) - at >= 12:
         magic, raw, packed = entry[at : at + 4], *struct.unpack_from("<II", entry, at + 4)
         if magic != MAGIC:
             if not found:
-                return found, len(entry), "no LZ2K magic at entry start"
+                return found, len(entry), "no LZ2K magic at the start"
             break
         if not raw or not packed:
-            return found, len(entry) - at, "chunk with zero raw or packed size"
+            return found, len(entry) - at, "zero raw or packed size"
         if at + 12 + packed > len(entry):
-            return found, len(entry) - at, "chunk payload runs past the entry"
+            return found, len(entry) - at, "payload runs past the entry"
         if len(found) == MOST_CHUNKS:
-            return found, len(entry) - at, "chunk count above limit"
+            return found, len(entry) - at, "too many chunks"
         found.append((at, raw, packed))
         at, total = at + 12 + packed, total + raw
     left = len(entry) - at
     if not found:
-        return found, left, "entry too small for a chunk header"
+        return found, left, "too small for a chunk header"
     if expected is not None and total != expected:
-        return found, left, "chunk raw sizes do not add up to the record's original size"
+        return found, left, "raw sizes do not add up to the expected size"
     return found, left, "bytes left after the last chunk" if left else None
 
 
 class Bits:
-    """Most significant bit first; zeros past the end, which ``short`` tells."""
+    """Most significant bit first; zeros past the end, which ``short`` tells. A window of 64 bits or more is held at a time, so a read takes the same time wherever it is."""
+
+    STEP = 64
 
     def __init__(self, data: bytes):
-        self.value, self.size, self.at = int.from_bytes(data, "big"), 8 * len(data), 0
+        self.data, self.size, self.at = data, 8 * len(data), 0
+        self.word, self.held, self.next = 0, 0, 0  # bits that are held, how many, next byte
 
     def peek(self, n: int) -> int:
-        left = self.size - self.at - n
-        part = self.value >> left if left >= 0 else self.value << -left
-        return part & ((1 << n) - 1)
+        if self.held < n:
+            part = self.data[self.next : self.next + self.STEP]
+            self.word = (self.word << 8 * self.STEP) | (int.from_bytes(part, "big") << 8 * (self.STEP - len(part)))
+            self.held, self.next = self.held + 8 * self.STEP, self.next + self.STEP
+        return self.word >> (self.held - n)
+
+    def skip(self, n: int) -> None:
+        self.held -= n
+        self.word &= (1 << self.held) - 1
+        self.at += n
 
     def get(self, n: int) -> int:
         v = self.peek(n)
-        self.at += n
+        self.skip(n)
         return v
 
     @property
@@ -80,29 +95,27 @@ class Codes:
             return
         if sum(1 << (LONGEST_CODE - n) for n in lengths if n) != 1 << LONGEST_CODE:
             raise Broken("code lengths do not make a full code")
-        code, self.table = 0, {}
-        for n in range(1, LONGEST_CODE + 1):
-            for symbol, length in enumerate(lengths):
-                if length == n:
-                    self.table[n, code] = symbol
-                    code += 1
-            code <<= 1
+        # Symbols in the order of their codes; a code of n bits stands for 2 ** (16 - n) words of 16 bits.
+        ordered = sorted((n, symbol) for symbol, n in enumerate(lengths) if n)
+        widths = np.array([1 << (LONGEST_CODE - n) for n, _ in ordered])
+        self.symbol = np.repeat(np.array([symbol for _, symbol in ordered], dtype=np.int32), widths).tolist()
+        self.length = np.repeat(np.array([n for n, _ in ordered], dtype=np.int32), widths).tolist()
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
         word = bits.peek(LONGEST_CODE)
-        for n in range(1, LONGEST_CODE + 1):
-            if (symbol := self.table.get((n, word >> (LONGEST_CODE - n)))) is not None:
-                bits.at += n
-                return symbol
-        raise Broken("no such code")
+        bits.skip(self.length[word])
+        return self.symbol[word]
 
 
 def _short_codes(bits: Bits, codes: int, width: int, gap: int | None) -> Codes:
+    """The code of the lengths, or of the positions. After ``gap`` lengths come up to three zeros, as far as the alphabet goes."""
     n = bits.get(width)
     if n == 0:
-        return Codes(None, bits.get(width))
+        if (only := bits.get(width)) >= codes:
+            raise Broken("the only symbol is not in the alphabet")
+        return Codes(None, only)
     if n > codes:
         raise Broken("too many code lengths")
     lengths: list[int] = []
@@ -114,48 +127,50 @@ def _short_codes(bits: Bits, codes: int, width: int, gap: int | None) -> Codes:
                 if length > LONGEST_CODE:
                     raise Broken("code length above the limit")
         lengths.append(length)
-        if gap is not None and len(lengths) == gap:
-            lengths += [0] * bits.get(2)
-    if len(lengths) > codes:
-        raise Broken("too many code lengths")
+        if len(lengths) == gap:
+            lengths += [0] * min(bits.get(2), codes - len(lengths))
+        if bits.short:
+            raise Broken("input ends within a table")
     return Codes(lengths)
 
 
 def _char_codes(bits: Bits, temp: Codes) -> Codes:
     n = bits.get(CHAR_BITS)
     if n == 0:
-        return Codes(None, bits.get(CHAR_BITS))
+        if (only := bits.get(CHAR_BITS)) >= CHAR_CODES:
+            raise Broken("the only symbol is not in the alphabet")
+        return Codes(None, only)
+    if n > CHAR_CODES:
+        raise Broken("too many code lengths")
     lengths: list[int] = []
     while len(lengths) < n:
         s = temp.read(bits)
+        lengths += [0] if s == 0 else [0] * (bits.get(4) + 3) if s == 1 else [0] * (bits.get(CHAR_BITS) + 20) if s == 2 else [s - 2]
+        if len(lengths) > CHAR_CODES:
+            raise Broken("run of zeros past the alphabet")
         if bits.short:
             raise Broken("input ends within a table")
-        lengths += [0] if s == 0 else [0] * (bits.get(4) + 3) if s == 1 else [0] * (bits.get(9) + 20) if s == 2 else [s - 2]
-    if n > CHAR_CODES or len(lengths) > CHAR_CODES:
-        raise Broken("too many code lengths")
     return Codes(lengths)
 
 
 def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4) -> dict:
-    """Decode ``size`` bytes: output, ok, failure, blocks, and bytes of input left over."""
-    bits, out, blocks, failure = Bits(data), bytearray(), 0, None
+    """Decode ``size`` bytes: output, ok, failure, blocks, codes that the last block still has, and bytes of input left over."""
+    bits, out, blocks, failure, left = Bits(data), bytearray(), 0, None, 0
     try:
         while len(out) < size:
-            left = bits.get(16)
             if not left:
-                raise Broken("block of no symbols")
-            blocks += 1
-            temp = _short_codes(bits, TEMP_CODES, TEMP_BITS, 3)
-            chars = _char_codes(bits, temp)
-            places = _short_codes(bits, dictionary + 1, positions, None)
-            while left and len(out) < size:
-                left -= 1
-                symbol = chars.read(bits)
-                if bits.short:
-                    raise Broken("input ends before the output is full")
-                if symbol < 256:
-                    out.append(symbol)
-                    continue
+                left = bits.get(16)
+                if not left:
+                    raise Broken("block of no symbols")
+                blocks += 1
+                temp = _short_codes(bits, TEMP_CODES, TEMP_BITS, 3)
+                chars = _char_codes(bits, temp)
+                places = _short_codes(bits, dictionary + 1, positions, None)
+            left -= 1
+            symbol = chars.read(bits)
+            if symbol < 256:
+                out.append(symbol)
+            else:
                 length, slot = symbol - 253, places.read(bits)
                 distance = 1 if slot == 0 else 1 + (1 << (slot - 1)) + bits.get(slot - 1)
                 if distance > len(out):
@@ -164,11 +179,11 @@ def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4) -> dic
                     raise Broken("match runs past the declared raw size")
                 for _ in range(length):
                     out.append(out[-distance])
+            if bits.short:
+                raise Broken("input ends before the output is full")
     except Broken as e:
         failure = str(e)
-    if failure is None and bits.short:
-        failure = "input ends before the output is full"
-    return {"output": bytes(out), "ok": failure is None, "failure": failure, "blocks": blocks, "left": len(data) - -(-bits.at // 8)}
+    return {"output": bytes(out), "ok": failure is None, "failure": failure, "blocks": blocks, "codes_left": left, "left": len(data) - -(-bits.at // 8)}
 
 
 def decompress(entry: bytes, expected: int) -> tuple[bytes, str | None]:
@@ -211,28 +226,121 @@ def decompressed(entries: DataFrame) -> DataFrame:
     return flat_map(entries, ["key", "entry", "expected"], one, "key string, output binary, failure string")
 
 
-def scoreboard(found: DataFrame) -> DataFrame:
-    """Chunks (of :func:`chunks`) decoded with each of the three parameter sets: how many are right, and the first failure."""
+def scoreboard(entries: DataFrame) -> DataFrame:
+    """Entries (key, entry, expected) decoded with each of the parameter sets; those whose framing is invalid do not count.
 
-    def tried(key: str, no: int, raw: int, packed: int, payload: bytes) -> Iterator[dict]:
+    Of each set: entries, entries_ok, chunks that are not verbatim, how many decode, how many end on the last byte, bytes
+    left over (slack) and failures as maps to their counts, and the first failure of each kind by key and chunk.
+    """
+
+    def tried(key: str, entry: bytes | None, expected: int | None) -> Iterator[dict]:
+        found, _, failure = frames(entry or b"", expected)
+        if failure:
+            return
         for name, dictionary, positions in PARAMETERS:
-            got = {"ok": True, "failure": None, "left": 0} if raw == packed else lzh(payload, raw, dictionary, positions)
-            yield {"key": key, "chunk_no": no, "parameters": name, "ok": got["ok"], "exact_end": got["ok"] and got["left"] == 0, "failure": got["failure"]}
-
-    rows = flat_map(found.filter("chunk_no is not null"), ["key", "chunk_no", "raw_size", "packed_size", "payload"], tried, "key string, chunk_no int, parameters string, ok boolean, exact_end boolean, failure string")
-    order = F.struct("key", "chunk_no")
-    return rows.groupBy("parameters").agg(
-        F.count(F.lit(1)).alias("chunks"), F.count_if("ok").alias("ok"), F.count_if("exact_end").alias("exact_end"),
-        F.min_by(F.col("failure"), F.when(~F.col("ok"), order)).alias("first_failure"),
+            good, size = True, 0
+            for no, (at, raw, packed) in enumerate(found):
+                if raw == packed:
+                    size += raw
+                    continue
+                got = lzh(entry[at + 12 : at + 12 + packed], raw, dictionary, positions)
+                good, size = good and got["ok"], size + len(got["output"])
+                yield {"key": key, "chunk_no": no, "parameters": name, "ok": got["ok"], "left": got["left"] if got["ok"] else None, "failure": got["failure"], "entry_ok": None}
+            yield {"key": key, "chunk_no": None, "parameters": name, "ok": None, "left": None, "failure": None, "entry_ok": good and size == expected}
+
+    rows = flat_map(entries, ["key", "entry", "expected"], tried, "key string, chunk_no int, parameters string, ok boolean, left long, failure string, entry_ok boolean")
+    totals = rows.groupBy("parameters").agg(
+        F.count("entry_ok").alias("entries"), F.count_if("entry_ok").alias("entries_ok"), F.count("chunk_no").alias("chunks"), F.count_if("ok").alias("ok"), F.count_if(F.col("left") == 0).alias("exact_end"),
     )
+    to_map = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
+    slack = rows.filter("left is not null").groupBy("parameters", "left").count().groupBy(F.col("parameters").alias("_s")).agg(to_map("left", "count").alias("slack"))
+    first = F.min(F.struct("key", "chunk_no")).alias("first")
+    failed = rows.filter("failure is not null").groupBy("parameters", "failure").agg(F.count(F.lit(1)).alias("n"), first)
+    failed = failed.groupBy(F.col("parameters").alias("_f")).agg(to_map("failure", "n").alias("failures"), to_map("failure", "first").alias("first_failures"))
+    return totals.join(slack, F.col("parameters") == F.col("_s"), "left").join(failed, F.col("parameters") == F.col("_f"), "left").drop("_s", "_f")
+
+
+def sniffs(entries: DataFrame, most: int = 3, head: int = 48) -> DataFrame:
+    """Of each parameter set and extension of ``entries`` (key, path, entry, expected) the first ``most`` that decode: head and format of the output."""
+
+    def tried(key: str, path: str, entry: bytes | None, expected: int | None) -> Iterator[dict]:
+        found, _, failure = frames(entry or b"", expected)
+        for name, dictionary, positions in [] if failure else PARAMETERS:
+            parts = [(entry[at + 12 : at + 12 + packed], raw, packed) for at, raw, packed in found]
+            whole = [{"ok": True, "output": part} if raw == packed else lzh(part, raw, dictionary, positions) for part, raw, packed in parts]
+            if all(w["ok"] for w in whole):
+                yield {"key": key, "path": path, "parameters": name, "output": b"".join(w["output"] for w in whole)[:4096]}
+
+    rows = flat_map(entries, ["key", "path", "entry", "expected"], tried, "key string, path string, parameters string, output binary")
+    rows = rows.select("parameters", leaf_extension(F.element_at(F.split("path", "/"), -1)).alias("extension"), "key", F.substring("output", 1, head).alias("head"), format_of(F.col("output")).alias("format"))
+    return stats.first_n(rows, ["parameters", "extension"], ["key"], most)
+
+
+def framing_failures(found: DataFrame, examples: int = 5) -> DataFrame:
+    """Entries (of :func:`chunks`) by what is wrong with their framing, with the first ``examples`` keys of each. Failures are of a fixed number."""
+    bad = found.filter("failure is not null").select("failure", "key").distinct()
+    counts = bad.groupBy("failure").agg(F.count(F.lit(1)).alias("entries"))
+    few = stats.first_n(bad, ["failure"], ["key"], examples).groupBy(F.col("failure").alias("_f")).agg(F.sort_array(F.collect_list("key")).alias("examples"))
+    return counts.join(few, F.col("failure") == F.col("_f")).drop("_f")
+
+
+def chunk_counts(found: DataFrame, by: list[str] | None = None, key: str = "key", most: int = 16) -> DataFrame:
+    """Entries by how many chunks they have, those of more than ``most`` in one class, and the largest number in each class."""
+    by = by or []
+    per = found.groupBy(*by, *([key] if isinstance(key, str) else key)).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(*by, F.least("n", F.lit(most + 1)).alias("chunks")).agg(F.count(F.lit(1)).alias("entries"), F.max("n").alias("most"))
 
 
 def framing_report(found: DataFrame, most: int = 16) -> DataFrame:
-    """Chunks an entry, with those of more than ``most`` in one class."""
-    per = found.filter("chunk_no is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(F.when(F.col("n") > most, F.lit(most + 1)).otherwise(F.col("n")).alias("chunks")).agg(F.count(F.lit(1)).alias("entries"))
+    """Entries whose framing is valid by how many chunks they have."""
+    return chunk_counts(found.filter("chunk_no is not null and failure is null"), most=most)
+
+
+def with_last(found: DataFrame) -> DataFrame:
+    """Chunks of valid entries with ``is_last``."""
+    good = found.filter("chunk_no is not null and failure is null")
+    last = good.groupBy(F.col("key").alias("_k")).agg(F.max("chunk_no").alias("_last"))
+    return good.join(last, F.col("key") == F.col("_k")).withColumn("is_last", F.col("chunk_no") == F.col("_last")).drop("_k", "_last")
+
+
+def size_counts(found: DataFrame) -> DataFrame:
+    """One row: chunks, last ones of more than CHUNK_RAW raw bytes, those that packing did not make smaller, those of equal sizes."""
+    return with_last(found).agg(
+        F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("is_last") & (F.col("raw_size") > CHUNK_RAW)).alias("last_above"),
+        F.count_if(F.col("packed_size") >= F.col("raw_size")).alias("packed_at_least_raw"), F.count_if(F.col("packed_size") == F.col("raw_size")).alias("packed_equals_raw"),
+    )
+
+
+def raw_sizes(found: DataFrame) -> DataFrame:
+    """Raw sizes of the chunks that are not the last of their entry."""
+    return with_last(found).filter("not is_last").groupBy("raw_size").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def first_bytes(found: DataFrame, n: int = 24) -> DataFrame:
+    """The most frequent first bytes of payloads."""
+    first = F.conv(F.hex(F.substring("payload", 1, 1)), 16, 10).cast("bigint")
+    return stats.top_overall(found.filter("chunk_no is not null and failure is null").select(first.alias("first_byte")), "first_byte", n, "chunks")
+
+
+def entropies(found: DataFrame, most: int = ENTROPY_CHUNKS) -> DataFrame:
+    """Mean, least and largest entropy of the first ``most`` chunks by key and number; 0, 9 and 0 without any."""
+    few = found.filter("chunk_no is not null and failure is null").orderBy("key", "chunk_no").limit(most)
+    e = few.select(stats.entropy_udf()(F.col("payload")).alias("e"))
+    return e.agg(F.count(F.lit(1)).alias("chunks"), F.coalesce(F.avg("e"), F.lit(0.0)).alias("mean"), F.coalesce(F.min("e"), F.lit(9.0)).alias("least"), F.coalesce(F.max("e"), F.lit(0.0)).alias("largest"))
+
+
+def ratio(packed, raw):
+    """Packed to raw bytes, 0 where there are no raw ones."""
+    return F.coalesce(F.try_divide(packed.cast("double"), raw.cast("double")), F.lit(0.0))
+
+
+def ratios(entries: DataFrame, n: int = 30) -> DataFrame:
+    """Entries, raw and packed bytes and their ratio by extension of ``entries`` (name, raw, packed): the ``n`` largest by raw bytes, the later extension first among equals."""
+    sums = entries.groupBy(leaf_extension(F.col("name")).alias("extension")).agg(F.count(F.lit(1)).alias("entries"), F.sum("raw").alias("raw"), F.sum("packed").alias("packed"))
+    return sums.withColumn("ratio", ratio(F.col("packed"), F.col("raw"))).orderBy(F.col("raw").desc(), F.col("extension").desc()).limit(n)
 
 
-def smallest(found: DataFrame, n: int = 24) -> DataFrame:
-    """The ``n`` smallest chunks by raw size, packed size and place, in a total order."""
-    return found.filter("chunk_no is not null").orderBy("raw_size", "packed_size", "key", "chunk_no").limit(n)
+def smallest(found: DataFrame, n: int = 24, head: int = 128) -> DataFrame:
+    """The ``n`` smallest chunks of valid entries by raw size, packed size and place, in a total order, with the first bytes of their payloads."""
+    few = found.filter("chunk_no is not null and failure is null").orderBy("raw_size", "packed_size", "key", "chunk_no").limit(n)
+    return few.withColumn("head", F.substring("payload", 1, head)).drop("payload")

@@ -23,13 +23,25 @@ TRAILER, LEAST_FILE, MOST_ELEMENTS, MOST_VERSION, ONE = 128, 144, 16, 0x1000, 0x
 
 
 def container(content: Column) -> dict[str, Column]:
-    """nu20_offset, nu20_size and valid, as expressions: the sizes must reach the end of the file exactly."""
+    """nu20_offset, nu20_size, valid and failure, as expressions: the sizes must reach the end of the file exactly."""
     head = uint(content, 0, 4, little=False)
     at = head + 4
     size = uint(content, at, 4, little=False)
-    marks = (exact(content, 8, 8) == F.lit(b"HSERHSER")) & (uint(content, at + 4, 4, little=False) == 1) & (exact(content, at + 8, 4) == F.lit(b"02UN"))
-    valid = (F.octet_length(content) >= LEAST_FILE) & marks & (at + 4 + size + TRAILER == F.octet_length(content))
-    return {"nu20_offset": at, "nu20_size": size, "valid": F.coalesce(valid, F.lit(False))}
+    whole = F.octet_length(content)
+    resh = exact(content, 8, 8) == F.lit(b"HSERHSER")
+    nu20 = (uint(content, at + 4, 4, little=False) == 1) & (exact(content, at + 8, 4) == F.lit(b"02UN"))
+    failure = (
+        F.when(content.isNull() | (whole < LEAST_FILE), "too small")
+        .when(~F.coalesce(resh, F.lit(False)), "no RESH header")
+        .when(~F.coalesce(nu20, F.lit(False)), "no NU20 block")
+        .when(~F.coalesce(at + 4 + size + TRAILER == whole, F.lit(False)), "NU20 does not reach the trailer")
+    )
+    return {"nu20_offset": at, "nu20_size": size, "valid": failure.isNull(), "failure": failure}
+
+
+def container_report(files: DataFrame) -> DataFrame:
+    """Files by what is wrong with their container; null: nothing."""
+    return files.groupBy(container(F.col("content"))["failure"].alias("failure")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def _vertex_buffer(data: bytes, at: int, end: int) -> tuple[dict, int] | None:
@@ -37,7 +49,7 @@ def _vertex_buffer(data: bytes, at: int, end: int) -> tuple[dict, int] | None:
         return None
     count, version, n = struct.unpack_from(">I", data, at + 4)[0], *struct.unpack_from(">II", data, at + 12)
     body = at + 20 + 3 * n + 6
-    if not 1 <= n <= MOST_ELEMENTS or body > end:
+    if not count or not 1 <= n <= MOST_ELEMENTS or body > end:
         return None
     elements = [{"usage": u, "stream": m >> 5, "type": m & 31, "offset": o} for u, m, o in struct.iter_unpack("BBB", data[at + 20 : at + 20 + 3 * n])]
     own = [e["offset"] + ELEMENT_BYTES.get(e["type"], 0) for e in elements if e["stream"] == 0]
@@ -104,13 +116,25 @@ def objects(files: DataFrame) -> DataFrame:
 
 
 def totals(found: DataFrame) -> DataFrame:
-    vertices, top = F.col("kind") == "vertices", F.max(F.when((F.col("kind") == "vertices") & (F.size("positions") > 0), F.col("count")))
-    largest = found.groupBy("path").agg(top.alias("_largest"))
-    return found.join(largest, "path").agg(
-        F.count_if(vertices & F.col("inline")).alias("inline"), F.count_if(vertices & ~F.col("inline") & ~F.col("unknown_type")).alias("streamed"), F.count_if(vertices & F.col("unknown_type")).alias("unknown"),
-        F.sum(F.when(vertices, F.size("positions"))).alias("positions"), F.sum("w_not_one").alias("w_not_one"),
+    """One row over all files. Buffers that are not inline count as streamed, whatever keeps them from being read."""
+    vertices, placed = F.col("kind") == "vertices", (F.col("kind") == "vertices") & (F.size("positions") > 0)
+    largest = found.groupBy("path").agg(F.max(F.when(placed, F.col("count"))).alias("_largest"), F.count_if(F.col("kind") == "indices").alias("_indices"))
+    counts = found.join(largest, "path").agg(
+        F.count_if(vertices).alias("buffers"), F.count_if(vertices & F.col("inline")).alias("inline"), F.count_if(vertices & ~F.col("inline")).alias("streamed"), F.count_if(vertices & F.col("unknown_type")).alias("unknown"),
+        F.count_if(placed).alias("position_buffers"), F.sum(F.when(placed, F.size("positions"))).alias("positions"), F.sum("w_not_one").alias("w_not_one"),
         F.count_if((F.col("kind") == "indices") & (F.col("max_index") < F.col("_largest"))).alias("indices_fit"), F.count_if(F.col("kind") == "indices").alias("indices"),
+        F.count_distinct(F.when((F.col("_largest") > 0) & (F.col("_indices") > 0), F.col("path"))).alias("files_with_geometry"),
     )
+    return counts.fillna(0)
+
+
+def strides(found: DataFrame) -> DataFrame:
+    return found.filter("kind = 'vertices' and inline").groupBy("stride").agg(F.count(F.lit(1)).alias("buffers"))
+
+
+def element_kinds(found: DataFrame) -> DataFrame:
+    """Vertex elements by usage, type and stream."""
+    return found.filter("kind = 'vertices'").select(F.inline("elements")).groupBy("usage", "type", "stream").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tag_versions(found: DataFrame) -> DataFrame:
@@ -137,22 +161,55 @@ def png(width: int, height: int, rgb: bytes) -> bytes | None:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", body) + chunk(b"IEND", b"")
 
 
-def render(points: np.ndarray, size: int = 400) -> bytes:
-    """Three orthographic views side by side, as PNG: points of (n, 3)."""
-    canvas = np.full((size, 3 * size, 3), 255, dtype=np.uint8)
-    if len(points):
-        low, extent = points.min(axis=0), np.maximum(points.max(axis=0) - points.min(axis=0), 1e-6).max()
-        at = ((points - low) / extent * (size - 21) + 10).astype(int)
-        for view, (h, v) in enumerate(((0, 1), (2, 1), (0, 2))):
-            canvas[size - 1 - at[:, v], view * size + at[:, h]] = (30, 60, 140)
-    return png(3 * size, size, canvas.tobytes())
-
+VIEW, MARGIN = 400, 20
+#: Axes across and up of the three views.
+VIEWS = ((0, 1), (2, 1), (0, 2))
 
-def renders(found: DataFrame) -> DataFrame:
-    """(path, image) of every file with positions, all of its inline vertex buffers in one picture; a file is one task's row."""
 
-    def draw(path: str, lists: list) -> Iterator[dict]:
-        yield {"path": path, "image": render(np.array([p for some in lists for p in some], dtype=np.float64).reshape(-1, 3))}
+def render(buffers: list[np.ndarray], triangles: np.ndarray | None = None) -> bytes:
+    """Three orthographic views side by side, as PNG: edges of ``triangles`` (of the only buffer), then all points.
 
-    grouped = found.filter("kind = 'vertices' and size(positions) > 0").groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("marker_offset", "positions"))), lambda x: x["positions"]).alias("lists"))
-    return flat_map(grouped, ["path", "lists"], draw, "path string, image binary")
+    ``buffers`` have the shape (n, 3); all share one scale, the largest extent of any axis.
+    """
+    canvas = np.full((VIEW, VIEW * len(VIEWS), 3), 24, dtype=np.uint8)
+    points = np.concatenate([np.asarray(b, dtype=np.float32) for b in buffers]) if buffers else np.zeros((0, 3), np.float32)
+    if len(points):
+        low = points.min(axis=0)
+        extent = max(np.float32(1e-6), (points.max(axis=0) - low).max())
+        unit = (points - low) / extent
+
+        def plot(view: int, u: np.ndarray, v: np.ndarray, colour: tuple[int, int, int]) -> None:
+            x, y = (MARGIN + u * (VIEW - 2 * MARGIN)).astype(np.int64), (VIEW - MARGIN - v * (VIEW - 2 * MARGIN)).astype(np.int64)
+            inside = (x >= 0) & (x < VIEW) & (y >= 0) & (y < VIEW)
+            canvas[y[inside], x[inside] + view * VIEW] = colour
+
+        for view, (across, up) in enumerate(VIEWS):
+            for a, b, c in [] if triangles is None or len(buffers) != 1 else triangles.tolist():
+                for i, j in ((a, b), (b, c), (c, a)):
+                    u, v = unit[[i, j], across], unit[[i, j], up]
+                    steps = max(2, int(np.hypot(u[1] - u[0], v[1] - v[0]) * VIEW))
+                    t = np.arange(steps + 1, dtype=np.float32) / np.float32(steps)
+                    plot(view, u[0] + (u[1] - u[0]) * t, v[0] + (v[1] - v[0]) * t, (90, 140, 200))
+            plot(view, unit[:, across], unit[:, up], (255, 210, 60))
+    return png(VIEW * len(VIEWS), VIEW, canvas.tobytes())
+
+
+def renders(files: DataFrame) -> DataFrame:
+    """(path, points, triangles, image) of every file (path, content) with positions: its buffers in one picture, with the
+    triangles whose indices fit where there is one buffer. A file is one task's row."""
+    head = container(F.col("content"))
+    good = files.withColumns(head).filter("valid").withColumn("end", F.col("nu20_offset") + 4 + F.col("nu20_size"))
+
+    def draw(path: str, data: bytes, nu20: int, end: int) -> Iterator[dict]:
+        found = list(scan_objects(path, data, nu20, min(end, len(data))))
+        buffers = [np.array(o["positions"], dtype=np.float32) for o in found if o["kind"] == "vertices" and o["positions"]]
+        corners = [np.zeros((0, 3), np.int64)]
+        if len(buffers) == 1:
+            for o in found:
+                if o["kind"] == "indices" and o["max_index"] < len(buffers[0]):
+                    corners.append(np.frombuffer(data, dtype=f"<u{o['index_size']}", count=o["count"], offset=o["data_offset"]).astype(np.int64).reshape(-1, 3))
+        triangles = np.concatenate(corners)
+        if buffers:
+            yield {"path": path, "points": sum(map(len, buffers)), "triangles": len(triangles), "image": render(buffers, triangles)}
+
+    return flat_map(good, ["path", "content", "nu20_offset", "end"], draw, "path string, points long, triangles long, image binary")

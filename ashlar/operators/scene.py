@@ -8,75 +8,88 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Key of an entity -> the scene's array that it refers to.
+LINKS = {"mesh": "meshes", "material": "materials", "skeleton": "skeletons", "animation": "animations", "audio": "audio_clips", "collision": "collisions"}
 
-def _finite(xs: Column) -> Column:
-    return F.forall(xs, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
 def mesh(m: Column) -> Column:
-    """positions (x, y, z of each vertex), normals, uvs, indices."""
+    """positions (x, y, z of each vertex), normals, uvs, indices (a list of triangles)."""
     n = F.floor(F.size(m["positions"]) / 3)
     return (
         F.when(F.size(m["positions"]) % 3 != 0, "positions are not triples")
-        .when(F.size(m["positions"]) == 0, "no positions")
-        .when(~_finite(m["positions"]), "position is not finite")
+        .when(n == 0, "no vertices")
         .when((F.size(m["normals"]) > 0) & (F.size(m["normals"]) != F.size(m["positions"])), "normals do not match positions")
         .when((F.size(m["uvs"]) > 0) & (F.floor(F.size(m["uvs"]) / 2) != n), "uvs do not match positions")
-        .when(F.size(m["indices"]) % 3 != 0, "indices are not triangles")
+        .when((F.size(m["indices"]) < 3) | (F.size(m["indices"]) % 3 != 0), "indices are not triangles")
         .when(~F.forall(m["indices"], lambda i: (i >= 0) & (i < n)), "index out of range")
     )
 
 
 def texture(t: Column) -> Column:
-    """width, height, channels, pixels (binary)."""
-    size = t["width"].cast("bigint") * t["height"] * t["channels"]
-    return (
-        F.when((t["width"] <= 0) | (t["height"] <= 0), "empty texture")
-        .when(~t["channels"].between(1, 4), "channel count out of range")
-        .when(F.octet_length(t["pixels"]) != size, "pixels do not match the size")
-    )
+    """width, height, encoding, pixels (binary). Only pixels of the encoding ``rgba8`` have a known size."""
+    size = t["width"].cast("bigint") * t["height"] * 4
+    return F.when((t["width"] <= 0) | (t["height"] <= 0), "empty texture").when((t["encoding"] == "rgba8") & (F.octet_length(t["pixels"]) != size), "pixels do not match the size")
 
 
 def material(m: Column) -> Column:
-    return F.when(~_finite(m["colour"]), "colour is not finite")
+    """colour."""
+    return F.when(~F.forall(m["colour"], _finite), "colour is not finite")
 
 
 def skeleton(s: Column) -> Column:
-    """names, parents (negative: root). Walking up as often as there are joints from a joint of a cycle never ends at a root."""
+    """names, parents (-1: root), binds (empty, or 16 values a joint).
+
+    Each step doubles how far every joint looks up, so that after as many steps as the number of joints has bits only
+    joints below a cycle have not reached a root.
+    """
     n = F.size(s["parents"])
-    climbed = lambda start: F.aggregate(F.sequence(F.lit(1), n), start, lambda at, _: F.when(at < 0, F.lit(-1)).otherwise(F.get(s["parents"], at)))
+    rounds = F.sequence(F.lit(0), F.length(F.bin(n.cast("bigint"))))
+    far = F.aggregate(rounds, s["parents"], lambda up, _: F.transform(up, lambda p: F.when(p < 0, F.lit(-1)).otherwise(F.get(up, p))))
     return (
         F.when(F.size(s["names"]) != n, "names do not match parents")
-        .when(~F.forall(s["parents"], lambda p: p < n), "parent out of range")
-        .when((n > 0) & F.exists(s["parents"], lambda p: climbed(p) >= 0), "joints form a cycle")
+        .when((F.size(s["binds"]) > 0) & (F.size(s["binds"]) != 16 * n), "bind matrices do not match joints")
+        .when(F.exists(F.transform(s["parents"], lambda p, i: (p < -1) | (p >= n) | (p == i)), lambda bad: bad), "parent is not another joint")
+        .when(F.exists(far, lambda p: p >= 0), "joints form a cycle")
     )
 
 
 def clip(a: Column) -> Column:
-    """duration, times, values (of as many joints as there are times, each)."""
-    return (
-        F.when(F.isnan(a["duration"]) | (a["duration"] < 0), "bad duration")
-        .when(F.size(a["times"]) != F.size(a["values"]), "values do not match times")
-        .when(~F.forall(F.sequence(F.lit(1), F.greatest(F.size(a["times"]) - 1, F.lit(1))), lambda i: F.coalesce(F.get(a["times"], i) >= F.get(a["times"], i - 1), F.lit(True))), "times go back")
-    )
+    """duration, joints (how many)."""
+    return F.when(~_finite(a["duration"]) | (a["duration"] < 0), "bad duration").when(a["joints"] < 0, "negative joint count")
 
 
 def audio(a: Column) -> Column:
     """rate, channels, samples."""
-    return F.when(a["rate"] <= 0, "bad sample rate").when(a["channels"] <= 0, "bad channel count").when(F.size(a["samples"]) % a["channels"] != 0, "samples do not fill frames")
+    return F.when((a["rate"] <= 0) | (a["channels"] <= 0), "no sample rate or no channels").when((F.size(a["samples"]) > 0) & (F.size(a["samples"]) % a["channels"] != 0), "samples do not fill frames")
 
 
 def box(b: Column) -> Column:
     """low, high (three values each)."""
-    return F.when((F.size(b["low"]) != 3) | (F.size(b["high"]) != 3), "corners are not triples").when(~F.forall(F.zip_with(b["low"], b["high"], lambda x, y: x <= y), lambda x: x), "corners are the wrong way round")
+    good = F.forall(F.zip_with(b["low"], b["high"], lambda x, y: _finite(x) & _finite(y) & (x <= y)), lambda ok: ok)
+    return F.when((F.size(b["low"]) != 3) | (F.size(b["high"]) != 3) | ~good, "bad box")
 
 
 def _first(xs: Column, check) -> Column:
     return F.get(F.filter(F.transform(xs, check), lambda x: x.isNotNull()), F.lit(0))
 
 
+def broken_links(s: Column) -> Column:
+    """Whether an entity refers to a part that the scene does not have."""
+    fits = lambda e, key: (e[key] < 0) | (e[key] < F.size(s[LINKS[key]]))
+
+    def whole(e: Column) -> Column:
+        out = fits(e, "mesh")
+        for key in list(LINKS)[1:]:
+            out = out & fits(e, key)
+        return out
+
+    return ~F.forall(s["entities"], whole)
+
+
 def scene(s: Column) -> Column:
-    """entities (mesh, material, skeleton), then meshes, textures, materials and skeletons; animations, audio and collision shapes are not looked at."""
-    valid = lambda e, key, of: (e[key] < 0) | (e[key] < F.size(s[of]))
-    links = F.forall(s["entities"], lambda e: valid(e, "mesh", "meshes") & valid(e, "material", "materials") & valid(e, "skeleton", "skeletons"))
-    return F.coalesce(F.when(~links, F.lit("entity refers to nothing")), _first(s["meshes"], mesh), _first(s["textures"], texture), _first(s["materials"], material), _first(s["skeletons"], skeleton))
+    """entities (a number for each key of LINKS), then the arrays; parts of animations, audio clips and collisions are not looked into."""
+    return F.coalesce(F.when(broken_links(s), F.lit("entity refers to nothing")), _first(s["meshes"], mesh), _first(s["textures"], texture), _first(s["materials"], material), _first(s["skeletons"], skeleton))

@@ -95,3 +95,42 @@ def contingency(b: Column, c: Column, low: Column) -> list[Column]:
         F.count_if((b != c) & (low != 0)).alias("differ_low"),
         F.count_if(b > c).alias("b_above_c"),
     ]
+
+
+def printable_ratio(raw: Column) -> Column:
+    """Share of bytes that are 32 .. 126 or zero; 0 of nothing. Counted on hex pairs, in the JVM."""
+    odd = F.length(F.regexp_replace(F.decode(raw, "ISO-8859-1"), "[\\x20-\\x7E\\x00]", ""))
+    return F.when(F.octet_length(raw) > 0, 1 - odd / F.octet_length(raw)).otherwise(F.lit(0.0))
+
+
+def first_wins(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """For each group the least ``order`` (``first``), and how many rows it has (``n``): what comes later is a duplicate. Sums within tasks first."""
+    return df.groupBy(*by).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+
+
+def last_wins(df: DataFrame, by: list[str], value: str, order: str, versions: Column | None = None) -> DataFrame:
+    """For each group the ``value`` of the greatest ``order`` (``last``), and on demand the sorted distinct ``versions``."""
+    more = [F.sort_array(F.collect_set(versions)).alias("versions")] if versions is not None else []
+    return df.groupBy(*by).agg(F.max_by(value, order).alias("last"), *more)
+
+
+def ordered_distinct(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """``values``: the distinct values of each group that are not empty, in the order of their first places. Repeats are dropped before the shuffle gathers a group."""
+    first = df.filter(F.col(value) != "").groupBy(*by, value).agg(F.min(order).alias("_first"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("_first", value))), lambda x: x[value])
+    out = first.groupBy(*by).agg(listed.alias("values"))
+    none = df.select(*by).distinct()
+    return none.join(out, by, "left").withColumn("values", F.coalesce("values", F.array().cast("array<string>")))
+
+
+def spread_sample(df: DataFrame, key: str, n: int = 12) -> DataFrame:
+    """At most ``n`` rows at even distances over the values 0, 1 ... of ``key``: of every 1 + count // n the first, in order."""
+    step = 1 + df.count() // n
+    return df.filter(F.col(key) % step == 0).orderBy(key).limit(n)
+
+
+def two_level(df: DataFrame, outer: str, inner: str, value: str) -> DataFrame:
+    """Counts and sums of ``value`` by outer and inner key, with those of the outer key beside them."""
+    both = df.groupBy(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"))
+    w = Window.partitionBy(outer)
+    return both.withColumn("n_outer", F.sum("n").over(w)).withColumn("sum_outer", F.sum("sum").over(w))

@@ -78,4 +78,11 @@ def summaries(found: DataFrame) -> DataFrame:
 
 
 def extensions(found: DataFrame) -> DataFrame:
-    return found.filter("no is not null").groupBy("path", path_extension(F.col("name")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+    """Entries of each file and extension; folders, which end with a separator, do not count."""
+    real = (F.col("name") != "") & ~F.regexp_like("name", F.lit("[/\\\\]$"))
+    return found.filter(F.col("no").isNotNull() & real).groupBy("path", path_extension(F.col("name")).alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def extension_totals(found: DataFrame) -> DataFrame:
+    """Histograms of all files added up."""
+    return extensions(found).groupBy("extension").agg(F.sum("n").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,25 +16,76 @@ MOST_FILES = 20_000
 
 
 def tree(spark: SparkSession, root: str, most: int = MOST_FILES, outside: str | None = None) -> tuple[DataFrame, bool]:
-    """(files below ``root`` as path, length, content; whether there are more than ``most``). Files below ``outside`` do not count; order is by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(files below ``root``, or the file ``root``, as path, length, content; whether there are more than ``most``). Files below ``outside`` do not count; order is by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     if outside:
-        files = files.filter(~F.contains("path", F.lit(outside.rstrip("/") + "/")))
+        files = files.filter(~F.startswith("path", F.lit(outside.removeprefix("file:").rstrip("/") + "/")))
     capped = files.select("path").limit(most + 1).count() > most
     few = files.select("path").orderBy("path").limit(most)
     return files.join(few, "path", "left_semi").select("path", "length", "content"), capped
 
 
 def archives(spark: SparkSession, root: str) -> DataFrame:
-    """Files right in a folder whose extension starts with ``.dat``, in any case."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][aA][tT]*").load(root)
-    return files.filter(F.regexp_like("path", F.lit("\\.[dD][aA][tT][^./]*$"))).select("path", "length", "content")
+    """Files right in a folder whose extension starts with ``.dat``, in any case: (path, length). Their content is read by position, whatever their size."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][aA][tT]*").load(root).select("path", "length")
+    return files.filter(F.regexp_like("path", F.lit("\\.[dD][aA][tT][^./]*$")))
+
+
+def documents(spark: SparkSession, root: str) -> DataFrame:
+    """Archives of a folder that are not hidden, in natural order of their names (binary order of names whose digits are padded)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = archives(spark, root).filter(~F.startswith(name, F.lit(".")))
+    return found.orderBy(F.regexp_replace(F.lower(F.regexp_replace(name, "([0-9]+)", "00000000000000000000$1")), "0*([0-9]{20})", "$1"), "path")
 
 
 def geometry(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.ghg").load(root).select("path", "length", "content")
 
 
+def opened(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if ":" in path else f"file://{os.path.abspath(path)}")
+
+
+def copied(files: DataFrame, root: str, out: str, buffer: int = 1 << 20) -> DataFrame:
+    """(path, copy, error): stream each of ``files`` (path) to the same place below ``out`` as it has below ``root``.
+
+    A file is copied ``buffer`` bytes at a time under a temporary name and renamed. A copy onto itself or out of ``out`` is refused.
+    """
+    base, top = root.removeprefix("file:"), out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = opened(top)
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                relative = os.path.relpath(path, base) if path != base.rstrip("/") else os.path.basename(path)
+                target, error = f"{folder}/{relative}", None
+                if ".." in relative.split("/"):
+                    error = "copy would leave the folder"
+                elif os.path.realpath(path) == os.path.realpath(target):
+                    error = "copy onto itself"
+                else:
+                    partial = f"{target}.{uuid.uuid4().hex}.part"
+                    try:
+                        source, name = opened(path)
+                        store.create_dir(os.path.dirname(target), recursive=True)
+                        with source.open_input_stream(name) as read, store.open_output_stream(partial) as write:
+                            while some := read.read(buffer):
+                                write.write(some)
+                        store.move(partial, target)
+                    except OSError as e:
+                        error = f"cannot copy: {e}"
+                        if store.get_file_info(partial).type.name == "File":
+                            store.delete_file(partial)
+                rows.append((path, None if error else target, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [()] * 3)], ["path", "copy", "error"])
+
+    return files.select("path").mapInArrow(run, "path string, copy string, error string")
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, size: int):
         self.path, self.start, self.size = path, start, size
@@ -44,9 +96,7 @@ class RangedReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("rangebytes", 64 << 20))
 
     def _open(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.path if ":" in self.path else f"file://{os.path.abspath(self.path)}")
+        return opened(self.path)
 
     def partitions(self) -> list[InputPartition]:
         store, path = self._open()
@@ -89,38 +139,16 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", "true").csv(path)
 
 
-def extract(entries: DataFrame, out: str) -> DataFrame:
-    """Write ``entries`` (path, data, status) below ``out`` and give (path, status, bytes).
-
-    A file is written under a temporary name and renamed; one that has the right size already is ``reused``. ``out`` is
-    a folder that all executors share, in any store that pyarrow opens.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(out if ":" in out else f"file://{os.path.abspath(out)}")
-        for batch in batches:
-            rows = []
-            for path, data, status in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                target = f"{root}/{path}"
-                info = store.get_file_info(target)
-                if data is None:
-                    rows.append((path, status, 0))
-                elif info.type == fs.FileType.File and info.size == len(data):
-                    rows.append((path, "reused", 0))
-                else:
-                    try:
-                        store.create_dir(os.path.dirname(target), recursive=True)
-                        with store.open_output_stream(f"{target}.part") as f:
-                            f.write(data)
-                        store.move(f"{target}.part", target)
-                        rows.append((path, status, len(data)))
-                    except OSError as e:
-                        rows.append((path, f"error: {e}", 0))
-                        if store.get_file_info(f"{target}.part").type == fs.FileType.File:
-                            store.delete_file(f"{target}.part")
-            columns = list(zip(*rows)) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], ["path", "status", "bytes"])
-
-    return entries.select("path", "data", "status").mapInArrow(run, "path string, status string, bytes long")
+def written(store, target: str, parts: Iterator[bytes]) -> None:
+    """Write ``parts`` under a temporary name of its own and rename it; nothing stays of a write that fails."""
+    partial = f"{target}.{uuid.uuid4().hex}.part"
+    try:
+        store.create_dir(os.path.dirname(target), recursive=True)
+        with store.open_output_stream(partial) as f:
+            for part in parts:
+                f.write(part)
+        store.move(partial, target)
+    except OSError:
+        if store.get_file_info(partial).type.name == "File":
+            store.delete_file(partial)
+        raise
