@@ -134,10 +134,10 @@ def _named(text: Column, patterns: tuple) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
-def graphics_in(content: Column, patterns: tuple = GRAPHICS) -> Column:
-    """Interfaces named in the first bytes, in the order of the patterns (UTF-8); plain OpenGL goes where OpenGL ES is named."""
+def graphics_in(content: Column, patterns: tuple = GRAPHICS, most: int | None = GRAPHICS_BYTES) -> Column:
+    """Interfaces named in the first ``most`` bytes (None: in all), in the order of the patterns (UTF-8); plain OpenGL goes where OpenGL ES is named."""
     latin = tuple((p.encode().decode("latin-1"), api) for p, api in patterns)
-    text = ascii_lower(F.decode(clamped(content, 0, GRAPHICS_BYTES), "ISO-8859-1"))
+    text = ascii_lower(F.decode(content if most is None else clamped(content, 0, most), "ISO-8859-1"))
     found = F.array_distinct(F.transform(_named(text, latin), lambda x: x["api"]))
     return F.when(F.array_contains(found, "opengles"), F.filter(found, lambda x: x != "opengl")).otherwise(found)
 

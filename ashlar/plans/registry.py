@@ -10,7 +10,11 @@ from pyspark.sql.window import Window
 
 from ..functions import binexpr as B
 from ..functions import classify as C
-from ..operators import archive, codec, geometry, stats
+from ..functions.rows import flat_map
+from ..operators import archive, codec, executables, geometry, inspect, scene, stats, zipdir
+from ..sources import files as sources
+from ..sources.shared import shared_dir, stored
+from . import builders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,7 +69,7 @@ _FORMAT = """CASE WHEN h LIKE '89504E470D0A1A0A%' THEN 'png' WHEN h LIKE 'FFD8FF
 SELECT doc_id, round(-sum(p * log2(p)), 4) AS entropy FROM (
   SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM (
     SELECT doc_id, substr(h, i, 2) AS b, count(*) AS n FROM (
-      SELECT doc_id, h, unnest(range(1, length(h), 2)) AS i FROM (SELECT doc_id, substr(hex(encode(text)), 1, 131072) AS h FROM documents)) GROUP BY doc_id, b))
+      SELECT doc_id, h, unnest(range(1, length(h), 2)) AS i FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents)) GROUP BY doc_id, b))
 GROUP BY doc_id""")
 def byte_entropy(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.round(stats.entropy_udf(None)("content"), 4).alias("entropy"))
@@ -220,10 +224,9 @@ SELECT coalesce(c_mktsegment, '(unnamed)') AS segment, count(*) AS entries, coun
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON o_custkey = c_custkey GROUP BY 1""")
 def catalog_left_join(spark, sf_dir):
     names = read(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0")
-    rows = read(spark, sf_dir, "orders").join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
-    name = F.coalesce("c_name", F.concat(F.lit("(unnamed "), F.col("o_orderkey").cast("string"), F.lit(")")))
+    rows = archive.named(read(spark, sf_dir, "orders"), names, F.col("o_custkey") == F.col("c_custkey"), F.col("c_name"), "o_orderkey")
     return rows.groupBy(F.coalesce("c_mktsegment", F.lit("(unnamed)")).alias("segment")).agg(
-        F.count(F.lit(1)).alias("entries"), F.count_if(F.col("c_custkey").isNull()).alias("unnamed"), F.min(name).alias("first_name"), F.sum(F.round("o_totalprice").cast("bigint")).alias("bytes")
+        F.count(F.lit(1)).alias("entries"), F.count_if("unnamed").alias("unnamed"), F.min("name").alias("first_name"), F.sum(F.round("o_totalprice").cast("bigint")).alias("bytes")
     )
 
 
@@ -239,68 +242,56 @@ def _tree(spark, sf_dir):
 
 @query(f"WITH {_TREE} SELECT id, name FROM t WHERE id IN (SELECT parent FROM t)")
 def dir_semi(spark, sf_dir):
-    t = _tree(spark, sf_dir)
-    return t.join(t.select(F.col("parent").alias("p")), F.col("id") == F.col("p"), "left_semi").select("id", "name")
+    return archive.parents_of(_tree(spark, sf_dir), [], "id", "parent").select("id", "name")
 
 
 @query(f"WITH {_TREE} SELECT id, name FROM t WHERE id NOT IN (SELECT parent FROM t)")
 def file_anti(spark, sf_dir):
-    t = _tree(spark, sf_dir)
-    return t.join(t.select(F.col("parent").alias("p")), F.col("id") == F.col("p"), "left_anti").select("id", "name")
+    return archive.leaves_of(_tree(spark, sf_dir), [], "id", "parent").select("id", "name")
 
 
-@query("SELECT i::BIGINT AS id FROM range((SELECT max(o_custkey) + 1 FROM orders)) r(i) WHERE i NOT IN (SELECT o_custkey FROM orders)")
+@query("""
+SELECT i::BIGINT AS id FROM range((SELECT max(o_custkey) + 1 FROM orders)) r(i) WHERE i NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
 def missing_ids(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    top = orders.agg(F.max("k")).first()[0] or -1
-    return spark.range(top + 1).join(orders, F.col("id") == F.col("k"), "left_anti")
+    orders = read(spark, sf_dir, "orders")
+    top = orders.agg(F.max("o_custkey")).first()[0]
+    return archive.missing(orders.filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"), "o_custkey", 0 if top is None else top + 1)
 
 
 @query(f"""
 WITH RECURSIVE {_TREE}, p AS (SELECT id, parent AS up, name AS names FROM t UNION ALL SELECT p.id, t.parent, t.name || '/' || p.names FROM p JOIN t ON t.id = p.up) SELECT id, names AS path FROM p WHERE up = ''""")
 def tree_paths(spark, sf_dir):
-    _tree(spark, sf_dir).createOrReplaceTempView("_tree_nodes")
-    return spark.sql("""
-      WITH RECURSIVE p(id, up, full) MAX RECURSION LEVEL 20 AS (
-        SELECT id, parent, name FROM _tree_nodes UNION ALL SELECT p.id, t.parent, concat(t.name, '/', p.full) FROM p JOIN _tree_nodes t ON t.id = p.up)
-      SELECT id, full AS path FROM p WHERE up = ''""")
+    return archive.paths_up(_tree(spark, sf_dir), []).select("id", F.col("full").alias("path"))
 
 
 @query("""
-WITH RECURSIVE s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE (s_suppkey * 3) % 100 END AS parent FROM supplier WHERE s_suppkey < 100),
-w AS (SELECT id, parent AS up, 0 AS steps FROM s UNION ALL SELECT w.id, s.parent, steps + 1 FROM w JOIN s ON s.id = w.up WHERE steps < 30)
-SELECT count(*) FILTER (steps = 30) AS cyclic, max(CASE WHEN steps < 30 THEN steps END)::INT AS longest FROM w""")
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM supplier), s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN -1 ELSE (s_suppkey * 3) % n END AS parent FROM supplier, n),
+w AS (SELECT id, parent AS up, 0 AS steps FROM s UNION ALL SELECT w.id, s.parent, steps + 1 FROM w JOIN s ON s.id = w.up WHERE steps <= (SELECT n FROM n))
+SELECT count(*) FILTER (steps > n) AS cyclic, max(CASE WHEN steps <= n THEN steps END)::INT AS longest FROM w, n""")
 def tree_cycles(spark, sf_dir):
     suppliers = read(spark, sf_dir, "supplier")
     n = suppliers.count()
-    # Up to 100 suppliers the modulus and the bound of the SQL; beyond, the bound is above the number of nodes, which only a cycle reaches.
-    modulus, bound = (100, 30) if n <= 100 else (n, n + 1)
     key = F.col("s_suppkey")
-    nodes = suppliers.select(key.alias("id"), F.when(key % 7 == 0, F.lit(-1)).otherwise((key * 3) % modulus).cast("bigint").alias("parent"))
-    steps = archive.steps_up(nodes, bound)
-    return steps.agg(F.count_if(F.col("steps") >= bound).alias("cyclic"), F.max(F.least("steps", F.lit(bound - 1))).cast("int").alias("longest"))
+    nodes = suppliers.select(key.alias("id"), F.when(key % 7 == 0, F.lit(-1)).otherwise((key * 3) % n).cast("bigint").alias("parent"))
+    steps = archive.steps_up(nodes, n + 1)  # only a cycle is longer than there are nodes
+    return steps.agg(F.count_if(F.col("steps") > n).alias("cyclic"), F.max(F.least("steps", F.lit(n))).cast("int").alias("longest"))
 
 
 @query("""
 SELECT event_type, count(*) AS users, count(*) FILTER (c > 1) AS repeated, sum(first_id)::BIGINT AS first_ids FROM (SELECT event_type, user_id, min(event_id) AS first_id, count(*) AS c FROM events GROUP BY 1, 2) GROUP BY 1""")
 def dedup_first_wins(spark, sf_dir):
-    w = Window.partitionBy("event_type", "user_id")
-    rows = read(spark, sf_dir, "events").withColumn("rn", F.row_number().over(w.orderBy("event_id"))).withColumn("c", F.count(F.lit(1)).over(w)).filter("rn = 1")
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("c") > 1).alias("repeated"), F.sum("event_id").alias("first_ids"))
+    rows = stats.first_wins(read(spark, sf_dir, "events"), ["event_type", "user_id"], "event_id")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum("first").alias("first_ids"))
 
 
 @query("""
 WITH s AS (SELECT n_nationkey AS no, n_nationkey * 70 AS va, 100 AS span, 80 AS raw FROM nation), j AS (SELECT p_partkey, no, p_partkey - va AS delta, raw, row_number() OVER (PARTITION BY p_partkey ORDER BY no) AS rn FROM part JOIN s ON p_partkey >= va AND p_partkey < va + span)
 SELECT p_partkey, no::INT AS section, CASE WHEN delta < raw THEN (no * 1000 + delta)::BIGINT END AS file_offset FROM j WHERE rn = 1""")
 def range_join_first(spark, sf_dir):
-    sections = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("no"), (F.col("n_nationkey") * 70).alias("va"))
-    # Cells of the ranges' width: a point can only lie in ranges that begin in its cell or the one before, so the join has an equality.
-    cells = sections.withColumn("cell", F.explode(F.array(F.floor(F.col("va") / 100), F.floor(F.col("va") / 100) + 1)))
-    parts = read(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 100).alias("cell"))
-    met = parts.join(cells, "cell").filter((F.col("p_partkey") >= F.col("va")) & (F.col("p_partkey") < F.col("va") + 100))
-    first = met.groupBy("p_partkey").agg(F.min(F.struct("no", "va")).alias("s"))
-    delta = F.col("p_partkey") - F.col("s.va")
-    return first.select("p_partkey", F.col("s.no").cast("int").alias("section"), F.when(delta < 80, F.col("s.no") * 1000 + delta).cast("bigint").alias("file_offset"))
+    nation = read(spark, sf_dir, "nation")
+    sections = nation.select(F.col("n_nationkey").alias("no"), (F.col("n_nationkey") * 70).cast("bigint").alias("start"), F.lit(100).cast("bigint").alias("span"), F.lit(80).cast("bigint").alias("usable"), (F.col("n_nationkey") * 1000).cast("bigint").alias("offset"))
+    found = executables.file_offsets(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey", sections, 100)
+    return found.select("p_partkey", F.col("no").cast("int").alias("section"), "file_offset")
 
 
 @query("""
@@ -309,17 +300,15 @@ h AS (SELECT doc_id, api FROM documents JOIN p ON contains(translate(text, 'ABCD
 SELECT api, count(DISTINCT doc_id) AS n FROM h WHERE NOT (api = 'opengl' AND doc_id IN (SELECT doc_id FROM h WHERE api = 'opengles')) GROUP BY 1""")
 def pattern_scan(spark, sf_dir):
     patterns = (("the", "directx9"), ("ning", "opengl"), ("ond", "opengles"), ("heit", "vulkan"), ("ción", "metal"))
-    text = C.ascii_lower(F.col("text"))
-    found = F.filter(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(api)) for p, api in patterns]), lambda x: x.isNotNull())
-    apis = F.when(F.array_contains(found, "opengles"), F.filter(found, lambda x: x != "opengl")).otherwise(found)
+    apis = C.graphics_in(F.col("text").cast("binary"), patterns, None)
     return read(spark, sf_dir, "documents").select(F.explode(apis).alias("api")).groupBy("api").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
 SELECT conv_id, array_to_string(list_distinct_ordered, ',') AS roles FROM (SELECT conv_id, list(role ORDER BY f) AS list_distinct_ordered FROM (SELECT conv_id, role, min(turn) AS f FROM conversations WHERE role <> '' GROUP BY 1, 2) GROUP BY 1)""")
 def distinct_union_order(spark, sf_dir):
-    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return turns.select("conv_id", F.array_join(F.array_distinct(F.filter(F.transform("t", lambda x: x["role"]), lambda r: r != "")), ",").alias("roles"))
+    found = stats.ordered_distinct(read(spark, sf_dir, "conversations").filter("role <> ''"), ["conv_id"], "role", "turn")
+    return found.select("conv_id", F.array_join("values", ",").alias("roles"))
 
 
 @query(f"""
@@ -327,9 +316,7 @@ WITH d AS (SELECT source, n_chars, {_FORMAT} AS label FROM (SELECT source, n_cha
 SELECT source, label, n, chars, sum(n) OVER (PARTITION BY source)::BIGINT AS of_source, (sum(chars) OVER (PARTITION BY source))::BIGINT AS chars_of_source FROM g""")
 def two_level_hist(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("source", "n_chars", C.format_of(F.coalesce("text", F.lit("")).cast("binary")).alias("label"))
-    both = docs.groupBy("source", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-    w = Window.partitionBy("source")
-    return both.select("source", "label", "n", "chars", F.sum("n").over(w).alias("of_source"), F.sum("chars").over(w).alias("chars_of_source"))
+    return stats.two_level(docs, "source", "label", "n_chars").select("source", "label", "n", F.col("sum").alias("chars"), F.col("n_outer").alias("of_source"), F.col("sum_outer").alias("chars_of_source"))
 
 
 _PLAN = """p AS (SELECT *, CASE WHEN low = 0 AND b = c THEN 's' WHEN low = 2 THEN 'z' ELSE 'x' END AS kind, l_returnflag IN ('A', 'R') AS wanted, (l_orderkey % 11 = 0) AS unsafe FROM (
@@ -338,19 +325,20 @@ _PLAN = """p AS (SELECT *, CASE WHEN low = 0 AND b = c THEN 's' WHEN low = 2 THE
 
 def _plan(spark, sf_dir):
     n, k = F.col("l_quantity").cast("bigint"), F.col("l_partkey")
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", n.alias("b"), F.when(k % 2 == 0, n).otherwise(n * 2).alias("c"), F.when(k % 2 == 0, 0).when(k % 3 == 0, 2).otherwise(1).alias("low"))
-    return rows.withColumns({"stored": archive.is_stored(F.col("low").cast("bigint"), F.col("b"), F.col("c")), "packed": F.col("low") == 2, "wanted": F.col("l_returnflag").isin("A", "R"), "unsafe": F.col("l_orderkey") % 11 == 0})
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", n.alias("b"), F.when(k % 2 == 0, n).otherwise(n * 2).alias("c"), F.when(k % 2 == 0, 0).when(k % 3 == 0, 2).otherwise(1).cast("bigint").alias("low"))
+    whole = archive.is_stored(F.col("low"), F.col("b"), F.col("c"))
+    reason = C.path_check(F.concat(F.when(F.col("l_orderkey") % 11 == 0, F.lit("../")).otherwise(F.lit("")), F.lit("entry"), F.col("l_orderkey").cast("string")))
+    return archive.planned(rows, whole, F.col("low") == 2, F.col("l_returnflag").isin("A", "R"), reason, F.col("b"), F.col("c"), decompress=True)
 
 
 @query(f"WITH {_PLAN} SELECT l_returnflag, sum(CASE WHEN kind = 's' THEN b WHEN kind = 'z' THEN c ELSE 0 END)::BIGINT AS planned_bytes FROM p WHERE wanted GROUP BY 1")
 def planned_bytes(spark, sf_dir):
-    return _plan(spark, sf_dir).filter("wanted").groupBy("l_returnflag").agg(F.sum(F.when(F.col("stored"), F.col("b")).when(F.col("packed"), F.col("c")).otherwise(0)).alias("planned_bytes"))
+    return _plan(spark, sf_dir).filter("status <> 'skipped_filter'").groupBy("l_returnflag").agg(F.sum("planned_bytes").alias("planned_bytes"))
 
 
 @query(f"WITH {_PLAN} SELECT CASE WHEN NOT wanted THEN 'skipped_filter' WHEN kind = 'x' THEN 'skipped_compressed' WHEN unsafe THEN 'rejected' WHEN kind = 's' THEN 'written' ELSE 'decompressed' END AS status, count(*) AS n FROM p GROUP BY 1")
 def extract_status(spark, sf_dir):
-    status = F.when(~F.col("wanted"), "skipped_filter").when(~(F.col("stored") | F.col("packed")), "skipped_compressed").when(F.col("unsafe"), "rejected").when(F.col("stored"), "written").otherwise("decompressed")
-    return _plan(spark, sf_dir).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return _plan(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 _HOSTILE = ("audio/vo/dx_line.ogg", "../evil.txt", "a/../../b", "/abs/path", "c:/windows/x", "dir/con.txt", "dir//x", "trailing./x", "", "ok/name.tex", "COM1.txt")
@@ -389,13 +377,11 @@ def bbox_extent(spark, sf_dir):
 
 
 @query("""
-SELECT vec_id, CASE WHEN len(i) % 3 <> 0 THEN 'indices are not triangles' WHEN len(list_filter(i, lambda k: k < 0 OR k >= n)) > 0 THEN 'index out of range' END AS fault
-FROM (SELECT vec_id, len(embedding) // 3 AS n, CASE WHEN vec_id % 4 = 0 THEN [0, 1, 2, 3] WHEN vec_id % 5 = 0 THEN [0, 1, 999] ELSE [0, 1, 2] END AS i FROM embeddings)""")
+SELECT vec_id, CASE WHEN len(i) < 3 OR len(i) % 3 <> 0 THEN 'indices are not triangles' WHEN len(list_filter(i, lambda k: k < 0 OR k >= n)) > 0 THEN 'index out of range' END AS fault
+FROM (SELECT vec_id, len(embedding) // 3 AS n, CASE WHEN vec_id % 4 = 0 THEN [0, 1, 2, 3] WHEN vec_id % 5 = 0 THEN [0, 1, 999] WHEN vec_id % 7 = 0 THEN [] ELSE [0, 1, 2] END AS i FROM embeddings)""")
 def mesh_validate(spark, sf_dir):
-    from ..operators import scene
-
     n = F.size("embedding")
-    i = F.when(F.col("vec_id") % 4 == 0, F.array(*map(F.lit, (0, 1, 2, 3)))).when(F.col("vec_id") % 5 == 0, F.array(*map(F.lit, (0, 1, 999)))).otherwise(F.array(*map(F.lit, (0, 1, 2))))
+    i = F.when(F.col("vec_id") % 4 == 0, F.array(*map(F.lit, (0, 1, 2, 3)))).when(F.col("vec_id") % 5 == 0, F.array(*map(F.lit, (0, 1, 999)))).when(F.col("vec_id") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array(*map(F.lit, (0, 1, 2))))
     none = F.array().cast("array<float>")
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.struct(F.slice("embedding", F.lit(1), n - n % 3).alias("positions"), none.alias("normals"), none.alias("uvs"), i.alias("indices")).alias("m"))
     return rows.select("vec_id", scene.mesh(F.col("m")).alias("fault"))
@@ -415,14 +401,29 @@ def _frames(spark, sf_dir):
 WITH c AS (SELECT conv_id, turn, role, strlen(text) AS n, row_number() OVER w AS rn, sum(12 + strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM conversations WHERE text <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id::VARCHAR AS key, (rn - 1)::INT AS chunk_no, coalesce(o, 0)::BIGINT AS header_offset, n::BIGINT AS raw_size, rn = max(rn) OVER (PARTITION BY conv_id) AS is_last FROM c""")
 def chunk_framing(spark, sf_dir):
-    rows = codec.chunks(_frames(spark, sf_dir)).filter("failure is null")
-    last = F.lead("chunk_no").over(Window.partitionBy("key").orderBy("chunk_no")).isNull()
-    return rows.select("key", "chunk_no", "header_offset", "raw_size", last.alias("is_last"))
+    return codec.with_last(codec.chunks(_frames(spark, sf_dir))).select("key", "chunk_no", "header_offset", "raw_size", "is_last")
+
+
+def _packed(spark, sf_dir):
+    """An entry for every conversation: its texts one after the other, in chunks of 512 bytes that are encoded."""
+    turns = read(spark, sf_dir, "conversations").filter("text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("xs"))
+    raw = turns.select(F.col("conv_id").cast("string").alias("key"), F.array_join(F.transform("xs", lambda x: x["text"]), "").cast("binary").alias("raw"))
+
+    def pack(key: str, raw: bytes):
+        yield {"key": key, "entry": builders.packed_entry(raw, 512), "expected": len(raw)}
+
+    return stored(flat_map(raw, ["key", "raw"], pack, "key string, entry binary, expected long"))
 
 
 @query("SELECT conv_id::VARCHAR AS key, string_agg(text, '' ORDER BY turn, role, text) AS text FROM conversations WHERE text <> '' GROUP BY 1")
 def lz2k_decompress(spark, sf_dir):
-    return codec.decompressed(_frames(spark, sf_dir)).select("key", F.col("output").cast("string").alias("text"))
+    return codec.decompressed(_packed(spark, sf_dir)).select("key", F.col("output").cast("string").alias("text"))
+
+
+@query("SELECT 'lh5' AS parameters, count(DISTINCT conv_id) AS entries, count(DISTINCT conv_id) AS entries_ok, true AS all_ok FROM conversations WHERE text <> ''")
+def lzh_scoreboard(spark, sf_dir):
+    board = codec.scoreboard(_packed(spark, sf_dir)).filter("parameters = 'lh5'")
+    return board.select("parameters", "entries", "entries_ok", ((F.col("chunks") > 0) & (F.col("ok") == F.col("chunks")) & (F.col("exact_end") == F.col("chunks"))).alias("all_ok"))
 
 
 @query("""
@@ -430,37 +431,44 @@ SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '(none)' ELSE '.' || lower(p_
   SELECT p_partkey, p_brand, (p_size % 5)::BIGINT AS raw, p_size::BIGINT AS packed FROM part)""")
 def compression_ratio(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.lit("x.")).otherwise(F.concat(F.lit("x."), F.col("p_brand"))).alias("name"), (F.col("p_size") % 5).cast("bigint").alias("raw"), F.col("p_size").cast("bigint").alias("packed"))
-    return part.select("p_partkey", C.leaf_extension(F.col("name")).alias("extension"), "raw", "packed", F.coalesce(F.round(F.try_divide(F.col("packed").cast("double"), F.col("raw").cast("double")), 6), F.lit(0.0)).alias("ratio"))
+    return part.select("p_partkey", C.leaf_extension(F.col("name")).alias("extension"), "raw", "packed", F.round(codec.ratio(F.col("packed"), F.col("raw")), 6).alias("ratio"))
+
+
+@query("""
+SELECT extension, entries, raw, packed, CASE WHEN raw = 0 THEN 0.0::DOUBLE ELSE round(packed / raw::DOUBLE, 6) END AS ratio FROM (
+  SELECT CASE WHEN p_partkey % 7 = 0 THEN '(none)' ELSE '.' || lower(p_brand) END AS extension, count(*) AS entries, sum(p_size % 5)::BIGINT AS raw, sum(p_size)::BIGINT AS packed FROM part GROUP BY 1)
+ORDER BY raw DESC, extension DESC LIMIT 10""")
+def ratios_by_extension(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 7 == 0, F.lit("x.")).otherwise(F.concat(F.lit("x."), F.col("p_brand")))
+    rows = read(spark, sf_dir, "part").select(name.alias("name"), (F.col("p_size") % 5).cast("bigint").alias("raw"), F.col("p_size").cast("bigint").alias("packed"))
+    return codec.ratios(rows, 10).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("""
-SELECT l_returnflag, CASE WHEN n > 16 THEN 17 ELSE n END::BIGINT AS chunks, count(*) AS entries FROM (SELECT l_returnflag, l_suppkey, l_linestatus, count(*) AS n FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL) GROUP BY 1, 2""")
+SELECT l_returnflag, CASE WHEN n > 16 THEN 17 ELSE n END::BIGINT AS chunks, count(*) AS entries FROM (SELECT l_returnflag, l_suppkey, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1, 2""")
 def chunks_per_entry(spark, sf_dir):
-    per = read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("l_returnflag", F.least("n", F.lit(17)).alias("chunks")).agg(F.count(F.lit(1)).alias("entries"))
+    return codec.chunk_counts(read(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_suppkey", "l_linestatus"]).drop("most")
 
 
 @query("""
 SELECT event_type, max_by(user_id, event_id) AS last_user, list_sort(list(DISTINCT user_id % 5))[1]::BIGINT AS least, count(DISTINCT user_id % 5) AS versions FROM events GROUP BY 1""")
 def last_wins_versions(spark, sf_dir):
-    version = F.col("user_id") % 5
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.max_by("user_id", "event_id").alias("last_user"), F.get(F.sort_array(F.collect_set(version)), F.lit(0)).alias("least"), F.count_distinct(version).alias("versions"))
+    found = stats.last_wins(read(spark, sf_dir, "events"), ["event_type"], "user_id", "event_id", F.col("user_id") % 5)
+    return found.select("event_type", F.col("last").alias("last_user"), F.get("versions", F.lit(0)).alias("least"), F.size("versions").cast("bigint").alias("versions"))
 
 
 @query("""
 SELECT i AS id, c_name AS name FROM (SELECT c_custkey AS i, c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % (1 + (SELECT count(*) FROM customer) // 12) = 0) WHERE rn <= 12""")
 def display_sample(spark, sf_dir):
-    names = read(spark, sf_dir, "customer")
-    step = 1 + names.count() // 12
-    return names.filter(F.col("c_custkey") % step == 0).orderBy("c_custkey").limit(12).select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return stats.spread_sample(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
 @query("""
-SELECT user_id, event_id FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type DESC LIMIT 1) AND contains(lower(props), 'a') AND user_id % 3 = 0""")
+SELECT user_id, event_id FROM events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type DESC LIMIT 1) AND contains(lower(props), 'k": 7')""")
 def path_filter(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     top = stats.top_overall(events, "event_type", 1).select(F.col("event_type").alias("t"))
-    return events.filter(F.contains(C.ascii_lower(F.col("props")), F.lit("a"))).join(F.broadcast(top), F.col("event_type") == F.col("t"), "left_semi").select("user_id", "event_id")
+    return archive.search(events, 'K": 7', "props").join(F.broadcast(top), F.col("event_type") == F.col("t"), "left_semi").select("user_id", "event_id")
 
 
 @query("""
@@ -474,12 +482,322 @@ def endian_integers(spark, sf_dir):
 
 @query()
 def decode_scoreboard(spark, sf_dir):
-    return codec.scoreboard(codec.chunks(_frames(spark, sf_dir)))
+    """All parameter sets over the packed conversations: what the larger dictionaries make of streams of the smallest is not in SQL."""
+    return codec.scoreboard(_packed(spark, sf_dir))
 
 
-@query()
+def _page_files(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
+
+
+@query(f"SELECT format, count(*) AS n FROM (SELECT {_FORMAT} AS format FROM (SELECT hex(encode(html)) AS h FROM pages)) GROUP BY 1")
 def file_reports(spark, sf_dir):
-    from ..operators import inspect
+    return inspect.by_format(inspect.report(_page_files(spark, sf_dir)))
+
+
+# Archives of 500 customers each, written as files and read back by position. Kinds of entries by their key: out (of
+# bounds), odd (another compression), packed, stored; some have no name, some a second one, some one that is not allowed.
+_PER = 500
+_PAYLOAD = "repeat(c_name || '|', (1 + c_custkey % 5)::INT)"
+_ENTRIES = f"""e AS (
+  SELECT *, CASE kind WHEN 'out' THEN 2000000000 WHEN 'packed' THEN n + 12 ELSE n END::BIGINT AS b, CASE kind WHEN 'out' THEN 2000000000 ELSE n END::BIGINT AS c,
+    CASE kind WHEN 'odd' THEN 1 WHEN 'packed' THEN 2 ELSE 0 END::BIGINT AS low, CASE kind WHEN 'out' THEN 0 WHEN 'packed' THEN n + 12 ELSE n END AS held,
+    CASE WHEN c_custkey % 13 = 5 THEN NULL WHEN c_custkey % 11 = 0 THEN lower(c_mktsegment) || '/con.' || c_custkey ELSE lower(c_mktsegment) || '/n' || c_nationkey || '/' || c_name || ext END AS name
+  FROM (
+    SELECT c_custkey, c_name, c_mktsegment, c_nationkey, (c_custkey // {_PER})::BIGINT AS archive, row_number() OVER (PARTITION BY c_custkey // {_PER} ORDER BY c_custkey) - 1 AS id, strlen({_PAYLOAD}) AS n, {_PAYLOAD} AS payload,
+      CASE WHEN c_custkey % 17 = 3 THEN 'out' WHEN c_custkey % 19 = 7 THEN 'odd' WHEN c_custkey % 3 = 0 THEN 'packed' ELSE 'stored' END AS kind, (['.tex', '.ogg', '.TXT', ''])[1 + c_nationkey % 4] AS ext FROM customer)),
+o AS (
+  SELECT *, 256 + coalesce(sum((held + 15) // 16 * 16) OVER (PARTITION BY archive ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+    ((256 + sum((held + 15) // 16 * 16) OVER (PARTITION BY archive) + 255) // 256 * 256)::BIGINT AS table_offset FROM e)"""
+_EXT = "CASE WHEN name IS NULL THEN NULL WHEN name LIKE '%/con.%' THEN '.' || c_custkey WHEN ext = '' THEN '(none)' ELSE lower(ext) END"
+
+
+def _archives(spark, sf_dir, verbatim: bool = True):
+    """(archives, number of each): a file for every 500 customers, in the shared folder."""
+    at = shared_dir(spark)
+    c = read(spark, sf_dir, "customer").select((F.floor(F.col("c_custkey") / _PER)).cast("bigint").alias("no"), F.struct("c_custkey", "c_name", "c_mktsegment", "c_nationkey").alias("c"))
+    groups = c.groupBy("no").agg(F.sort_array(F.collect_list("c")).alias("cs"))  # at most 500 rows each
+
+    def build(no: int, cs: list[dict]):
+        entries = []
+        for x in cs:
+            k = x["c_custkey"]
+            raw = (x["c_name"] + "|").encode() * (1 + k % 5)
+            kind = "out" if k % 17 == 3 else "odd" if k % 19 == 7 else "packed" if k % 3 == 0 else "stored"
+            data = b"" if kind == "out" else raw if kind != "packed" else builders.frame(len(raw), raw) if verbatim else builders.packed_entry(raw)
+            top, ext = x["c_mktsegment"].lower(), (".tex", ".ogg", ".TXT", "")[x["c_nationkey"] % 4]
+            path = None if k % 13 == 5 else f"{top}/con.{k}" if k % 11 == 0 else f"{top}/n{x['c_nationkey']}/{x['c_name']}{ext}"
+            size = 2_000_000_000 if kind == "out" else len(raw)
+            entries.append({"path": path, "data": data, "b": size if kind == "out" else len(data), "c": size, "low": {"odd": 1, "packed": 2}.get(kind, 0), "middle": k % 3, "again": k % 23 == 9})
+        store, folder = sources.opened(at)
+        sources.written(store, f"{folder}/{no}.dat", iter([builders.archive(entries)]))
+        yield {"no": no}
+
+    stored(flat_map(groups, ["no", "cs"], build, "no long"))  # all are written before they are listed
+    return sources.archives(spark, at)
+
+
+def _number(column: str):
+    return F.regexp_extract(column, "([0-9]+)[.]dat$", 1).cast("bigint").alias("archive")
+
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, id::BIGINT AS id, coalesce(name, '(unnamed ' || id || ')') AS path, "offset", b AS stored_size, c AS original_size, low AS compression, kind <> 'out' AS in_bounds FROM o""")
+def archive_listing(spark, sf_dir):
+    found = archive.listing(_archives(spark, sf_dir))
+    return found.select(_number("archive"), "id", "path", "offset", "stored_size", "original_size", "compression", "in_bounds")
+
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, count(*) AS entries, count(*) FILTER (low = 0) AS stored, count(*) FILTER (low = 2) AS lz2k, count(*) FILTER (low = 1) AS unknown, count(*) FILTER (name IS NULL) AS unnamed,
+  count(*) FILTER (kind = 'out') AS out_of_bounds, sum(c)::BIGINT AS original_bytes FROM o GROUP BY 1""")
+def archive_summary(spark, sf_dir):
+    entries = archive.listing(_archives(spark, sf_dir))
+    return archive.listing_summary(entries).withColumn("archive", _number("archive"))
+
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, {_EXT} AS extension, count(*) AS n, count(*) FILTER (low = 0) AS stored, count(*) FILTER (low <> 0) AS compressed, sum(c)::BIGINT AS original_bytes FROM o WHERE name IS NOT NULL GROUP BY 1, 2""")
+def archive_extensions(spark, sf_dir):
+    return archive.extension_stats(archive.listing(_archives(spark, sf_dir))).withColumn("archive", _number("archive"))
+
+
+@query(f"""
+WITH {_ENTRIES}, x AS (SELECT {_EXT} AS extension, count(*) AS n, count(*) FILTER (low = 0) AS stored, count(*) FILTER (low <> 0) AS compressed, sum(c)::BIGINT AS original_bytes FROM o WHERE name IS NOT NULL GROUP BY 1)
+SELECT * FROM x ORDER BY original_bytes DESC, extension DESC LIMIT 40""")
+def archive_top_extensions(spark, sf_dir):
+    return archive.top_extensions(archive.listing(_archives(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_ENTRIES}, x AS (SELECT archive, {_EXT} AS extension, kind, row_number() OVER (PARTITION BY archive, {_EXT} ORDER BY id) AS rn FROM o WHERE name IS NOT NULL AND kind <> 'out')
+SELECT archive, extension, CASE kind WHEN 'odd' THEN 'packed:Cust' WHEN 'packed' THEN 'packed:LZ2K' ELSE 'text' END AS label, count(*) AS n FROM x WHERE rn <= 20 GROUP BY 1, 2, 3""")
+def archive_labels(spark, sf_dir):
+    files = _archives(spark, sf_dir)
+    return archive.with_labels(stored(archive.listing(files)).filter("in_bounds"), files, 20).withColumn("archive", _number("archive"))
+
+
+@query(f"""
+WITH {_ENTRIES}, d AS (SELECT DISTINCT archive, lower(c_mktsegment) AS d FROM o WHERE name IS NOT NULL UNION SELECT DISTINCT archive, lower(c_mktsegment) || '/n' || c_nationkey FROM o WHERE name IS NOT NULL AND c_custkey % 11 <> 0),
+dirs AS (SELECT archive, count(*) AS dirs FROM d GROUP BY 1),
+f AS (SELECT archive, count(*) FILTER (name IS NOT NULL) AS named, count(*) FILTER (name IS NOT NULL AND c_custkey % 23 = 9) AS again, count(*) FILTER (name IS NULL) AS missing FROM o GROUP BY 1)
+SELECT archive, (1 + dirs + named + again)::BIGINT AS nodes, dirs, (named + again)::BIGINT AS files, again AS duplicate_ids, missing AS missing_ids, 0::BIGINT AS cycles, 0::BIGINT AS bad_name_offsets, 0::BIGINT AS ids_out_of_range FROM f JOIN dirs USING (archive)""")
+def archive_trees(spark, sf_dir):
+    table = archive.opened_tables(_archives(spark, sf_dir))
+    nodes = stored(archive.name_nodes(table.select("path", "trailing", F.size("records").cast("long").alias("entries"))))
+    counted = nodes.join(table.select(F.col("path").alias("_t"), F.size("records").cast("long").alias("total")), F.col("path") == F.col("_t")).drop("_t")
+    return archive.tree_checks(counted, F.col("total")).select(_number("path"), "nodes", "dirs", "files", "duplicate_ids", "missing_ids", "cycles", "bad_name_offsets", "ids_out_of_range")
+
+
+_RULES = f"""{_ENTRIES}, f AS (SELECT archive, id, "offset" >> 8 AS a, b, c, low, (("offset" & 255) << 24) | ((c_custkey % 3) << 8) | low AS flags, table_offset, kind FROM o),
+r AS (SELECT *, 'a' AS rule, a AS x FROM f UNION ALL SELECT *, 'a<<8', a << 8 FROM f UNION ALL SELECT *, '(a<<8)|(flags>>24)', (a << 8) | (flags >> 24) FROM f)"""
+
+
+@query(f"""
+WITH {_RULES}, s AS (SELECT archive, rule, x, x + b AS y, max(x + b) OVER (PARTITION BY archive, rule ORDER BY x, x + b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM r WHERE x + b <= table_offset AND b > 0),
+u AS (SELECT archive, rule, sum(greatest(0, y - greatest(x, coalesce(m, x))))::BIGINT AS covered, count(*) FILTER (x < m) AS "overlaps", coalesce(max(greatest(x - m, 0)), 0)::BIGINT AS max_gap FROM s GROUP BY 1, 2)
+SELECT archive, rule, count(*) FILTER (x + b > table_offset) AS out_of_bounds, count(*) FILTER (x + b <= table_offset AND x < 256 AND b <> 0) AS below_header, coalesce(any_value(covered), 0)::BIGINT AS covered, coalesce(any_value("overlaps"), 0) AS "overlaps", coalesce(any_value(max_gap), 0)::BIGINT AS max_gap
+FROM r LEFT JOIN u USING (archive, rule) GROUP BY 1, 2""")
+def archive_rules(spark, sf_dir):
+    return archive.analysis(_archives(spark, sf_dir))[1].withColumnRenamed("path", "_path").select(_number("_path"), "rule", "out_of_bounds", "below_header", "covered", "overlaps", "max_gap")
+
+
+@query(f"""
+WITH {_RULES} SELECT archive, any_value(table_offset) - 256 AS data_bytes, count(*) AS entries, count(*) FILTER (b = c AND low = 0) AS equal_low0, count(*) FILTER (b = c AND low <> 0) AS equal_low, count(*) FILTER (b <> c AND low = 0) AS differ_low0,
+  count(*) FILTER (b <> c AND low <> 0) AS differ_low, count(*) FILTER (b > c) AS b_above_c, count(DISTINCT low) AS low_bytes, count(DISTINCT (flags >> 8) & 65535) AS middles, count(DISTINCT flags >> 24) AS high_bytes, 4294967290::BIGINT AS preamble FROM f GROUP BY 1""")
+def archive_facts(spark, sf_dir):
+    facts = archive.analysis(_archives(spark, sf_dir))[0].withColumnRenamed("path", "_path")
+    return facts.select(_number("_path"), "data_bytes", "entries", "equal_low0", "equal_low", "differ_low0", "differ_low", "b_above_c", "low_bytes", "middles", "high_bytes", "preamble")
+
+
+@query(f"""
+WITH {_RULES}, t AS (SELECT *, CASE WHEN low = 0 THEN 'stored' ELSE 'compressed' END AS k, row_number() OVER (PARTITION BY archive, low = 0 ORDER BY id) AS rn FROM r WHERE rule = '(a<<8)|(flags>>24)' AND x + b <= table_offset AND b >= 4)
+SELECT archive, k AS kind, CASE WHEN kind = 'packed' THEN '4c 5a 32 4b |LZ2K|' ELSE '43 75 73 74 |Cust|' END AS label, count(*) AS n FROM t WHERE rn <= 100 GROUP BY 1, 2, 3""")
+def archive_rule_labels(spark, sf_dir):
+    labels = archive.analysis(_archives(spark, sf_dir), 100)[2].filter("rule = '(a<<8)|(flags>>24)'").withColumnRenamed("path", "_path")
+    return labels.select(_number("_path"), "kind", "label", "n")
 
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.octet_length("html").cast("bigint").alias("length"), F.col("html").cast("binary").alias("content"))
-    return inspect.by_format(inspect.report(pages))
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, id::BIGINT AS id, name AS path, CASE WHEN status IN ('written', 'decompressed') THEN n END::BIGINT AS bytes, status, CASE WHEN status IN ('written', 'decompressed') THEN md5(payload) END AS md5, CASE WHEN status IN ('written', 'decompressed') THEN 'text' END AS label FROM (
+  SELECT *, CASE WHEN {_EXT} NOT IN ('.tex', '.txt', '(none)') AND name NOT LIKE '%/con.%' THEN 'skipped_filter' WHEN name LIKE '%/con.%' AND {_EXT} NOT IN ('.tex', '.txt', '(none)') THEN 'skipped_filter' WHEN kind = 'odd' THEN 'skipped_compressed'
+    WHEN kind = 'out' THEN 'error' WHEN kind = 'packed' THEN 'decompressed' ELSE 'written' END AS status FROM o WHERE name IS NOT NULL)""")
+def archive_extraction(spark, sf_dir):
+    """Entries of three extensions are extracted, packed ones decoded; the files are read back. Names that are not allowed have other extensions."""
+    files, out = _archives(spark, sf_dir, verbatim=False), shared_dir(spark)
+    manifest = archive.extract(stored(archive.listing(files)), files, out, [".tex", ".txt", "(none)"], decompress=True)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out).select(F.col("path").alias("_file"), F.md5("content").alias("md5"))
+    name = F.element_at(F.split("path", "/"), -1)
+    found = manifest.join(back.withColumn("_leaf", F.element_at(F.split("_file", "/"), -1)), F.regexp_replace(name, "#", "%23") == F.regexp_replace(F.col("_leaf"), "#", "%23"), "left")
+    return found.select(_number("archive"), "id", "path", "bytes", "status", F.when(F.col("status").isin("written", "decompressed"), F.col("md5")).alias("md5"), "label")
+
+
+@query(f"""
+WITH {_ENTRIES}, p AS (SELECT *, CASE WHEN kind IN ('out', 'stored') THEN 'whole' WHEN kind = 'packed' THEN 'packed' ELSE 'odd' END AS k FROM o WHERE name IS NOT NULL)
+SELECT archive, count(*) FILTER (k = 'odd') AS skipped_compressed, count(*) FILTER (k <> 'odd' AND name LIKE '%/con.%') AS rejected, count(*) FILTER (k <> 'odd' AND name NOT LIKE '%/con.%') AS taken, sum(CASE WHEN k = 'odd' THEN 0 ELSE c END)::BIGINT AS planned_bytes FROM p GROUP BY 1""")
+def archive_plan(spark, sf_dir):
+    todo = archive.plan(archive.listing(_archives(spark, sf_dir)), decompress=True, dry_run=True)
+    count = lambda s: F.count_if(F.col("status") == s)
+    return todo.groupBy(_number("archive")).agg(count("skipped_compressed").alias("skipped_compressed"), count("rejected").alias("rejected"), count("dry-run").alias("taken"), F.sum("planned_bytes").alias("planned_bytes"))
+
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, id::BIGINT AS id, '#' || id || '  ' || CASE low WHEN 0 THEN 'stored  ' || CASE WHEN b < 1024 THEN b || ' B' ELSE printf('%.1f GiB', b / 1073741824.0::DOUBLE) END WHEN 2 THEN 'LZ2K  ' || b || ' B -> ' || c || ' B' ELSE 'unknown  ' || b || ' B -> ' || c || ' B (code 1)' END
+  || '  @0x' || upper(to_hex("offset")) || CASE WHEN kind = 'out' THEN '  out of bounds' ELSE '' END AS detail FROM o""")
+def archive_details(spark, sf_dir):
+    e = archive.listing(_archives(spark, sf_dir))
+    row = {c: F.col(c) for c in ("id", "stored_size", "original_size", "offset", "in_bounds")} | {"compression_code": F.col("compression")}
+    return e.select(_number("archive"), "id", C.detail_row(row).alias("detail"))
+
+
+# Zip files of 50 pages each, with a folder before every tenth page; every seventh entry is marked as encrypted.
+_ZIPPED = """z AS (
+  SELECT (page_id // 50)::BIGINT AS archive, page_id, k, CASE k WHEN 0 THEN 'folder' || page_id || '/' ELSE regexp_replace(url, '^[a-z]+://', '') || (['.html', '.HTM', ''])[1 + page_id % 3] END AS name,
+    CASE k WHEN 0 THEN 0 ELSE strlen(html) END::BIGINT AS size, CASE WHEN k = 1 AND page_id % 7 = 0 THEN 1 ELSE 0 END AS flags FROM pages, (VALUES (0), (1)) AS t(k) WHERE k = 1 OR page_id % 10 = 0)"""
+
+
+def _zips(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 50).cast("bigint").alias("no"), F.struct("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("url"), F.col("html").cast("binary").alias("html")).alias("p"))
+    groups = rows.groupBy("no").agg(F.sort_array(F.collect_list("p")).alias("ps"))  # at most 50 pages each
+
+    def build(no: int, ps: list[dict]):
+        entries = []
+        for p in ps:
+            k = p["page_id"]
+            entries += [(f"folder{k}/", b"", 0)] if k % 10 == 0 else []
+            entries.append((p["url"] + (".html", ".HTM", "")[k % 3], p["html"], int(k % 7 == 0)))
+        yield {"path": str(no), "content": builders.zipped(entries)}
+
+    return stored(flat_map(groups, ["no", "ps"], build, "path string, content binary"))
+
+
+@query(f"WITH {_ZIPPED} SELECT archive::VARCHAR AS path, row_number() OVER (PARTITION BY archive ORDER BY page_id, k) - 1 AS no, name, flags, size AS packed, size FROM z")
+def zip_entries(spark, sf_dir):
+    return zipdir.entries(_zips(spark, sf_dir)).select("path", "no", "name", "flags", "packed", "size")
+
+
+@query(f"WITH {_ZIPPED} SELECT archive::VARCHAR AS path, true AS parsed, count(*) AS entry_count, sum(flags)::BIGINT AS encrypted_count, least(count(*), 100) AS sampled FROM z GROUP BY 1")
+def zip_summaries(spark, sf_dir):
+    found = zipdir.summaries(zipdir.entries(_zips(spark, sf_dir)))
+    return found.select("path", "parsed", "entry_count", "encrypted_count", F.size("sample_names").cast("bigint").alias("sampled"))
+
+
+@query(f"""
+WITH {_ZIPPED}, l AS (SELECT regexp_extract(name, '[^/]*$') AS b FROM z WHERE name NOT LIKE '%/')
+SELECT CASE WHEN position('.' IN b) = 0 OR b LIKE '%.' OR (b LIKE '.%' AND len(string_split(b, '.')) = 2) THEN '(none)' ELSE lower('.' || string_split(b, '.')[-1]) END AS extension, count(*) AS n FROM l GROUP BY 1""")
+def zip_extension_totals(spark, sf_dir):
+    return zipdir.extension_totals(zipdir.entries(_zips(spark, sf_dir)))
+
+
+_PROBED = """x AS (
+  SELECT p_partkey, p_partkey % 5 AS k, ((p_partkey // 5) % 4)::INT AS m, ['lib' || p_size || '.so', 'd3d11.dll', 'lib' || p_size || '.so', replace(p_name, ' ', '_')] AS l FROM part)"""
+
+
+def _programs(spark, sf_dir):
+    def build(key: int, name: str, size: int):
+        m, libraries = key // 5 % 4, [f"lib{size}.so", "d3d11.dll", f"lib{size}.so", name.replace(" ", "_")]
+        content = (
+            builders.pe((0x014C, 0x8664, 0x01C4, 0xAA64)[m], libraries), builders.elf((3, 62, 20, 183)[m], libraries, m != 2, m in (1, 3)),
+            builders.mach((7, 0x01000007, 18, 0x0100000C)[m], libraries, m != 2), builders.fat([7, 0x01000007, 0x0100000C][: m % 3 + 1]), b"plain text",
+        )[key % 5]
+        yield {"path": str(key), "length": len(content), "content": content}
+
+    return flat_map(read(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_size"], build, "path string, length long, content binary")
+
+
+@query(f"""
+WITH {_PROBED} SELECT p_partkey::VARCHAR AS path, (['pe', 'elf', 'mach-o', 'fat-mach-o'])[k + 1] AS kind,
+  CASE k WHEN 0 THEN (['x86', 'x64', 'arm', 'arm64'])[m + 1] WHEN 3 THEN 'unknown' ELSE (['x86', 'x64', 'ppc', 'arm64'])[m + 1] END AS arch,
+  CASE WHEN k = 3 THEN 'big' WHEN k <> 0 AND m = 2 THEN 'big' ELSE 'little' END AS endian, CASE WHEN k = 3 THEN '' ELSE l[1] || ',' || l[2] || ',' || l[4] END AS libraries,
+  CASE WHEN k = 3 THEN array_to_string(['x86', 'x64', 'arm64'][1:m % 3 + 1], ',') ELSE '' END AS fat_archs FROM x WHERE k < 4""")
+def exe_probe(spark, sf_dir):
+    return executables.executables(_programs(spark, sf_dir)).withColumns({c: F.array_join(c, ",") for c in ("libraries", "fat_archs")})
+
+
+@query(f"""
+WITH {_PROBED}, r AS (SELECT CASE WHEN k = 4 THEN 'unknown' ELSE (['pe', 'elf', 'mach-o', 'fat-mach-o'])[k + 1] END AS format, CASE k WHEN 0 THEN (['x86', 'x64', 'arm', 'arm64'])[m + 1] WHEN 1 THEN (['x86', 'x64', 'ppc', 'arm64'])[m + 1] WHEN 2 THEN (['x86', 'x64', 'ppc', 'arm64'])[m + 1] ELSE 'unknown' END AS arch,
+  CASE WHEN k < 3 THEN 'directx11' ELSE '' END AS graphics, CASE WHEN k < 3 THEN 'd3d11.dll,d3d11.dll import' ELSE '' END AS evidence, k < 4 AS recognized FROM x)
+SELECT format, arch, graphics, evidence, recognized, count(*) AS n FROM r GROUP BY ALL""")
+def program_reports(spark, sf_dir):
+    reports = inspect.report(_programs(spark, sf_dir)).select("format", "arch", F.array_join("graphics_apis", ",").alias("graphics"), F.array_join("graphics_evidence", ",").alias("evidence"), "recognized")
+    return reports.groupBy("format", "arch", "graphics", "evidence", "recognized").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SCANNED = "g AS (SELECT vec_id, (3 + vec_id % 5)::BIGINT AS n, vec_id % 7 AS y, vec_id % 3 = 0 AS bad, 100 + vec_id % 4 AS version FROM embeddings)"
+
+
+def _geometry(spark, sf_dir):
+    """Points (i, vec_id % 7, -i), a triangle for each of them after the second; the fourth value is not one in every third file."""
+
+    def build(key: int):
+        n = 3 + key % 5
+        triangles = [v for i in range(2, n) for v in (0, i - 1, i)]
+        content = builders.geometry([(i, key % 7, -i) for i in range(n)], 0.0 if key % 3 == 0 else 1.0, triangles, 100 + key % 4)
+        yield {"path": str(key), "length": len(content), "content": content}
+
+    return flat_map(read(spark, sf_dir, "embeddings"), ["vec_id"], build, "path string, length long, content binary")
+
+
+@query(f"""
+WITH {_SCANNED} SELECT vec_id::VARCHAR AS path, kind, CASE kind WHEN 'vertices' THEN n WHEN 'indices' THEN 3 * (n - 2) END::BIGINT AS count, CASE kind WHEN 'vertices' THEN 8 END::BIGINT AS stride, CASE kind WHEN 'vertices' THEN 169 WHEN 'tag' THEN version END::BIGINT AS version,
+  CASE kind WHEN 'indices' THEN n - 1 END::BIGINT AS max_index, CASE kind WHEN 'vertices' THEN CASE WHEN bad THEN n ELSE 0 END END::BIGINT AS w_not_one, CASE kind WHEN 'vertices' THEN n * y END::DOUBLE AS sum_y, CASE kind WHEN 'tag' THEN 'HSEM' END AS tag FROM g, (VALUES ('vertices'), ('indices'), ('tag')) AS t(kind)""")
+def ghg_scan(spark, sf_dir):
+    found = geometry.objects(_geometry(spark, sf_dir))
+    total = F.when(F.col("kind") == "vertices", F.aggregate("positions", F.lit(0.0), lambda s, p: s + p[1].cast("double")))
+    return found.select("path", "kind", "count", "stride", "version", "max_index", "w_not_one", total.alias("sum_y"), "tag")
+
+
+@query(f"""
+WITH {_SCANNED} SELECT count(*) AS buffers, count(*) AS inline, 0::BIGINT AS streamed, 0::BIGINT AS unknown, count(*) AS position_buffers, sum(n)::BIGINT AS positions, sum(CASE WHEN bad THEN n ELSE 0 END)::BIGINT AS w_not_one, count(*) AS indices_fit, count(*) AS indices, count(*) AS files_with_geometry FROM g""")
+def ghg_totals(spark, sf_dir):
+    return geometry.totals(stored(geometry.objects(_geometry(spark, sf_dir))))
+
+
+@query(f"WITH {_SCANNED} SELECT tag, n::BIGINT AS n, versions FROM (SELECT 'HSEM' AS tag, count(*) AS n, array_to_string(list_sort(list(DISTINCT version)), ',') AS versions FROM g UNION ALL SELECT 'DXTV', count(*), '' FROM g)")
+def ghg_tags(spark, sf_dir):
+    return geometry.tag_versions(geometry.objects(_geometry(spark, sf_dir))).withColumn("versions", F.array_join(F.col("versions").cast("array<string>"), ","))
+
+
+@query(f"WITH {_SCANNED} SELECT vec_id::VARCHAR AS path, n AS points, n - 2 AS triangles, {len(geometry.png(1200, 400, bytes(3 * 1200 * 400)))}::BIGINT AS image_bytes FROM g")
+def render_png(spark, sf_dir):
+    return geometry.renders(_geometry(spark, sf_dir)).select("path", "points", "triangles", F.octet_length("image").cast("bigint").alias("image_bytes"))
+
+
+# Parts of scenes by vec_id; x is the first value of an embedding.
+_PARTS = """p AS (
+  SELECT vec_id, embedding[1]::DOUBLE AS x, vec_id % 6 AS k,
+    CASE WHEN vec_id % 3 = 0 THEN 'empty texture' WHEN vec_id % 2 = 0 AND vec_id % 5 = 0 THEN 'pixels do not match the size' END AS texture,
+    CASE WHEN vec_id % 7 = 0 THEN 'colour is not finite' END AS material,
+    CASE vec_id % 6 WHEN 1 THEN 'names do not match parents' WHEN 2 THEN 'bind matrices do not match joints' WHEN 3 THEN 'parent is not another joint' WHEN 4 THEN 'joints form a cycle' END AS skeleton,
+    CASE WHEN embedding[1] < 0 OR vec_id % 5 = 0 THEN 'bad duration' WHEN vec_id % 4 = 0 THEN 'negative joint count' END AS clip,
+    CASE WHEN vec_id % 4 = 0 THEN 'no sample rate or no channels' WHEN vec_id % 4 = 2 THEN 'samples do not fill frames' END AS audio,
+    CASE WHEN embedding[1] < 0 OR vec_id % 9 = 0 THEN 'bad box' END AS box, CASE WHEN vec_id % 10 = 0 THEN 'index out of range' END AS mesh FROM embeddings)"""
+
+
+@query(f"WITH {_PARTS} SELECT vec_id, mesh, texture, material, skeleton, clip, audio, box, CASE WHEN vec_id % 8 = 0 THEN 'entity refers to nothing' ELSE coalesce(mesh, texture, material, skeleton) END AS scene FROM p")
+def scene_validate(spark, sf_dir):
+    v, x = F.col("vec_id"), F.get("embedding", F.lit(0))
+    floats, ints = lambda *xs: F.array(*[F.lit(float(y)) for y in xs]).cast("array<float>"), lambda *xs: F.array(*map(F.lit, xs)).cast("array<int>")
+    width = (v % 3).cast("int")
+    pixels = F.repeat(F.lit("x"), F.when(v % 5 == 0, width * 8 + 1).otherwise(width * 8)).cast("binary")
+    parts = {
+        "mesh": F.struct(floats(0, 0, 0, 1, 0, 0, 0, 1, 0).alias("positions"), floats().alias("normals"), floats().alias("uvs"), F.when(v % 10 == 0, ints(0, 1, 3)).otherwise(ints(0, 1, 2)).alias("indices")),
+        "texture": F.struct(width.alias("width"), F.lit(2).alias("height"), F.when(v % 2 == 0, F.lit("rgba8")).otherwise("bc1").alias("encoding"), pixels.alias("pixels")),
+        "material": F.struct(F.array(x, F.when(v % 7 == 0, F.lit(float("inf")).cast("float")).otherwise(x)).alias("colour")),
+        "skeleton": F.struct(
+            F.when(v % 6 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("names"),
+            F.when(v % 6 == 3, F.when(v % 2 == 0, ints(-2, 0, 1)).when(v % 12 == 3, ints(-1, 1, 0)).otherwise(ints(-1, 0, 3))).when(v % 6 == 4, ints(2, 0, 1)).otherwise(ints(-1, 0, 1)).alias("parents"),
+            F.when(v % 6 == 2, F.array_repeat(F.lit(1.0), 47)).when(v % 6 == 5, F.array_repeat(F.lit(1.0), 48)).otherwise(F.array().cast("array<double>")).alias("binds"),
+        ),
+        "clip": F.struct(F.when(v % 5 == 0, F.lit(float("inf")).cast("float")).otherwise(x).alias("duration"), F.when(v % 4 == 0, F.lit(-1)).otherwise(4).alias("joints")),
+        "audio": F.struct(F.when(v % 8 == 0, F.lit(0)).otherwise(44100).alias("rate"), F.when(v % 8 == 4, F.lit(0)).otherwise(2).alias("channels"), F.when(v % 4 == 2, floats(0, 1, 0)).when(v % 4 == 1, floats()).otherwise(floats(0, 1)).alias("samples")),
+        "box": F.struct(F.array(F.lit(0.0).cast("float"), F.when(v % 9 == 0, F.lit(float("nan")).cast("float")).otherwise(F.lit(0.0).cast("float")), F.lit(0.0).cast("float")).alias("low"), F.array(x, F.lit(1.0).cast("float"), F.lit(1.0).cast("float")).alias("high")),
+    }
+    held = read(spark, sf_dir, "embeddings").select("vec_id", *[p.alias(f"_{k}") for k, p in parts.items()])
+    keys = list(scene.LINKS)
+    entity = lambda *links: F.struct(*[i.cast("int").alias(k) for k, i in zip(keys, links)])
+    broken = [F.when((v % 8 == 0) & (F.floor(v / 8) % len(keys) == i), F.lit(1)).otherwise(F.lit(0 if i % 2 else -1)) for i in range(len(keys))]
+    arrays = {"meshes": "mesh", "textures": "texture", "materials": "material", "skeletons": "skeleton", "animations": "clip", "audio_clips": "audio", "collisions": "box"}
+    whole = F.struct(F.array(entity(*[F.lit(-1)] * len(keys)), entity(*broken)).alias("entities"), *[F.array(F.col(f"_{k}")).alias(a) for a, k in arrays.items()])
+    checks = {"mesh": scene.mesh, "texture": scene.texture, "material": scene.material, "skeleton": scene.skeleton, "clip": scene.clip, "audio": scene.audio, "box": scene.box}
+    return held.withColumn("_s", whole).select("vec_id", *[check(F.col(f"_{k}")).alias(k) for k, check in checks.items()], scene.scene(F.col("_s")).alias("scene"))

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         if hasattr(v, "item"):
             v = v.item()
