@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,13 +19,15 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a temporary one is set only where that is unset, as in tests."""
+    """A fresh folder below ``spark.checkpoint.dir``. Where that is unset: below the warehouse on a cluster; in local mode,
+    as in tests, in a temporary folder, which goes when the driver ends."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local["):
         base = tempfile.mkdtemp(prefix="ashlar-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ashlar-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/ashlar-{uuid.uuid4().hex}"
 
 
 def ship(spark: SparkSession) -> None:

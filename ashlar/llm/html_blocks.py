@@ -5,7 +5,9 @@ from __future__ import annotations
 import html
 import re
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)", re.S)
+#: A slash that closes a tag: not the end of a value without quotes.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
 
@@ -21,10 +23,26 @@ _BOUNDS = frozenset("html body article section div main aside nav header footer
 _LIST_BOUNDS = frozenset("html body table ul ol dl select".split())
 
 
+FOREIGN = frozenset(("svg", "math"))
+
+
+class Element:
+    """An open element and those that it stands in. ``mark`` is its own label or the nearest above; ``known`` is for what readers work out about its path."""
+
+    __slots__ = ("depth", "known", "mark", "names", "parent", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], mark: str | None, parent: "Element | None"):
+        self.tag, self.names, self.parent, self.known = tag, names, parent, None
+        self.mark = mark if mark is not None or parent is None else parent.mark
+        self.depth = parent.depth + 1 if parent else 1
+
+
 class Block:
+    """``path``: the innermost element, or None; ``links``: characters of the text that are linked."""
+
     __slots__ = ("links", "path", "text")
 
-    def __init__(self, path: tuple, text: str, links: int):
+    def __init__(self, path: Element | None, text: str, links: int):
         self.path, self.text, self.links = path, text, links
 
 
@@ -42,39 +60,62 @@ def _names(attributes: str, label: str | None) -> tuple[tuple[str, ...], str | N
 
 
 def blocks(page: str, label: str | None = None) -> list[Block]:
-    """Blocks in page order. An element of a path is (tag, words of its class and id, label).
+    """Blocks in page order.
 
     Broken markup is read as browsers would for the most part: open elements that a tag must end are ended, end tags
-    without a start are passed over, and what is open at the end of the page ends there.
+    without a start are passed over, quotes count only after an equals sign, a slash closes foreign elements alone, and
+    what is open at the end of the page ends there. The places of open elements are kept by tag, so that the time is in
+    proportion to the page, however deep or broken it is.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], str | None]] = []
+    stack: list[Element] = []
+    where: dict[str, list[int]] = {}
+    bounds: list[int] = []
+    list_bounds: list[int] = []
     parts: list[str] = []
-    hidden = links = linked = 0
+    hidden = links = linked = foreign = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(stack), text, min(linked, len(text))))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
+    def push(tag: str, attributes: str) -> None:
+        nonlocal hidden, links, foreign
+        at = len(stack)
+        stack.append(Element(tag, *_names(attributes, label), stack[-1] if stack else None))
+        where.setdefault(tag, []).append(at)
+        if tag in _BOUNDS:
+            bounds.append(at)
+        if tag in _LIST_BOUNDS:
+            list_bounds.append(at)
+        hidden += tag in HIDDEN
+        foreign += tag in FOREIGN
+        links += tag == "a"
+
     def pop() -> None:
-        nonlocal hidden, links
-        tag = stack.pop()[0]
+        nonlocal hidden, links, foreign
+        tag = stack.pop().tag
+        where[tag].pop()
+        if tag in _BOUNDS:
+            bounds.pop()
+        if tag in _LIST_BOUNDS:
+            list_bounds.pop()
         hidden -= tag in HIDDEN
+        foreign -= tag in FOREIGN
         links -= tag == "a"
 
-    def end_open(tags: tuple[str, ...], bounds: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                while len(stack) > k:
-                    pop()
-                continue
-            if stack[k][0] in bounds:
+    def end_open(tags: tuple[str, ...], until: list[int]) -> None:
+        while True:
+            last = max((where[t][-1] for t in tags if where.get(t)), default=-1)
+            if last < 0 or until and until[-1] > last:
                 return
+            while len(stack) > last:
+                pop()
 
     at = 0
     while True:
@@ -93,31 +134,28 @@ def blocks(page: str, label: str | None = None) -> list[Block]:
             if tag not in INLINE:
                 flush()
                 if tag in ENDS:
-                    end_open(ENDS[tag], _LIST_BOUNDS if tag not in ("p", "body") else _BOUNDS)
+                    end_open(ENDS[tag], list_bounds if tag not in ("p", "body") else bounds)
                 elif tag not in HIDDEN:
-                    end_open(("p",), _BOUNDS)
+                    end_open(("p",), bounds)
             elif tag in ("br", "wbr"):
                 parts.append(" " if tag == "br" else "")
             if tag in RAW:
                 close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 body, at = page[at : close.start() if close else len(page)], close.end() if close else len(page)
                 if tag == "textarea" and not hidden:
-                    names, mark = _names(m[3] or "", label)
-                    stack.append((tag, names, mark))
+                    push(tag, m[3] or "")
                     parts.append(body)
                     flush()
-                    stack.pop()
+                    pop()
                 continue
-            if tag not in EMPTY and not m[3].endswith("/"):
-                stack.append((tag, *_names(m[3], label)))
-                hidden += tag in HIDDEN
-                links += tag == "a"
+            if tag not in EMPTY and not ((foreign or tag in FOREIGN) and _CLOSED.search(m[3])):
+                push(tag, m[3])
         elif ended:
             tag = ended.lower()
             if tag not in INLINE:
                 flush()
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
+            if where.get(tag):
+                while stack[-1].tag != tag:
                     pop()
                 pop()
     flush()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Element, blocks
 
 BUCKETS, PATH, WORD, NUMBERS, HIDDEN = 2048, 24, 8, 6, 24
 TRAINING_PAGES, EPOCHS, SEED = 900, 6, 11
@@ -46,42 +46,56 @@ class _Buckets(dict):
         return b
 
 
-def _path_tokens(path: tuple) -> list[str]:
-    tags = [x[0] for x in path]
-    out = [f"t {t}" for t in tags[-8:]]
-    if tags:
-        out.append(f"l {tags[-1]}")
-        out.append(f"d {min(len(tags), 12)}")
-    for _, names, _ in path:
-        out += [f"c {n}" for n in names]
-    return out
-
-
 class Features:
-    """Hashed tokens of blocks; those of a path are kept, as pages repeat them."""
+    """Hashed tokens of blocks. Those of a path are kept with its innermost element; what elements hand down is a set of buckets, of which there are BUCKETS."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple, list[int]] = {}
         self.words = _Buckets()
 
+    def classes(self, element: Element | None) -> frozenset[int]:
+        """Buckets of all classes and ids from the element up, from the nearest element that has them worked out."""
+        above = []
+        while element is not None and element.known is None:
+            above.append(element)
+            element = element.parent
+        found = element.known[0] if element is not None else frozenset()
+        for e in reversed(above):
+            own = [self.words[f"c {n}"] for n in e.names]
+            if any(x not in found for x in own):
+                found = found.union(own)
+            e.known = [found, None]
+        return found
+
+    def path(self, element: Element | None) -> list[int]:
+        if element is None:
+            return []
+        classes = self.classes(element)
+        if element.known[1] is None:
+            tokens, e = [f"l {element.tag}", f"d {min(element.depth, 12)}"], element
+            for _ in range(8):
+                if e is not None:
+                    tokens.append(f"t {e.tag}")
+                    e = e.parent
+            element.known[1] = sorted(classes.union(map(self.words.__getitem__, tokens)))
+        return element.known[1]
+
     def __call__(self, block: Block) -> tuple[list[int], list[int], list[float]]:
-        key = tuple((tag, names) for tag, names, _ in block.path)
-        if (path := self.paths.get(key)) is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            path = self.paths[key] = sorted({_bucket(t) for t in _path_tokens(block.path)})
         words = list(map(self.words.__getitem__, block.text.lower().split()))
         n = len(words)
         marks = sum(map(block.text.count, ".,;:!?"))
         numbers = [min(n, 100) / 50, np.log1p(n) / 4, block.links / max(len(block.text), 1), min(marks / max(n, 1), 1), float(block.text[-1] in ".!?"), 1.0]
-        return path, words, numbers
+        return self.path(block.path), words, numbers
 
 
 def _mean_rows(table: np.ndarray, lists: list[list[int]]) -> np.ndarray:
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(sizes.sum()))
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(table[flat], starts, axis=0) / np.sqrt(sizes)[:, None].astype(table.dtype)
+    out = np.zeros((len(lists), table.shape[1]), table.dtype)
+    some = np.flatnonzero(sizes)  # text outside of any element has no path
+    if len(some):
+        starts = (np.cumsum(sizes) - sizes)[some]
+        out[some] = np.add.reduceat(table[flat], starts, axis=0) / np.sqrt(sizes[some])[:, None].astype(table.dtype)
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -183,8 +197,8 @@ class Labeller:
         path, word = np.zeros_like(self.w["path"]), np.zeros_like(self.w["word"])
         for j, p in enumerate(pages):
             for t, (a, b, _) in enumerate(p):
-                np.add.at(path, a, dx[t, j, :PATH] / np.float32(len(a) ** 0.5))
-                np.add.at(word, b, dx[t, j, PATH : PATH + WORD] / np.float32(len(b) ** 0.5))
+                np.add.at(path, a, dx[t, j, :PATH] / np.float32(max(len(a), 1) ** 0.5))
+                np.add.at(word, b, dx[t, j, PATH : PATH + WORD] / np.float32(max(len(b), 1) ** 0.5))
         return grad | {"path": path, "word": word}
 
     def train(self, pages: list[list[tuple]], wanted: list[list[int]], epochs: int, rate: float = 0.01) -> None:
@@ -292,7 +306,7 @@ class _Writer:
 
 
 def _label(block: Block) -> int:
-    return int(next((mark for *_, mark in reversed(block.path) if mark is not None), "0"))
+    return int((block.path and block.path.mark) or "0")
 
 
 def labelled_pages(n: int, seed: int) -> tuple[list[list[tuple]], list[list[int]]]:

@@ -5,7 +5,7 @@ A key's slot is its hash modulo the size; its shard stands there. The table is a
 row takes a hash and a look, without a shuffle; when a shard leaves, few keys of the others move.
 
 Defined results: a null key is placed like the empty string; equal keys go to one shard; a table without rows gives
-none; other columns are kept.
+none; other columns are kept, and where they have the names ``slot`` or ``shard`` the new ones get an underscore more.
 """
 
 from __future__ import annotations
@@ -53,10 +53,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(head, 16, 10).cast("long"), F.lit(slots)).cast("long")
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name.lower() in map(str.lower, taken):
+        name += "_"
+    return name
+
+
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
     """``df`` with slot (long) and shard (its index, long)."""
     table = F.lit(lookup_table(shards, slots))
-    return df.withColumn("slot", slot_of(F.col(key), slots)).withColumn("shard", F.get(table, F.col("slot").cast("int")).cast("long"))
+    slot, shard = _free("slot", df.columns), _free("shard", df.columns)
+    return df.withColumn(slot, slot_of(F.col(key), slots)).withColumn(shard, F.get(table, F.col(slot).cast("int")).cast("long"))
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -578,3 +578,101 @@ def test_substrings_keep_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a" * 500, 1, 2, 3, 4), (2, None, 1, 2, 3, 4)], "doc_id long, text string, _null int, missing int, _key int, row int")
     left = substrings.remove(docs)
     assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == [(1, "", 1, 2, 3, 4), (2, None, 1, 2, 3, 4)]
+
+
+def test_blocks_of_broken_markup():
+    texts = lambda page: [(b.text, b.links) for b in html_blocks.blocks(page)]
+    assert texts("<p don't>hello</p><p>world</p><p>isn't</p>") == [("hello", 0), ("world", 0), ("isn't", 0)]
+    assert texts("<a href=/foo/>Home page</a>") == [("Home page", 9)] and texts("<div/>a<div>b") == [("a", 0), ("b", 0)]
+    assert texts('<p title="a > b" x=\'<p>\'>one</p>') == [("one", 0)] and texts("x<svg><path d=1/><g/>no</svg>y<svg/>z") == [("x", 0), ("y", 0), ("z", 0)]
+
+
+@pytest.mark.parametrize("page", ["<b></i>" * 50_000, "<div>x" * 50_000, "<p><div>" + "<b>" * 50_000 + "<h1>x</h1>" * 50_000, "<li><td>x" * 50_000, '<div class="a b">x' * 50_000])
+def test_blocks_in_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    found = html_blocks.blocks(page)
+    features = html_extract.Features()
+    for b in found:
+        features(b)
+    assert time.perf_counter() - began < 4  # seconds: a quadratic reader takes minutes
+
+
+def brute_language(profiles_, text):
+    """By letters and words, with plain dictionaries."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    counts = collections.Counter()
+    for w in words:
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            counts.update(g for i in range(len(padded) - n + 1) if len((g := padded[i : i + n]).strip()) >= n - 1 and g.strip())
+    if not counts:
+        return "und", 0.0
+    key = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    mine = sorted(counts, key=lambda g: (-counts[g], key(g)))[: language.PROFILE]
+    best = None
+    for name in sorted(profiles_):
+        ranks = {g: k for k, g in enumerate(profiles_[name])}
+        d = sum(abs(ranks[key(g)] - k) if key(g) in ranks else language.PROFILE for k, g in enumerate(mine))
+        best = min(best or (d, name), (d, name))
+    return best[1], 1 - best[0] / (language.PROFILE * len(mine))
+
+
+def test_language_by_brute_force(spark, duck):
+    docs = table(spark, SF, "documents")
+    known = language.profiles(docs.filter(~language.held_out(F.col("doc_id"))))
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op3(docs).collect()}
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        name, score = brute_language(known, text or "")
+        assert got[doc][0] == name and abs(got[doc][1] - score) < 1e-9
+    counts = collections.defaultdict(collections.Counter)
+    for lang, text in duck.sql("SELECT lang, text FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL").fetchall():
+        counts[lang].update(np.asarray(language.grams(text)).tolist())
+    all_of = language.profiles(docs)
+    assert all_of == {k: sorted(c, key=lambda g: (-c[g], g))[: language.PROFILE] for k, c in counts.items()}
+
+
+def test_placement_table_by_brute_force():
+    """Whole permutations, and shards that take turns to claim the next free slot of theirs."""
+    for n, slots in ((1, 7), (3, 13), (16, 4093), (5, 5)):
+        names = placement.shard_names(n)
+        lists = []
+        for name in names:
+            h = hashlib.md5(name.encode()).hexdigest()
+            offset, skip = int(h[:16], 16) % slots, int(h[16:], 16) % (slots - 1) + 1
+            lists.append([(offset + j * skip) % slots for j in range(slots)])
+        owner, nexts = [-1] * slots, [0] * n
+        free, turn = slots, 0
+        while free:
+            s = turn % n
+            while owner[lists[s][nexts[s]]] >= 0:
+                nexts[s] += 1
+            owner[lists[s][nexts[s]]] = s
+            free, turn = free - 1, turn + 1
+        assert placement.lookup_table(names, slots) == owner
+
+
+def test_placement_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, 5, "x")], "doc_id long, slot int, Shard string")
+    got = placement.place(docs, "doc_id", placement.shard_names(4)).first()
+    assert (got.slot, got.Shard) == (5, "x") and got.slot_ == int(hashlib.md5(b"1").hexdigest()[:15], 16) % placement.SLOTS and 0 <= got.shard_ < 4
+
+
+def test_patterns_leave_the_least_slack():
+    """Each window of a pattern is as full as any choice of the lengths on hand could make it, and all are used up."""
+    r = random.Random(12)
+    for _ in range(15):
+        counts = {r.randint(1, 49): r.randint(1, 6) for _ in range(r.randint(1, 6))}
+        left = dict(counts)
+        for windows, used in packing.patterns(dict(counts), 50):
+            for _ in range(windows):
+                sums = {0}
+                for k, n in left.items():
+                    sums = {s + k * i for s in sums for i in range(n + 1)}
+                assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= 50)
+                for k, n in used.items():
+                    left[k] -= n
+        assert not any(left.values())
