@@ -10,13 +10,16 @@ A document's set is its distinct n-grams of SHINGLE words; two sets link when 10
    counted, and the partial overlaps are summed for each pair. Pairs whose prefixes have too little in common cannot link.
 3. Sets of the remaining pairs are cut into PARTS contiguous fragments of the order, each of which counts the partial
    overlaps of its pairs by itself. They are summed for each pair, and the sum decides.
-4. Where more than CROWD nodes share one n-gram of their prefixes no pairs are written: the nodes of such n-grams
-   form crowds, which are cut into blocks of BLOCK nodes by size, and two blocks are compared in one task, fragment by
-   fragment. Blocks give a spanning forest of their links.
+4. Where more than CROWD nodes share one n-gram of their prefixes no pairs are written: they are a crowd around its least
+   node. All are compared with that one, which takes time in proportion to the crowd; those that link with it are of
+   one component and need no more. The distance 1 - |intersection| / |union| is a metric, so a node farther from the
+   middle than twice the distance of a link links with none of those; nodes in between are compared with those of
+   them that are near enough, in blocks of BLOCK nodes by distance. The rest gets another middle, ROUNDS times. What has no
+   middle near then is compared block by block, with a spanning forest of its links.
 5. Components come from alternating stars over the links.
 
 Only sums, candidates and sets of candidates move; nothing is collected but the common n-grams, at most MOST_COMMON
-(the limit COMMON is doubled until they are no more), and counts of nodes by size class. Sets are kept as 64-bit hashes of their n-grams.
+(the limit is raised to the next power of two until they are no more), and counts of nodes by size class. Sets are kept as 64-bit hashes of their n-grams.
 
 Defined results: a null or blank text has an empty set, links with nothing and is a component of its own; a text of
 fewer than SHINGLE words is one n-gram; ties and equal rows are equal nodes; a null id never names a component; a table
@@ -35,14 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, partitions, release, shared_dir, stored
+from .common import discard, free_shuffles, partitions, release, shared_dir, stored
 from .components import components
 
 SHINGLE = 5
 #: A link: PER * intersection >= SHARE * union.
 SHARE, PER = 75, 100
 COMMON, MOST_COMMON = 16, 1_000_000
-CROWD, BLOCK = 64, 256
+CROWD, BLOCK, ROUNDS = 64, 256, 4
 #: Fragments of the order, at least, and n-grams of prefixes for each beyond that.
 FRAGMENTS, FRAGMENT_ROWS = 64, 4_000_000
 #: Fragments in which the overlap of two sets is counted (a power of two).
@@ -342,17 +345,26 @@ def _summed(pairs: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([rows[heads, :2], np.add.reduceat(rows[:, 2], heads)[:, None]], axis=1) if len(rows) else rows
 
 
+def _node_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, grams) of texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            some = batch.slice(at, 200)
+            yield pa.RecordBatch.from_arrays([some.column(1), pa.array([shingles(t or b"").tobytes() for t in some.column(0).to_pylist()], pa.binary())], ["node", "grams"])
+    _forget()
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each asked node for each of its tasks: (task, part, side, node, grams). A task of pairs gets the fragments of the set apart."""
+    """The set of each node for each of its tasks: (task, part, side, node, grams). A task of pairs gets the fragments of the set apart."""
     for batch in batches:
         rows, size = [], 0
-        for text, node, tasks in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            grams = shingles(text.as_py() or b"")
-            bounds = _bounds(grams).tolist()
-            whole, parts = grams.tobytes(), [grams[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-            for t in tasks:
+        for node, raw, tasks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            whole = raw.as_py()
+            grams = np.frombuffer(whole, dtype=_U)
+            bounds = (_bounds(grams) * 8).tolist()
+            for t in tasks.as_py():
                 if t["task"][0] == "p":
-                    rows += [(t["task"], k, t["side"], node, part) for k, part in enumerate(parts) if part]
+                    rows += [(t["task"], k, t["side"], node, whole[a:b]) for k, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
                 else:
                     rows.append((t["task"], 0, t["side"], node, whole))
                 size += len(whole)
@@ -361,7 +373,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, size = [], 0
         if rows:
             yield _set_batch(rows)
-    _forget()
+    release()
 
 
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -441,7 +453,8 @@ _PARTIAL = "a long, b long, na long, nb long, n long"
 
 def _verify(table: pa.Table) -> pa.Table:
     """What the tasks of one bucket find. A task ``p...`` has one fragment of sets (side 0) and pairs (side 2) and gives
-    partial overlaps; a task ``c...`` has two blocks (sides 0, 1), or one, sums over their fragments and gives links, without ``n``."""
+    partial overlaps; ``v...`` has nodes and their middle (side 1) and gives whole overlaps, summed over the fragments;
+    ``c...`` has two blocks (sides 0, 1), or one, sums likewise and gives links, without ``n``."""
     tasks: dict[tuple, tuple[dict, dict, set]] = {}
     for task, part, side, node, raw, other, na, nb in zip(*(table.column(c).to_pylist() for c in ("task", "part", "side", "node", "grams", "other", "na", "nb"))):
         held = tasks.setdefault((task, part), ({}, {}, set()))
@@ -460,12 +473,80 @@ def _verify(table: pa.Table) -> pa.Table:
             rows = list(left)
             columns, sets = (list(right), list(right.values())) if right else (rows, list(left.values()))
             both = _matrix(list(left.values()), sets)
+            if task[0] == "v":
+                found += [(k, columns[0], len(left[k]), len(sets[0]), n) for k, n in zip(rows, both[:, 0].tolist())]
+                continue
             n, m = np.array([len(left[k]) for k in rows]), np.array([len(s) for s in sets])
             hit = np.argwhere(PER * both >= SHARE * (n[:, None] + m[None, :] - both))
             found += [(a, b, None, None, None) for a, b in _forest([(rows[i], columns[j]) for i, j in hit.tolist() if rows[i] != columns[j]])]
     return pa.table([pa.array(c, pa.int64()) for c in (list(zip(*found)) or [()] * 5)], names=["a", "b", "na", "nb", "n"])
 
 
+def _compared(sets: DataFrame, asked: DataFrame, at: str, wanted: DataFrame | None = None) -> DataFrame:
+    """What :func:`_verify` finds in the tasks of ``asked`` (node, task, side), by ``sets`` (node, grams); written at ``at``."""
+    spark = sets.sparkSession
+    asked = stored(asked.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")), f"{at}-asked")
+    met = sets.join(asked, "node").select("node", "grams", "tasks")
+    moved = met.agg(F.sum(F.octet_length("grams").cast("long") * F.size("tasks"))).first()[0] or 0
+    dealt = met.mapInArrow(_sets, "task string, part int, side int, node long, grams binary")
+    none = F.lit(None).cast("long")
+    dealt = dealt.select("*", none.alias("other"), none.alias("na"), none.alias("nb"))
+    if wanted is not None:
+        dealt = dealt.unionByName(wanted, allowMissingColumns=True)
+    buckets = max(partitions(spark), int(moved) // (32 << 20) + 1)
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("task", "part"), F.lit(buckets)).cast("int"))
+    found = stored(dealt.groupBy("bucket").applyInArrow(_verify, _PARTIAL), at)
+    free_shuffles(spark)
+    return found
+
+
+def _blocked(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` (star, node, ...) with ``block``: those of one star and ``by``, in parts of some BLOCK nodes."""
+    counts = rows.groupBy("star", by).agg(F.count(F.lit(1)).alias("_c")).select(F.col("star").alias("_star"), F.col(by).alias("_by"), "_c")
+    joined = rows.join(counts, (F.col("star") == F.col("_star")) & (F.col(by) == F.col("_by")))
+    part = F.pmod(F.xxhash64("node"), F.expr(f"_c div {BLOCK} + 1"))
+    return joined.withColumn("block", F.concat_ws("_", F.col(by).cast("string"), part.cast("string"))).drop("_star", "_by", "_c")
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, at: str) -> list[DataFrame]:
+    """Links (a, b) among the members (star, node, n) of each star: all links, or as many as make the same components."""
+    links: list[DataFrame] = []
+    union, n = F.col("na") + F.col("nb") - F.col("n"), F.col("n")
+    active = stored(members, f"{at}-0")
+    for k in range(ROUNDS):
+        stars = active.groupBy(F.col("star").alias("_s")).agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        held = stored(active.drop("n").join(stars, F.col("star") == F.col("_s")).drop("_s"), f"{at}-held-{k}")
+        if not held.limit(1).count():
+            return links
+        others = held.filter("node <> hub")
+        task = F.concat(F.lit("v"), F.concat_ws("_", "star", F.pmod(F.xxhash64("node"), F.expr(f"size div {BLOCK} + 1"))))
+        asked = others.select("node", task.alias("task"), F.lit(0).alias("side")).unionByName(others.select(F.col("hub").alias("node"), task.alias("task"), F.lit(1).alias("side")).distinct())
+        found = _compared(sets, asked, f"{at}-middle-{k}").distinct()
+        judged = others.join(found, (F.col("node") == F.col("a")) & (F.col("hub") == F.col("b"))).select(
+            "star", "node", "hub", F.col("na").alias("size"), (PER * n >= SHARE * union).alias("near"), (PER * n >= (2 * SHARE - PER) * union).alias("between"), F.floor(40 * (union - n) / union).alias("band"),
+        )
+        judged = stored(judged, f"{at}-judged-{k}")
+        links.append(judged.filter("near").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+        fringe = judged.filter("between and not near")
+        if fringe.limit(1).count():
+            left, right = stored(_blocked(fringe, "band"), f"{at}-fringe-{k}"), stored(_blocked(judged.filter("near"), "band"), f"{at}-near-{k}")
+            # By the triangle inequality a link is no longer than a quarter, ten bands; one more for what bands round off.
+            i, j = left.select("star", F.col("block").alias("i"), F.col("band").alias("_i")).distinct(), right.select("star", F.col("block").alias("j"), F.col("band").alias("_j")).distinct()
+            met = i.join(j, "star").filter(F.col("_j") >= F.col("_i") - (40 * (PER - SHARE) // PER + 1)).withColumn("task", F.concat(F.lit("c"), F.concat_ws("x", "star", "i", "j")))
+            asked = left.join(met.select("star", F.col("i").alias("block"), "task"), ["star", "block"]).select("node", "task", F.lit(0).alias("side"))
+            asked = asked.unionByName(right.join(met.select("star", F.col("j").alias("block"), "task"), ["star", "block"]).select("node", "task", F.lit(1).alias("side")))
+            links.append(_compared(sets, asked, f"{at}-between-{k}").select("a", "b"))
+        active = stored(judged.filter("not near").select("star", "node", F.col("size").alias("n")), f"{at}-{k + 1}")
+    rest = stored(_blocked(active.withColumn("class", F.floor(F.log2("n") * 8)), "class"), f"{at}-rest")
+    ends = rest.groupBy("star", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    i, j = ends.select("star", F.col("block").alias("i"), F.col("low").alias("_i"), F.col("high").alias("_top")), ends.select("star", F.col("block").alias("j"), F.col("low").alias("_j"), F.col("high").alias("_other"))
+    fits = (PER * F.col("_top") >= SHARE * F.col("_j")) & (PER * F.col("_other") >= SHARE * F.col("_i"))
+    met = i.join(j, "star").filter((F.col("i") <= F.col("j")) & fits).withColumn("task", F.concat(F.lit("c"), F.concat_ws("x", "star", "i", "j")))
+    asked = rest.join(met.select("star", F.col("i").alias("block"), "task"), ["star", "block"]).select("node", "task", F.lit(0).alias("side"))
+    asked = asked.unionByName(rest.join(met.filter("i < j").select("star", F.col("j").alias("block"), "task"), ["star", "block"]).select("node", "task", F.lit(1).alias("side")))
+    return [*links, _compared(sets, asked, f"{at}-blocks").select("a", "b")]
+
+
 def _ranges(docs: DataFrame) -> int:
     """Ranges in proportion to the table: by the size that Spark knows of its files, else by the texts."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -520,29 +601,23 @@ def classes(docs: DataFrame) -> DataFrame:
     tasks = pairs.join(label.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
     tasks = stored(tasks.select("a", "b", "na", "nb", F.concat(F.lit("p"), F.least("la", "lb").cast("string")).alias("task")), f"{at}/pair-tasks")
     of_pairs = tasks.select(F.col("a").alias("node"), "task").unionByName(tasks.select(F.col("b").alias("node"), "task")).distinct().withColumn("side", F.lit(0))
+    crowds = partial.filter("n is null").select(F.col("a").alias("star"), F.col("b").alias("node")).distinct().join(sizes, "node").select("star", "node", "n")
 
-    crowd = components(partial.filter("n is null"), "a", "b", f"{at}/crowds").join(sizes, "node")
-    crowd = crowd.withColumn("block", F.expr(f"(row_number() over (partition by root order by n, node) - 1) div {BLOCK}").cast("int"))
-    crowd = stored(crowd, f"{at}/blocks")
-    blocks = crowd.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = blocks.select("root", F.col("block").alias("i"), F.col("high").alias("top")), blocks.select("root", F.col("block").alias("j"), F.col("low").alias("bottom"))
-    met = left.join(right, "root").filter((F.col("i") <= F.col("j")) & ((F.col("i") == F.col("j")) | (PER * F.col("top") >= SHARE * F.col("bottom"))))
-    met = met.withColumn("task", F.concat_ws("_", F.concat(F.lit("c"), F.col("root").cast("string")), "i", "j"))
-    of_blocks = crowd.join(met.select("root", F.col("i").alias("block"), "task", F.lit(0).alias("side")).unionByName(met.filter("i < j").select("root", F.col("j").alias("block"), "task", F.lit(1).alias("side"))), ["root", "block"])
-
-    asked = of_pairs.select("node", "task", "side").unionByName(of_blocks.select("node", "task", "side"))
-    asked = asked.groupBy("node").agg(F.collect_list(F.struct("task", "side")).alias("tasks")).join(nodes.select("node", "one", "n"), "node")
-    asked = stored(asked.select(F.col("node").alias("_node"), F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text"), "tasks", "n"), f"{at}/asked")
-    moved = asked.agg(F.sum(F.col("n") * F.size("tasks") * 8)).first()[0] or 0
-    buckets = max(partitions(spark), int(moved) // (32 << 20) + 1)
-    texts = keyed.join(asked.drop("n").hint("shuffle_hash"), (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = texts.select("data", "_node", "tasks").mapInArrow(_sets, "task string, part int, side int, node long, grams binary")
-    wanted = tasks.select("task", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"), "na", "nb")
-    dealt = sets.unionByName(wanted, allowMissingColumns=True).withColumn("bucket", F.pmod(F.xxhash64("task", "part"), F.lit(buckets)).cast("int"))
-    counts = stored(dealt.groupBy("bucket").applyInArrow(_verify, _PARTIAL), f"{at}/overlaps")
+    involved = of_pairs.select("node").unionByName(crowds.select("node")).distinct().join(nodes.select("node", "one"), "node")
+    involved = stored(involved.select(F.col("node").alias("_node"), F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_text")), f"{at}/involved")
+    texts = keyed.join(involved.hint("shuffle_hash"), (F.col("text_key") == F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = stored(texts.select("data", "_node").mapInArrow(_node_sets, "node long, grams binary"), f"{at}/sets")
     free_shuffles(spark)
-    summed = counts.filter("n is not null").groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n")).filter(PER * F.col("n") >= SHARE * (F.col("na") + F.col("nb") - F.col("n")))
-    found = stored(counts.filter("n is null").select("a", "b").unionByName(summed.select("a", "b")), f"{at}/links")
+
+    wanted = tasks.select("task", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"), F.lit(2).alias("side"), F.col("a").alias("node"), F.col("b").alias("other"), "na", "nb")
+    counts = _compared(sets, of_pairs.select("node", "task", "side"), f"{at}/overlaps", wanted)
+    summed = counts.groupBy("a", "b", "na", "nb").agg(F.sum("n").alias("n")).filter(PER * F.col("n") >= SHARE * (F.col("na") + F.col("nb") - F.col("n")))
+    found = summed.select("a", "b")
+    for some in _crowd_links(crowds, sets, f"{at}/crowd"):
+        found = found.unionByName(some)
+    found = stored(found, f"{at}/links")
+    for name in ("partial", "sets", "overlaps"):
+        discard(spark, f"{at}/{name}")
 
     roots = components(found, "a", "b", f"{at}/components")
     named = nodes.select("node", "least_id").join(roots, "node")

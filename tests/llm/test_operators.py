@@ -118,6 +118,28 @@ def test_join_of_a_crowd(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_classes(rows)
 
 
+def test_join_of_crowds_that_drift(spark):
+    """Texts that each change a little of the one before, so that only neighbours link, and clusters of one opening."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, w = [], [word() for _ in range(150)]
+    for i in range(180):
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            w[r.randrange(len(w))] = word()
+        if i == 90:
+            w[10:40] = [word() for _ in range(30)]  # a gap
+    opening, bases = [word() for _ in range(60)], [[word() for _ in range(60)] for _ in range(6)]
+    for i in range(300):
+        w = opening + bases[i % 6]
+        for _ in range(r.choice((0, 1, 2, 3, 4))):
+            w[r.randrange(len(w))] = word()
+        rows.append((1000 + i, " ".join(w)))
+    got = shingle_join.op1(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute_classes(rows)
+    assert rows_of(got, "doc_id", "n_shingles", "component_id") == want and len({c for _, _, c in want}) > 3
+
+
 def test_overlap_by_fragments():
     r = np.random.default_rng(0)
     a = np.unique(r.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2))
