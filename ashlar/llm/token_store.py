@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .common import partitions, prefix_sums, shared_dir, stored
+from .common import partitions, prefix_sums, release, shared_dir, stored
 
 END = 2
 #: A cut where the hash of the last 16 ids has its CUT_BITS top bits zero: every 2**CUT_BITS ids on average.
@@ -105,7 +105,7 @@ def _encode(path: str, end: int):
                     digests.append(d)
                     lengths.append(to - last)
                     if d not in seen:
-                        if len(seen) > 1_000_000:
+                        if len(seen) > 300_000:
                             seen.clear()
                         seen.add(d)
                         rows.append(("chunk", d, None, None, None, None, None, None, to - last, part))
@@ -115,6 +115,8 @@ def _encode(path: str, end: int):
             for i in range(0, len(rows), 2000):
                 columns = list(zip(*rows[i : i + 2000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RAW_ARROW)], schema=_RAW_ARROW)
+        seen.clear()
+        release()
 
     return run
 
