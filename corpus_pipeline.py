@@ -2,14 +2,18 @@
 
 Every stage takes all rows that the stage before kept, as written and reread Parquet, and its decisions take effect:
 
-1. ``quality``: rows that the base rules or their group's fences reject go.
-2. ``near_duplicates``: of each class of linked documents the one with the least id stays.
+1. ``quality``: rows that the base rules or their group's fences reject go. Null and wordless texts fail the base rules;
+   null ``lang`` and ``source`` are groups of their own; equal rows stay or go together.
+2. ``near_duplicates``: of each class of linked documents the row of the least id stays, and of rows equal in id and text
+   one. Rows of null id stay (one for each text); a null or wordless text is linked with nothing and stays.
 3. ``repeated_substrings``: strings of 200 bytes that start twice or more are taken out of the texts, whole characters
-   only; ``n_chars`` is counted again, and documents of which nothing but white space is left go.
-4. ``decontamination``: documents that benchmark windows cover to a twentieth or more go.
-5. ``packing``: the token ids of what is left, cut into sequences; a row for each piece.
+   only; ``n_chars`` is counted again (null becomes a number), and documents of which nothing but white space is left go,
+   so null and empty texts go.
+4. ``decontamination``: documents that benchmark windows cover to a twentieth or more go; null texts and null ids stay.
+5. ``packing``: the token ids of what is left, cut into sequences; a row for each piece. A null text is the end id alone.
 
-All stages but the last return the columns of ``documents``. A stage without rows gives none.
+Texts of any length are taken whole. All stages but the last return the columns of their input, more columns than those
+of ``documents`` and of any names included. A stage without rows gives none; equal rows are each packed.
 """
 
 from __future__ import annotations
