@@ -553,7 +553,7 @@ def manifest_rows(manifest: DataFrame) -> DataFrame:
     return manifest.filter(F.col("status").isin("dry-run", "reused", "decompressed", "written")).select("id", "path", "bytes", "label", "status")
 
 
-def listing_rows(entries: DataFrame) -> DataFrame:
-    """The rows of the listing file."""
+def listing_rows(entries: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """The rows of the listing file, after the columns ``more``."""
     name = F.when(F.startswith("path", F.lit("(unnamed ")), F.lit("(unnamed)")).otherwise(F.col("path"))
-    return entries.filter("error is null").select("id", name.alias("path"), "offset", F.col("stored_size").alias("stored"), F.col("original_size").alias("original"), "compression")
+    return entries.filter("error is null").select(*(more or []), "id", name.alias("path"), "offset", F.col("stored_size").alias("stored"), F.col("original_size").alias("original"), "compression")

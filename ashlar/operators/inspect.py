@@ -56,7 +56,7 @@ def report(files: DataFrame) -> DataFrame:
     )
 
 
-def inspect_tree(spark: SparkSession, root: str, out: str | None = None, copy: bool = False, most: int = sources.MOST_FILES) -> tuple[DataFrame, DataFrame, bool]:
+def inspect_tree(spark: SparkSession, root: str, out: str | None = None, copy: bool = False, most: int | None = sources.MOST_FILES) -> tuple[DataFrame, DataFrame, bool]:
     """(reports by path, errors (path, error), whether the walk was cut off) of the files below ``root``, or of one file.
 
     With ``copy`` the files are copied to ``out``/copies first and the copies are looked at; a file that cannot be copied

@@ -729,13 +729,19 @@ _SCANNED = "g AS (SELECT vec_id, (3 + vec_id % 5)::BIGINT AS n, vec_id % 7 AS y,
 def _geometry(spark, sf_dir):
     """Points (i, vec_id % 7, -i), a triangle for each of them after the second; the fourth value is not one in every third file."""
 
+    at = shared_dir(spark)
+
     def build(key: int):
         n = 3 + key % 5
         triangles = [v for i in range(2, n) for v in (0, i - 1, i)]
         content = builders.geometry([(i, key % 7, -i) for i in range(n)], 0.0 if key % 3 == 0 else 1.0, triangles, 100 + key % 4)
-        yield {"path": str(key), "length": len(content), "content": content}
+        store, folder = sources.opened(at)
+        for name in (f"{key % 10}/{key}.ghg", f"{key % 10}/{key}.GHG"):  # the second is not read: the name's case counts
+            sources.written(store, f"{folder}/{name}", iter([content]))
+        yield {"key": key}
 
-    return flat_map(read(spark, sf_dir, "embeddings"), ["vec_id"], build, "path string, length long, content binary")
+    stored(flat_map(read(spark, sf_dir, "embeddings"), ["vec_id"], build, "key long"))
+    return sources.geometry(spark, at).withColumn("path", F.regexp_extract("path", "([0-9]+)[.]ghg$", 1))
 
 
 @query(f"""
@@ -801,3 +807,197 @@ def scene_validate(spark, sf_dir):
     whole = F.struct(F.array(entity(*[F.lit(-1)] * len(keys)), entity(*broken)).alias("entities"), *[F.array(F.col(f"_{k}")).alias(a) for a, k in arrays.items()])
     checks = {"mesh": scene.mesh, "texture": scene.texture, "material": scene.material, "skeleton": scene.skeleton, "clip": scene.clip, "audio": scene.audio, "box": scene.box}
     return held.withColumn("_s", whole).select("vec_id", *[check(F.col(f"_{k}")).alias(k) for k, check in checks.items()], scene.scene(F.col("_s")).alias("scene"))
+
+
+@query(f"""
+WITH {_SCANNED} SELECT 8::BIGINT AS stride, count(*) AS buffers, 0 AS usage, 6 AS type, 0 AS stream FROM g""")
+def ghg_elements(spark, sf_dir):
+    found = stored(geometry.objects(_geometry(spark, sf_dir)))
+    kinds = geometry.element_kinds(found)
+    return geometry.strides(found).join(kinds, F.col("buffers") == F.col("n")).select("stride", "buffers", "usage", "type", "stream")
+
+
+@query("""
+SELECT (['fine', 'NU20 does not reach the trailer', 'too small', 'no RESH header', 'no NU20 block'])[1 + vec_id % 5] AS failure, count(*) AS files FROM embeddings GROUP BY 1""")
+def ghg_containers(spark, sf_dir):
+    def build(key: int):
+        content = bytearray(builders.geometry([(0, 0, 0), (1, 0, 0), (0, 1, 0)], 1.0, [0, 1, 2], 1))
+        if key % 5 == 3:
+            content[8:16] = b"HSERXXXX"
+        elif key % 5 == 4:
+            content[content.index(b"02UN")] = 0
+        yield {"path": str(key), "content": bytes(content + b"x" if key % 5 == 1 else content[:10] if key % 5 == 2 else content)}
+
+    files = flat_map(read(spark, sf_dir, "embeddings"), ["vec_id"], build, "path string, content binary")
+    return geometry.container_report(files).select(F.coalesce("failure", F.lit("fine")).alias("failure"), "files")
+
+
+@query(f"WITH {_ENTRIES} SELECT count(*) AS entries FROM o")
+def archive_total(spark, sf_dir):
+    return archive.total_entries(archive.listing(_archives(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_ENTRIES} SELECT archive, id::BIGINT AS id, coalesce(name, '(unnamed)') AS path, "offset", b AS stored, c AS original, low AS compression FROM o""")
+def archive_tsv(spark, sf_dir):
+    """The listing file, written and read back."""
+    at = shared_dir(spark)
+    entries = archive.listing(_archives(spark, sf_dir))
+    sources.write_tsv(archive.listing_rows(entries, ["archive"]), at)
+    kinds = "archive string, id long, path string, offset long, stored long, original long, compression long"
+    return spark.read.option("sep", "\t").option("header", "true").schema(kinds).csv(at).withColumn("archive", _number("archive"))
+
+
+@query(f"""
+WITH {_ENTRIES}, p AS (SELECT archive, id, row_number() OVER (ORDER BY archive::VARCHAR || '.dat', id) - 1 AS no FROM o WHERE kind = 'packed') SELECT archive, id::BIGINT AS id FROM p WHERE no % 25 = 0""")
+def packed_sample(spark, sf_dir):
+    """Every 25th packed entry that lies in its archive, over all archives in the order of their paths."""
+    return archive.packed_entries(stored(archive.listing(_archives(spark, sf_dir))), 25).select(_number("archive"), "id")
+
+
+@query("""
+SELECT CASE WHEN strlen(html) < 8 THEN 'file too small for a DAT header' ELSE 'table offset rule did not match: no reading ends at the end of the file' END AS error, count(*) AS files FROM pages GROUP BY 1""")
+def archive_failures(spark, sf_dir):
+    entries = archive.listing(_page_files(spark, sf_dir))
+    return entries.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"""
+WITH {_ENTRIES}, d AS (SELECT DISTINCT archive FROM o) SELECT archive, row_number() OVER (ORDER BY archive) AS place FROM d""")
+def archive_documents(spark, sf_dir):
+    """Archives in the natural order of their names: 2.dat before 10.dat."""
+    at = shared_dir(spark)
+    numbers = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / _PER).cast("bigint").alias("no")).distinct()
+
+    def touch(no: int):
+        store, folder = sources.opened(at)
+        for name in (f"{no}.dat", f".{no}.dat", f"{no}.txt"):
+            sources.written(store, f"{folder}/{name}", iter([b"x"]))
+        yield {"no": no}
+
+    stored(flat_map(numbers, ["no"], touch, "no long"))
+    names = sources.documents(spark, at)
+    return stats.numbered(names.select(_number("path"), F.monotonically_increasing_id().alias("_order")), ["_order"]).select("archive", (F.col("_no") + 1).alias("place"))
+
+
+# Files of pages: a folder for each last digit.
+def _page_tree(spark, sf_dir) -> str:
+    at = shared_dir(spark)
+
+    def put(key: int, html: bytes | None):
+        store, folder = sources.opened(at)
+        sources.written(store, f"{folder}/{key % 10}/{key}.html", iter([html or b""]))
+        yield {"key": key}
+
+    stored(flat_map(read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("html")), ["page_id", "html"], put, "key long"))
+    return at
+
+
+@query("SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS length, md5(coalesce(html, '')) AS md5 FROM pages")
+def file_tree(spark, sf_dir):
+    files, capped = sources.tree(spark, _page_tree(spark, sf_dir), None)
+    return files.select(F.regexp_extract("path", "([0-9]+)[.]html$", 1).cast("bigint").alias("page_id"), "length", F.md5("content").alias("md5"))
+
+
+@query(f"SELECT page_id, strlen(html)::BIGINT AS size, format, format <> 'unknown' AS recognized FROM (SELECT page_id, html, {_FORMAT} AS format FROM (SELECT page_id, html, hex(encode(html)) AS h FROM pages))")
+def copied_reports(spark, sf_dir):
+    """A tree of files is copied, and the copies are looked at."""
+    reports, errors, capped = inspect.inspect_tree(spark, _page_tree(spark, sf_dir), shared_dir(spark), copy=True, most=None)
+    return reports.select(F.regexp_extract("path", "([0-9]+)[.]html$", 1).cast("bigint").alias("page_id"), "size", "format", "recognized")
+
+
+@query(f"SELECT page_id::VARCHAR AS path, strlen(html)::BIGINT AS size, 'none' AS binary_kind, 'unknown' AS arch, format, format <> 'unknown' AS recognized FROM (SELECT page_id, html, {_FORMAT} AS format FROM (SELECT page_id, html, hex(encode(html)) AS h FROM pages))")
+def json_reports(spark, sf_dir):
+    lines = inspect.as_json(inspect.report(_page_files(spark, sf_dir)))
+    fields = F.from_json("value", "path string, size long, binary_kind string, arch string, format string, recognized boolean")
+    return lines.select(fields.alias("r")).select("r.*")
+
+
+@query(f"""
+WITH f AS (SELECT {_FORMAT} AS format FROM (SELECT hex(encode(html)) AS h FROM pages))
+SELECT 'files: ' || count(*) AS value FROM f UNION ALL SELECT 'unknown: ' || count(*) FILTER (format = 'unknown') FROM f UNION ALL SELECT unnest(['open_errors: 0', 'hit_file_cap: no', 'by_format:', 'by_arch:', 'by_graphics:', 'zip_extensions:'])
+UNION ALL SELECT '  ' || format || ' ' || count(*) FROM f GROUP BY format""")
+def report_summary(spark, sf_dir):
+    reports, none = stored(inspect.report(_page_files(spark, sf_dir))), spark.createDataFrame([], "path string, error string")
+    return spark.createDataFrame([(x,) for x in inspect.summary_lines(reports, none, False)], "value string")
+
+
+@query(f"SELECT format, count(*) AS n FROM (SELECT {_FORMAT} AS format FROM (SELECT hex(encode(html)) AS h FROM pages)) GROUP BY 1")
+def streamed_formats(spark, sf_dir):
+    """Files taken in by a stream that runs twice: the second run finds nothing new."""
+    from ..streaming import ingest
+
+    root, at = _page_tree(spark, sf_dir), shared_dir(spark)
+    for _ in range(2):
+        ingest.run_once(ingest.formats(spark, root), f"{at}/table", f"{at}/state")
+    return spark.read.parquet(f"{at}/table").groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Verbatim chunks of conversations: what the framing tells.
+_CHUNKED = """c AS (
+  SELECT conv_id::VARCHAR AS key, strlen(text)::BIGINT AS n, encode(text) AS raw, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS no, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations WHERE text <> '')"""
+
+
+@query(f"WITH {_CHUNKED} SELECT count(*) AS chunks, count(*) FILTER (no = m - 1 AND n > 32768) AS last_above, count(*) AS packed_at_least_raw, count(*) AS packed_equals_raw FROM c")
+def chunk_sizes(spark, sf_dir):
+    return codec.size_counts(stored(codec.chunks(_frames(spark, sf_dir))))
+
+
+@query(f"WITH {_CHUNKED} SELECT n AS raw_size, count(*) AS chunks FROM c WHERE no < m - 1 GROUP BY 1")
+def chunk_raw_sizes(spark, sf_dir):
+    return codec.raw_sizes(stored(codec.chunks(_frames(spark, sf_dir))))
+
+
+@query(f"""
+WITH {_CHUNKED}, b AS (SELECT ('0x' || substr(hex(raw), 1, 2))::BIGINT AS first_byte, count(*) AS chunks FROM c GROUP BY 1)
+SELECT first_byte, chunks, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY chunks DESC, first_byte DESC) AS rank FROM b) WHERE rank <= 24""")
+def chunk_first_bytes(spark, sf_dir):
+    return codec.first_bytes(codec.chunks(_frames(spark, sf_dir)))
+
+
+@query(f"""
+WITH {_CHUNKED}, f AS (SELECT key, no, hex(raw) AS h FROM c ORDER BY key, no LIMIT 4000), b AS (SELECT key, no, substr(h, i, 2) AS x, count(*) AS k FROM (SELECT key, no, h, unnest(range(1, length(h), 2)) AS i FROM f) GROUP BY ALL),
+p AS (SELECT key, no, k / sum(k) OVER (PARTITION BY key, no) AS p FROM b), e AS (SELECT key, no, -sum(p * log2(p)) AS e FROM p GROUP BY ALL)
+SELECT count(*) AS chunks, round(avg(e), 4) AS mean, round(min(e), 4) AS least, round(max(e), 4) AS largest FROM e""")
+def chunk_entropies(spark, sf_dir):
+    e = codec.entropies(stored(codec.chunks(_frames(spark, sf_dir))))
+    return e.select("chunks", *[F.round(c, 4).alias(c) for c in ("mean", "least", "largest")])
+
+
+@query(f"WITH {_CHUNKED} SELECT key, no::INT AS chunk_no, n AS raw_size, n AS packed_size, substr(hex(raw), 1, 256) AS head FROM c ORDER BY n, key, no LIMIT 24")
+def smallest_chunks(spark, sf_dir):
+    return codec.smallest(codec.chunks(_frames(spark, sf_dir))).select("key", "chunk_no", "raw_size", "packed_size", F.hex("head").alias("head"))
+
+
+@query(f"WITH {_CHUNKED}, m AS (SELECT key, count(*) AS n FROM c GROUP BY 1) SELECT least(n, 17)::BIGINT AS chunks, count(*) AS entries, max(n) AS most FROM m GROUP BY 1")
+def framing_counts(spark, sf_dir):
+    return codec.framing_report(codec.chunks(_frames(spark, sf_dir)))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT conv_id FROM conversations WHERE text <> ''), f AS (
+  SELECT conv_id::VARCHAR AS key, (['raw sizes do not add up to the expected size', 'no LZ2K magic at the start', 'payload runs past the entry', 'too small for a chunk header', NULL])[1 + conv_id % 5] AS failure FROM k)
+SELECT failure, count(*) AS entries, array_to_string(list_sort(list(key))[1:5], ',') AS examples FROM f WHERE failure IS NOT NULL GROUP BY 1""")
+def framing_failures(spark, sf_dir):
+    """Entries that are spoiled in four ways, by the number of the conversation."""
+    k, e = F.col("key").cast("bigint") % 5, F.col("entry")
+    spoiled = F.when(k == 1, F.concat(F.lit(b"X"), e)).when(k == 2, F.substring(e, F.lit(1), F.octet_length(e) - 1)).when(k == 3, F.substring(e, 1, 11)).otherwise(e)
+    rows = _frames(spark, sf_dir).select("key", spoiled.alias("entry"), F.when(k == 0, F.col("expected") + 1).otherwise(F.col("expected")).alias("expected"))
+    return codec.framing_failures(stored(codec.chunks(rows))).select("failure", "entries", F.array_join("examples", ",").alias("examples"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END::BIGINT AS number, CASE WHEN p_partkey % 2 = 0 THEN '.' || lower(replace(p_brand, '#', '')) || ',.tex' ELSE '.tex' END AS extensions, p_name AS printed, 'é' || p_name AS latin,
+  (['stored', 'unknown', 'LZ2K', 'unknown'])[1 + p_partkey % 4] AS compression, CASE WHEN z < 4095 THEN 0 ELSE least(z, (z + 1) - (z + 1) % 4096, 65536) END::BIGINT AS zeros FROM (SELECT *, (p_size * 700)::BIGINT AS z FROM part)""")
+def parsed_values(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.concat(k.cast("string"), F.when(k % 3 == 0, F.lit("x")).otherwise(F.lit("")))
+    listed = F.when(k % 2 == 0, F.concat(F.regexp_replace("p_brand", "#", ""), F.lit(",,TEX,.tex"))).otherwise(F.lit("tex,.TEX"))
+    name = F.col("p_name").cast("binary")
+    # UTF-8, or a byte that is no UTF-8 and is taken for Latin-1.
+    mixed = F.concat(F.when(k % 2 == 0, F.lit("é".encode())).otherwise(F.lit(b"\xe9")), name)
+    padded = F.concat(F.lit(b"12345678"), F.unhex(F.repeat(F.lit("00"), (F.col("p_size") * 700).cast("int"))), F.lit(b"x"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey", C.parse_count(text).cast("bigint").alias("number"), F.array_join(C.parse_extensions(listed), ",").alias("extensions"), C.printed_name(F.concat(name, F.lit(b"\0rest"))).alias("printed"),
+        C.text_or_latin(mixed).alias("latin"), C.compression_name(k % 4).alias("compression"), B.leading_zeros(padded).alias("zeros"),
+    )

@@ -15,18 +15,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MOST_FILES = 20_000
 
 
-def tree(spark: SparkSession, root: str, most: int = MOST_FILES, outside: str | None = None) -> tuple[DataFrame, bool]:
-    """(files below ``root``, or the file ``root``, as path, length, content; whether there are more than ``most``). Files below ``outside`` do not count; order is by path."""
+def tree(spark: SparkSession, root: str, most: int | None = MOST_FILES, outside: str | None = None) -> tuple[DataFrame, bool]:
+    """(files below ``root``, or the file ``root``, as path, length, content; whether there are more than ``most``; None: no limit). Files below ``outside`` do not count; order is by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     if outside:
         files = files.filter(~F.startswith("path", F.lit(outside.removeprefix("file:").rstrip("/") + "/")))
+    if most is None:
+        return files.select("path", "length", "content"), False
     capped = files.select("path").limit(most + 1).count() > most
     few = files.select("path").orderBy("path").limit(most)
     return files.join(few, "path", "left_semi").select("path", "length", "content"), capped
 
 
 def archives(spark: SparkSession, root: str) -> DataFrame:
-    """Files right in a folder whose extension starts with ``.dat``, in any case: (path, length). Their content is read by position, whatever their size."""
+    """Files right in a folder whose extension starts with ``.dat``, in any case, or the one file ``root`` of any name: (path, length). Their content is read by position, whatever their size."""
+    store, name = opened(root.removeprefix("file:") if root.startswith("file:/") else root) if "://" not in root else (None, root)
+    if store is not None and store.get_file_info(name).type.name == "File":
+        return spark.read.format("binaryFile").load(root).select("path", "length")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][aA][tT]*").load(root).select("path", "length")
     return files.filter(F.regexp_like("path", F.lit("\\.[dD][aA][tT][^./]*$")))
 
