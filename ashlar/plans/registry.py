@@ -876,8 +876,7 @@ def archive_documents(spark, sf_dir):
         yield {"no": no}
 
     stored(flat_map(numbers, ["no"], touch, "no long"))
-    names = sources.documents(spark, at)
-    return stats.numbered(names.select(_number("path"), F.monotonically_increasing_id().alias("_order")), ["_order"]).select("archive", (F.col("_no") + 1).alias("place"))
+    return sources.documents(spark, at).select(_number("path"), "place")
 
 
 # Files of pages: a folder for each last digit.

@@ -8,9 +8,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.window import Window
 
 MOST_FILES = 20_000
 
@@ -36,11 +37,17 @@ def archives(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(F.regexp_like("path", F.lit("\\.[dD][aA][tT][^./]*$")))
 
 
+def natural_key(name: Column) -> Column:
+    """Sorts names as people do: digits count as numbers (of at most 20 digits), letter case does not."""
+    padded = F.regexp_replace(F.lower(name), "([0-9]+)", "00000000000000000000$1")
+    return F.regexp_replace(padded, "0*([0-9]{20})", "$1")
+
+
 def documents(spark: SparkSession, root: str) -> DataFrame:
-    """Archives of a folder that are not hidden, in natural order of their names (binary order of names whose digits are padded)."""
+    """Archives of a folder that are not hidden, in the natural order of their names, with their ``place`` (1, 2 ...). A row for each archive meets in one task."""
     name = F.element_at(F.split("path", "/"), -1)
     found = archives(spark, root).filter(~F.startswith(name, F.lit(".")))
-    return found.orderBy(F.regexp_replace(F.lower(F.regexp_replace(name, "([0-9]+)", "00000000000000000000$1")), "0*([0-9]{20})", "$1"), "path")
+    return found.withColumn("place", F.row_number().over(Window.orderBy(natural_key(name), "path")).cast("bigint")).orderBy("place")
 
 
 def geometry(spark: SparkSession, root: str) -> DataFrame:
