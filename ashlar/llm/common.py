@@ -27,7 +27,23 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="ashlar-")
         spark.conf.set("spark.checkpoint.dir", base)
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/ashlar-{uuid.uuid4().hex}"
+    _MADE.append(f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/ashlar-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+#: Folders of this driver, in the order in which they were asked for.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many folders there are so far."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete the folders that were asked for after the first ``since``: what was read from them must have been written elsewhere."""
+    while len(_MADE) > since:
+        discard(spark, _MADE.pop())
 
 
 def ship(spark: SparkSession) -> None:
