@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ashlar.llm import decontaminate, packing, quality, shingle_join, substrings, tokens
-from ashlar.llm.common import shared_dir, ship, stored, table
+from ashlar.llm.common import discard, made, shared_dir, ship, stored, sweep, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +64,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written in the shared folder and reread."""
+    """All stages over ``documents``, each written in the shared folder and reread. What a stage has written besides goes when its result is written."""
     docs = table(spark, sf_dir, "documents")
     at = shared_dir(spark)
+    before = None
     for name, stage in STAGES[:-1]:
+        since = made()
         docs = stored(stage(spark, docs, sf_dir), f"{at}/{name}")
+        sweep(spark, since)
+        if before:
+            discard(spark, before)
+        before = f"{at}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
