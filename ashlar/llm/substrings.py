@@ -16,7 +16,8 @@ that, and only where they can tie:
 Buckets are dealt out by ranges of their pointer, as arrays: about one anchor for every 85 bytes. What one task holds
 twice it settles itself and sends once, so that a passage in a third of all texts comes once from each task. A bucket
 that step 2 splits into more than CROWD parts does not go to one task: its strings are dealt out one by one, by the
-pointers at all their offsets, and those with company at once have full depth. Equal texts are one text with copies, all of whose strings repeat.
+pointers at all their offsets, and those with company at once have full depth. Tasks tell of Q-grams that have many
+unlike surroundings; where these are more than HOT in all, the bucket is dealt out by the later pointers from the start. Equal texts are one text with copies, all of whose strings repeat.
 Texts are shuffled for step 3 and for the result.
 
 Pointers are 64-bit hashes of Q bytes; two strings are taken for equal only if the pointers of all their Q-grams are. Texts are
@@ -46,8 +47,10 @@ SEGMENT = 1 << 18
 FLUSH = 400_000
 #: Bytes of text for each range of buckets, and of contexts for each range of step 3.
 RANGE_BYTES, CONTEXT_BYTES = 16 << 20, 2 << 20
-#: Parts of a bucket that meet in one task.
-CROWD = 2000
+#: Parts of a bucket whose strings meet in one task, and whose anchors do.
+CROWD, HOT = 2000, 200_000
+#: Buckets that are dealt out in parts (8 bytes each in every worker); HOT is doubled until they are no more.
+MOST_HOT = 1_000_000
 
 _U = np.uint64
 _ROOT = _U(0x9E3779B97F4A7C15)
@@ -170,8 +173,8 @@ def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
     return ((_mixed(grams + _ROOT) >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
 
 
-def _collect(ranges: int):
-    """Entries of the task's texts: blobs for each range; runs that the task itself finds repeated."""
+def _collect(ranges: int, least: int):
+    """Entries of the task's texts: blobs for each range; runs that the task itself finds repeated; Q-grams of ``least`` parts or more."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         entries, heads, repeated = _groups(np.concatenate(held))
@@ -186,6 +189,12 @@ def _collect(ranges: int):
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *found.columns], schema=_SENT_ARROW)
         entries = entries[heads]
         entries["twice"] = repeated
+        grams, parts = np.unique(entries["gram"], return_counts=True)
+        many = np.zeros(int((parts >= least).sum()), dtype=_ENTRY)
+        if len(many):
+            many["gram"], many["first"] = grams[parts >= least], parts[parts >= least]
+            found = _found("many", many)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(many), pa.int32()), pa.nulls(len(many), pa.binary()), *found.columns], schema=_SENT_ARROW)
         to = _range_of(entries["gram"], ranges)
         order = np.argsort(to, kind="stable")
         to, entries = to[order], entries[order]
@@ -224,8 +233,33 @@ def _collect(ranges: int):
     return run
 
 
-def _settle(entries: np.ndarray, crowd: int = CROWD) -> list[pa.RecordBatch]:
-    """Buckets of one range: anchors whose spans repeat (run), and of buckets with unlike spans one anchor for each (ask, or crowd if they are more than ``crowd``)."""
+def _apart(ranges: int, hot: np.ndarray):
+    """Entries of the Q-grams in ``hot`` (sorted) are dealt out by their spans, in blobs of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                entries = np.frombuffer(blob, dtype=_ENTRY)
+                at = np.minimum(np.searchsorted(hot, entries["gram"]), len(hot) - 1)
+                mine = hot[at] == entries["gram"]
+                if not mine.any():
+                    rows.append((r, False, blob))
+                    continue
+                rows.append((r, False, entries[~mine].tobytes()))
+                some = entries[mine]
+                to = _range_of(some["span"], ranges)
+                rows += [(int(k), True, some[to == k].tobytes()) for k in np.unique(to)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 3, (pa.int32(), pa.bool_(), pa.binary()))], ["range", "hot", "entries"])
+
+    return run
+
+
+def _settle(entries: np.ndarray, crowd: int = CROWD, apart: bool = False) -> list[pa.RecordBatch]:
+    """Buckets of one range: anchors whose spans repeat (run), and of buckets with unlike spans one anchor for each (ask, or crowd if they are more than ``crowd``).
+
+    ``apart``: the buckets are known to be hot, and what is here is a part of each.
+    """
     entries, heads, repeated = _groups(entries)
     if not len(entries):
         return []
@@ -236,6 +270,8 @@ def _settle(entries: np.ndarray, crowd: int = CROWD) -> list[pa.RecordBatch]:
     bucket = np.cumsum(new) - 1
     spans, open_spans = np.bincount(bucket), np.bincount(bucket, weights=~repeated)
     ask, crowded = ((spans > 1) & (open_spans > 0))[bucket], (spans > crowd)[bucket]
+    if apart:
+        ask = crowded = np.ones(len(bucket), dtype=bool)
     out.append(_found("ask", entries[heads[ask & ~crowded]]))
     out.append(_found("crowd", entries[heads[ask & crowded]]))
     return out
@@ -247,7 +283,8 @@ def _blobs(table: pa.Table, column: str) -> list[bytes]:
 
 def _refine(crowd: int):
     def run(table: pa.Table) -> pa.Table:
-        found = _settle(np.frombuffer(b"".join(_blobs(table, "entries")), dtype=_ENTRY).copy(), crowd)
+        apart = bool(table.num_rows and table.column("hot")[0].as_py())
+        found = _settle(np.frombuffer(b"".join(_blobs(table, "entries")), dtype=_ENTRY).copy(), crowd, apart)
         return pa.Table.from_batches(found, schema=_FOUND_ARROW)
 
     return run
@@ -436,7 +473,20 @@ def _addressed(keyed: DataFrame, clashes: DataFrame | None) -> DataFrame:
     return keyed.join(clash, F.col("_key") == F.col("_clash"), "left").withColumn("_key", F.when(F.col("_clash").isNull(), F.col("_key")).otherwise(F.col("_twin"))).drop("_clash", "_twin")
 
 
-def repeats(docs: DataFrame, at: str, crowd: int = CROWD) -> tuple[DataFrame, DataFrame | None]:
+def _hot(sent: DataFrame, most: int) -> np.ndarray:
+    """Q-grams of which tasks have told more than ``most`` parts in all: MOST_HOT of them at most."""
+    sums = sent.filter("kind = 'many'").groupBy("gram").agg(F.sum(F.col("first").cast("long")).alias("parts")).filter(F.col("parts") > most)
+    found = sums.groupBy(F.floor(F.log2(F.col("parts") / most)).cast("int").alias("k")).count().collect()  # some dozens of rows
+    total, lowest = 0, 0
+    for k, n in sorted(found, reverse=True):
+        total += n
+        if total > MOST_HOT:
+            lowest = k + 1
+            break
+    return np.sort(np.array([r[0] for r in sums.filter(F.floor(F.log2(F.col("parts") / most)) >= lowest).select("gram").collect()], dtype=np.int64).view(_U))
+
+
+def repeats(docs: DataFrame, at: str, crowd: int = CROWD, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
     """(text key, copied, runs): of every text with repeated strings, where they start; ``copied`` if the text itself repeats.
 
     A run is (first, count): ``count`` strings of LENGTH bytes that start at ``first`` and next to each other. And the
@@ -452,8 +502,11 @@ def repeats(docs: DataFrame, at: str, crowd: int = CROWD) -> tuple[DataFrame, Da
     ranges = max(partitions(spark), total // RANGE_BYTES + 1)
 
     long_ones = keyed.filter(F.octet_length("_data") >= LENGTH)
-    sent = stored(long_ones.select("_key", "_data").mapInArrow(_collect(ranges), _SENT), f"{at}/sent")
-    settled = sent.filter("entries is not null").select("range", "entries").groupBy("range").applyInArrow(_refine(crowd), _FOUND)
+    sent = stored(long_ones.select("_key", "_data").mapInArrow(_collect(ranges, max(2, min(64, hot // 64))), _SENT), f"{at}/sent")
+    dealt, many = sent.filter("entries is not null").select("range", F.lit(False).alias("hot"), "entries"), _hot(sent, hot)
+    if len(many):
+        dealt = dealt.select("range", "entries").mapInArrow(_apart(ranges, many), "range int, hot boolean, entries binary")
+    settled = dealt.groupBy("range", "hot").applyInArrow(_refine(crowd), _FOUND)
     settled = stored(settled, f"{at}/settled")
     own = stored(sent.filter("kind = 'run'").select("text", "first", "count"), f"{at}/own")
     discard(spark, f"{at}/sent")
@@ -539,16 +592,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
 
 
-def _joined(docs: DataFrame, keep: Column, name: str, crowd: int = CROWD) -> DataFrame:
+def _joined(docs: DataFrame, keep: Column, name: str, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
     """``keep`` under ``name``, with _data, _copied and _runs; other columns of ``docs`` can have any names."""
-    found, clashes = repeats(docs.select("doc_id", "text"), shared_dir(docs.sparkSession), crowd)
+    found, clashes = repeats(docs.select("doc_id", "text"), shared_dir(docs.sparkSession), crowd, hot)
     found = found.withColumnsRenamed({"text": "_text", "copied": "_copied", "runs": "_runs"})
     keyed = _addressed(_keyed(docs.select(keep.alias(name), "text")), clashes)
     return keyed.join(found.hint("shuffle_hash"), F.col("_key") == F.col("_text"), "left").select(name, "_data", "_copied", "_runs")
 
 
-def op9(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    return _joined(docs, F.col("doc_id"), "doc_id", crowd).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def op9(docs: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFrame:
+    return _joined(docs, F.col("doc_id"), "doc_id", crowd, hot).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame) -> DataFrame:

@@ -592,8 +592,8 @@ def test_substrings_of_a_crowd(spark):
     assert sum(x[2] for x in want) > 0
     kinds = {k for b in substrings._settle(substrings.anchors([(i, 0, t.encode()) for i, t in rows if t]), 3) for k in b.column(0).to_pylist()}
     assert "crowd" in kinds
-    for crowd in (1, 3, substrings.CROWD):
-        assert rows_of(substrings.op9(docs, crowd), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for crowd, hot in ((1, substrings.HOT), (3, 5), (substrings.CROWD, 20), (substrings.CROWD, substrings.HOT)):
+        assert rows_of(substrings.op9(docs, crowd, hot), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_substrings_keep_columns_of_any_name(spark):
