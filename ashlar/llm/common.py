@@ -49,11 +49,13 @@ def sweep(spark: SparkSession, since: int) -> None:
 def ship(spark: SparkSession) -> None:
     """Let Python workers that are started from now on import this package from where the driver has it.
 
-    Batches of rows for them are kept small, as texts may be long: a worker holds a batch at a time. Workers are used
+    Batches of rows for them are kept small, as texts may be long: a worker holds a batch at a time. (Where the session was
+    started with other sizes, these stay.) Workers are used
     again by later tasks, so their allocators are set to give large blocks back when they are freed.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(8 << 20))):
+        if f"spark.sql.execution.arrow.{name}" not in _chosen(spark):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
     env = spark.sparkContext.environment
     for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_MMAP_THRESHOLD_", str(4 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(16 << 20))):
         env.setdefault(name, value)
@@ -62,6 +64,11 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *parts])
 
 
+def _chosen(spark: SparkSession) -> set[str]:
+    """Settings that the session was started with."""
+    return {name for name, _ in spark.sparkContext.getConf().getAll()}
+
+
 def stored(df: DataFrame, at: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet at ``at`` (in the shared folder) and read it back: lineage ends here."""
     writer = df.write.mode("overwrite")
