@@ -150,7 +150,8 @@ def fences(sketch: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataF
             on = [F.col(c).eqNullSafe(F.col(f"_in_{c}")) for c in by[:k]]
             out = out.join(pools[k], on, "left")
         else:
-            out = out.join(F.broadcast(pools[0]))  # one row
+            whole = pools[0].first()  # one row of a dozen numbers, or none
+            out = out.withColumns({c: F.lit(whole[c] if whole else None).cast(kind) for c, kind in pools[0].dtypes})
         held = []
         for name, (_, _, low) in MEASURES.items():
             enough, sure = F.col(f"{name}_enough"), F.col(f"_in_{name}_enough") | F.lit(k == 0)
