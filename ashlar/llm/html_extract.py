@@ -46,38 +46,51 @@ class _Buckets(dict):
         return b
 
 
+class _Path:
+    """What is known of a path of elements: a number, the buckets of all its classes and ids, its last tags, its depth (to 12), and the buckets of all tokens."""
+
+    __slots__ = ("buckets", "classes", "depth", "no", "tags")
+
+    def __init__(self, no: int, classes: frozenset[int], tags: tuple[str, ...], depth: int):
+        self.no, self.classes, self.tags, self.depth, self.buckets = no, classes, tags, depth, None
+
+
 class Features:
-    """Hashed tokens of blocks. Those of a path are kept with its innermost element; what elements hand down is a set of buckets, of which there are BUCKETS."""
+    """Hashed tokens of blocks. Paths are kept in a tree by what stands under what, as pages repeat them; what is handed
+    down is a set of buckets, of which there are BUCKETS."""
 
     def __init__(self) -> None:
         self.words = _Buckets()
+        self.paths: dict[tuple, _Path] = {}
+        self.made = 0
 
-    def classes(self, element: Element | None) -> frozenset[int]:
-        """Buckets of all classes and ids from the element up, from the nearest element that has them worked out."""
-        above = []
-        while element is not None and element.known is None:
-            above.append(element)
-            element = element.parent
-        found = element.known[0] if element is not None else frozenset()
-        for e in reversed(above):
+    def _below(self, above: _Path | None, e: Element) -> _Path:
+        key = (above.no if above else 0, e.tag, e.names)
+        if (found := self.paths.get(key)) is None:
+            classes = above.classes if above else frozenset()
             own = [self.words[f"c {n}"] for n in e.names]
-            if any(x not in found for x in own):
-                found = found.union(own)
-            e.known = [found, None]
+            if any(x not in classes for x in own):
+                classes = classes.union(own)
+            if len(self.paths) > 50_000:
+                self.paths.clear()
+            self.made += 1
+            found = self.paths[key] = _Path(self.made, classes, ((above.tags if above else ()) + (e.tag,))[-8:], min(above.depth + 1 if above else 1, 12))
         return found
 
     def path(self, element: Element | None) -> list[int]:
         if element is None:
             return []
-        classes = self.classes(element)
-        if element.known[1] is None:
-            tokens, e = [f"l {element.tag}", f"d {min(element.depth, 12)}"], element
-            for _ in range(8):
-                if e is not None:
-                    tokens.append(f"t {e.tag}")
-                    e = e.parent
-            element.known[1] = sorted(classes.union(map(self.words.__getitem__, tokens)))
-        return element.known[1]
+        new, e = [], element
+        while e is not None and e.known is None:
+            new.append(e)
+            e = e.parent
+        known = e.known if e is not None else None
+        for e in reversed(new):
+            known = e.known = self._below(known, e)
+        if known.buckets is None:
+            tokens = [f"l {known.tags[-1]}", f"d {known.depth}", *(f"t {t}" for t in known.tags)]
+            known.buckets = sorted(known.classes.union(map(self.words.__getitem__, tokens)))
+        return known.buckets
 
     def __call__(self, block: Block) -> tuple[list[int], list[int], list[float]]:
         words = list(map(self.words.__getitem__, block.text.lower().split()))
