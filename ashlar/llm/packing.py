@@ -34,12 +34,12 @@ PIECES = "doc_id long, text_crc long, start long, length int, ids_crc32 long, do
 def _pieces(path: str, capacity: int, end: int, lean: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path, "spaced")
-        close = np.array([end], dtype="<u2").tobytes()
+        close = np.array([end], dtype=encoder.dtype).tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             rows: list[tuple] = []
             for doc, text, packed in zip(ids, texts, encoder.encode(texts)):
-                whole = np.frombuffer(packed + close, dtype="<u2").astype("<u4")
+                whole = np.frombuffer(packed + close, dtype=encoder.dtype).astype("<u4")
                 mark = zlib.crc32(text)
                 for start in range(0, len(whole), capacity):
                     piece = whole[start : start + capacity]

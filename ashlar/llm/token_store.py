@@ -2,7 +2,7 @@
 
 Folder layout, all Parquet files written by Spark:
 
-* ``chunks``: digest (16 bytes), n_ids, payload (two-byte little-endian ids). Each distinct chunk is stored once.
+* ``chunks``: digest (16 bytes), n_ids, payload (little-endian ids of two bytes each, or four if the vocabulary has more than 65,536). Each distinct chunk is stored once.
 * ``recipes``: for each document in ascending id order, its start, n_tokens, the digests and lengths of its chunks and
   the Merkle root over them; ``file_no`` orders the files.
 * ``manifest``: for each recipe file its first and last id, ids held, and the Merkle root over its documents' roots.
@@ -86,21 +86,28 @@ def _digest(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def _encode(path: str, end: int):
+def _ids(raw: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of a payload, whose size tells how wide they are."""
+    return np.frombuffer(raw, dtype={2 * n: "<u2", 4 * n: "<u4"}[len(raw)])
+
+
+def _encode(path: str, end: int, wide: bool = False):
     """Rows of kind ``chunk`` (the first of its digest in this task) and ``recipe``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, close = tokens.encoder(path, "words"), np.array([end], dtype="<u2").tobytes()
+        encoder = tokens.encoder(path, "words", wide)
+        close = np.array([end], dtype=encoder.dtype).tobytes()
+        width = len(close)
         seen: set[bytes] = set()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or b"" for t in batch.column(1).to_pylist()]
             rows = []
             for doc, text, packed in zip(docs, texts, encoder.encode(texts)):
                 raw = packed + close
-                ids = np.frombuffer(raw, dtype="<u2")
+                ids = np.frombuffer(raw, dtype=encoder.dtype)
                 digests, lengths, last = [], [], 0
                 for to in cuts(ids):
-                    part = raw[2 * last : 2 * to]
+                    part = raw[width * last : width * to]
                     d = _digest(part)
                     digests.append(d)
                     lengths.append(to - last)
@@ -121,14 +128,14 @@ def _encode(path: str, end: int):
     return run
 
 
-def write(docs: DataFrame, path: str, at: str, end: int = END) -> None:
+def write(docs: DataFrame, path: str, at: str, end: int = END, wide: bool = False) -> None:
     """Encode every text once and write the store at ``at``.
 
     Chunks meet their copies in one shuffle by digest, in which only the first of each task takes part: a chunk that
     a third of the documents share comes once from each task. Recipes ride in the same shuffle, dealt by document.
     """
     spark = docs.sparkSession
-    raw = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_encode(path, end), _RAW)
+    raw = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_encode(path, end, wide), _RAW)
     met = raw.repartition(partitions(spark), "kind", "key")
     no = F.row_number().over(Window.partitionBy("kind", "key").orderBy("n_ids"))
     met.withColumn("_no", no).filter("kind = 'recipe' or _no = 1").drop("_no").write.partitionBy("kind").parquet(f"{at}/chunks_and_recipes")
@@ -171,9 +178,9 @@ def _checked_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         keys, counts, crcs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
         for key, n, raw in zip(keys, counts, batch.column(2).to_pylist()):
-            if _digest(raw) != key or len(raw) != 2 * n:
+            if _digest(raw) != key or len(raw) not in (2 * n, 4 * n):
                 raise ValueError(f"chunk {key.hex()} does not match its digest")
-            crcs.append(zlib.crc32(np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()))
+            crcs.append(zlib.crc32(_ids(raw, n).astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int32()), pa.array(crcs, pa.int64())], ["key", "n_ids", "crc"])
 
 
@@ -256,13 +263,13 @@ def read(spark: SparkSession, at: str) -> DataFrame:
 
 def ids_of(spark: SparkSession, at: str, docs: DataFrame) -> DataFrame:
     """The ids themselves (array<int>) of the documents in ``docs`` (doc_id), rebuilt from the store."""
-    chunks = spark.read.schema(_RAW).parquet(f"{at}/chunks_and_recipes").filter("kind = 'chunk'").select("key", "payload")
+    chunks = spark.read.schema(_RAW).parquet(f"{at}/chunks_and_recipes").filter("kind = 'chunk'").select("key", "n_ids", "payload")
     parts = _parts_of(spark, at).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(chunks, "key")
-    rows = parts.groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("no", "payload"))).alias("parts"))
+    rows = parts.groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("no", "n_ids", "payload"))).alias("parts"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [np.frombuffer(b"".join(p["payload"] for p in parts), dtype="<u2").astype(np.int32) for parts in batch.column(2).to_pylist()]
+            ids = [np.concatenate([_ids(p["payload"], p["n_ids"]) for p in parts]).astype(np.int32) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
     return rows.select("doc_id", "start", "parts").mapInArrow(rebuilt, "doc_id long, start long, ids array<int>")

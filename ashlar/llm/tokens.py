@@ -37,13 +37,14 @@ _CUT = re.compile(rb"(?<=[^\s]) (?=[^\s])")
 #: Byte -> the letter that stands for it in a byte-level vocabulary: itself if it can be printed, else the next from 256 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTER = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
-_KEPT: dict[tuple[str, str], "Encoder"] = {}
+_KEPT: dict[tuple[str, str, bool], "Encoder"] = {}
 
 
 class _Parts(dict):
-    """Part (UTF-8) -> its ids, two bytes each; makes what it lacks."""
+    """Part (UTF-8) -> its ids, little-endian numbers of ``kind`` (H: two bytes, I: four); makes what it lacks."""
 
-    def __init__(self, library, before: str, lower: bool):
+    def __init__(self, library, before: str, lower: bool, kind: str):
+        self.kind = kind
         self.library, self.model, self.before, self.lower = library, library.model, before, lower
         self.shown = before.encode().decode("latin-1").translate(_LETTER)
         self.old: dict[bytes, bytes] = {}
@@ -54,7 +55,7 @@ class _Parts(dict):
 
     def whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}H", *ids)
+        return pack(f"<{len(ids)}{self.kind}", *ids)
 
     def word(self, word: bytes) -> bytes:
         """Ids of letters alone."""
@@ -62,7 +63,7 @@ class _Parts(dict):
             if (ids := self.old_letters.get(word)) is None:
                 shown = word.decode("latin-1")
                 found = [t.id for t in self.model.tokenize(self.shown + (shown if word.isascii() else shown.translate(_LETTER)))]
-                ids = pack(f"<{len(found)}H", *found)
+                ids = pack(f"<{len(found)}{self.kind}", *found)
             self.letters[word] = ids
         return ids
 
@@ -108,23 +109,24 @@ class _Parts(dict):
 
 
 class Encoder:
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, wide: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.path = path
         plain = Tokenizer.from_file(path)
-        if plain.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept as two bytes each")
+        number = "I" if wide or plain.get_vocab_size() > 1 << 16 else "H"
+        #: Of each id in what ``one`` gives: two bytes, or four where the vocabulary needs them (or ``wide``).
+        self.dtype = {"H": "<u2", "I": "<u4"}[number]
         added = plain.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("added tokens are looked for as they stand")
-        self.added = {t.content.encode(): pack("<H", i) for i, t in added.items()}
+        self.added = {t.content.encode(): pack(f"<{number}", i) for i, t in added.items()}
         self.literal = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")")
         plain.encode_special_tokens = True  # texts are cut at these literals first: a part that has one got it by lower-casing
         self.spaced = {"words": False, "spaced": True}[kind]
-        self.first = _Parts(plain, "", False)
-        self.rest = _Parts(plain, " ", False) if self.spaced else _Parts(plain, "", True)
+        self.first = _Parts(plain, "", False, number)
+        self.rest = _Parts(plain, " ", False, number) if self.spaced else _Parts(plain, "", True, number)
         self.rest.after_line = self.first
 
     @property
@@ -135,7 +137,7 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def one(self, text: bytes) -> bytes:
-        """Little-endian two-byte ids of a text (UTF-8)."""
+        """Ids of a text (UTF-8), as ``dtype``."""
         if any(map(text.__contains__, self.added)):
             return b"".join(self.added[x] if k % 2 else self.between(x) for k, x in enumerate(self.literal.split(text)))
         return self.between(text)
@@ -162,11 +164,11 @@ class Encoder:
         release()
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, wide: bool = False) -> Encoder:
     """One for each Python worker."""
-    if (path, kind) not in _KEPT:
-        _KEPT[path, kind] = Encoder(path, kind)
-    return _KEPT[path, kind]
+    if (path, kind, wide) not in _KEPT:
+        _KEPT[path, kind, wide] = Encoder(path, kind, wide)
+    return _KEPT[path, kind, wide]
 
 
 def vocabulary(name: str) -> str:

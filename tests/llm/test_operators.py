@@ -698,3 +698,16 @@ def test_patterns_leave_the_least_slack():
                 for k, n in used.items():
                     left[k] -= n
         assert not any(left.values())
+
+
+def test_wide_ids(spark, tmp_path):
+    """Four bytes an id, as a vocabulary of more than 65,536 needs."""
+    docs, at = table(spark, SF, "documents").filter("doc_id < 40"), str(tmp_path / "wide")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = dict(brute_ids(WORDS, rows, token_store.END))
+    e = tokens.Encoder(WORDS, "words", wide=True)
+    assert e.dtype == "<u4" and all(e.one((t or "").encode()) == want[d][:-1].tobytes() for d, t in rows)
+    token_store.write(docs, WORDS, at, wide=True)
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_store.read(spark, at).collect()}
+    assert got == {d: (len(i), zlib.crc32(i.tobytes())) for d, i in want.items()}
+    assert {r.doc_id: r.ids for r in token_store.ids_of(spark, at, docs).collect()} == {d: i.tolist() for d, i in want.items()}
