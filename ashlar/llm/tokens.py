@@ -23,7 +23,7 @@ from struct import pack
 from .common import release
 
 #: Entries in each of the two generations of parts, and of words without their marks; about 200 bytes an entry.
-MOST_PARTS, MOST_WORDS = 220_000, 220_000
+MOST_PARTS, MOST_WORDS = 320_000, 320_000
 #: Longer parts are encoded each time.
 LONGEST_PART = 64
 
