@@ -487,7 +487,8 @@ def extract(entries: DataFrame, files: DataFrame, out: str, extensions: list[str
         rows = rows.join(files.select(F.col("path").alias("_p"), "content"), F.col("archive") == F.col("_p")).drop("_p")
     else:
         rows = rows.withColumn("content", F.lit(None).cast("binary"))
-    rows = rows.repartition("path").sortWithinPartitions("path", "archive", "id")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes of rows can be much work
+    rows = rows.repartition(parts, "path").sortWithinPartitions("path", "archive", "id")
 
     def pieces(read, offset: int, size: int) -> Iterator[bytes]:
         """The range in pieces of COPY bytes, however large it is."""

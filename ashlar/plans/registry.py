@@ -404,6 +404,11 @@ def chunk_framing(spark, sf_dir):
     return codec.with_last(codec.chunks(_frames(spark, sf_dir))).select("key", "chunk_no", "header_offset", "raw_size", "is_last")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """As many tasks as the session has shuffle partitions: few bytes can be much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _packed(spark, sf_dir):
     """An entry for every conversation: its texts one after the other, in chunks of 512 bytes that are encoded."""
     turns = read(spark, sf_dir, "conversations").filter("text <> ''").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("xs"))
@@ -412,7 +417,7 @@ def _packed(spark, sf_dir):
     def pack(key: str, raw: bytes):
         yield {"key": key, "entry": builders.packed_entry(raw, 512), "expected": len(raw)}
 
-    return stored(flat_map(raw, ["key", "raw"], pack, "key string, entry binary, expected long"))
+    return _spread(stored(flat_map(_spread(raw, "key"), ["key", "raw"], pack, "key string, entry binary, expected long")), "key")
 
 
 @query("SELECT conv_id::VARCHAR AS key, string_agg(text, '' ORDER BY turn, role, text) AS text FROM conversations WHERE text <> '' GROUP BY 1")
@@ -533,7 +538,7 @@ def _archives(spark, sf_dir, verbatim: bool = True):
         sources.written(store, f"{folder}/{no}.dat", iter([builders.archive(entries)]))
         yield {"no": no}
 
-    stored(flat_map(groups, ["no", "cs"], build, "no long"))  # all are written before they are listed
+    stored(flat_map(_spread(groups, "no"), ["no", "cs"], build, "no long"))  # all are written before they are listed
     return sources.archives(spark, at)
 
 
