@@ -8,12 +8,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import format_of, leaf_extension
 from ..functions.rows import flat_map
+from ..sources.shared import stored
 from . import stats
 
 MAGIC, MOST_CHUNKS = b"LZ2K", 1 << 20
@@ -61,51 +61,54 @@ class Bits:
     STEP = 64
 
     def __init__(self, data: bytes):
-        self.data, self.size, self.at = data, 8 * len(data), 0
+        self.data, self.size = data, 8 * len(data)
         self.word, self.held, self.next = 0, 0, 0  # bits that are held, how many, next byte
 
-    def peek(self, n: int) -> int:
-        if self.held < n:
-            part = self.data[self.next : self.next + self.STEP]
-            self.word = (self.word << 8 * self.STEP) | (int.from_bytes(part, "big") << 8 * (self.STEP - len(part)))
-            self.held, self.next = self.held + 8 * self.STEP, self.next + self.STEP
-        return self.word >> (self.held - n)
-
-    def skip(self, n: int) -> None:
-        self.held -= n
-        self.word &= (1 << self.held) - 1
-        self.at += n
+    def fill(self) -> None:
+        part = self.data[self.next : self.next + self.STEP]
+        self.word = (self.word << 8 * self.STEP) | (int.from_bytes(part, "big") << 8 * (self.STEP - len(part)))
+        self.held, self.next = self.held + 8 * self.STEP, self.next + self.STEP
 
     def get(self, n: int) -> int:
-        v = self.peek(n)
-        self.skip(n)
+        if self.held < n:
+            self.fill()
+        self.held = held = self.held - n
+        v = self.word >> held
+        self.word &= (1 << held) - 1
         return v
 
+    @property
+    def at(self) -> int:
+        return 8 * self.next - self.held
+
     @property
     def short(self) -> bool:
         return self.at > self.size
 
 
 class Codes:
-    """Canonical prefix code; a single symbol takes no bits."""
+    """Canonical prefix code, as tables over the next ``longest`` bits; a single symbol takes no bits."""
 
     def __init__(self, lengths: list[int] | None, only: int | None = None):
-        self.only = only
+        self.longest, self.symbol, self.length = 0, [only], [0]
         if lengths is None:
             return
-        if sum(1 << (LONGEST_CODE - n) for n in lengths if n) != 1 << LONGEST_CODE:
+        # Symbols in the order of their codes; a code of n bits stands for 2 ** (longest - n) words.
+        ordered = sorted([(n, symbol) for symbol, n in enumerate(lengths) if n])
+        longest = ordered[-1][0] if ordered else 0
+        if not ordered or sum([1 << (longest - n) for n, _ in ordered]) != 1 << longest:
             raise Broken("code lengths do not make a full code")
-        # Symbols in the order of their codes; a code of n bits stands for 2 ** (16 - n) words of 16 bits.
-        ordered = sorted((n, symbol) for symbol, n in enumerate(lengths) if n)
-        widths = np.array([1 << (LONGEST_CODE - n) for n, _ in ordered])
-        self.symbol = np.repeat(np.array([symbol for _, symbol in ordered], dtype=np.int32), widths).tolist()
-        self.length = np.repeat(np.array([n for n, _ in ordered], dtype=np.int32), widths).tolist()
+        self.longest, self.symbol, self.length = longest, [], []
+        for n, symbol in ordered:
+            self.symbol += [symbol] * (1 << (longest - n))
+            self.length += [n] * (1 << (longest - n))
 
     def read(self, bits: Bits) -> int:
-        if self.only is not None:
-            return self.only
-        word = bits.peek(LONGEST_CODE)
-        bits.skip(self.length[word])
+        if bits.held < self.longest:
+            bits.fill()
+        word = bits.word >> (bits.held - self.longest)
+        bits.held = held = bits.held - self.length[word]
+        bits.word &= (1 << held) - 1
         return self.symbol[word]
 
 
@@ -155,9 +158,9 @@ def _char_codes(bits: Bits, temp: Codes) -> Codes:
 
 def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4) -> dict:
     """Decode ``size`` bytes: output, ok, failure, blocks, codes that the last block still has, and bytes of input left over."""
-    bits, out, blocks, failure, left = Bits(data), bytearray(), 0, None, 0
+    bits, out, n, blocks, failure, left = Bits(data), bytearray(), 0, 0, None, 0
     try:
-        while len(out) < size:
+        while n < size and not failure:
             if not left:
                 left = bits.get(16)
                 if not left:
@@ -166,21 +169,46 @@ def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4) -> dic
                 temp = _short_codes(bits, TEMP_CODES, TEMP_BITS, 3)
                 chars = _char_codes(bits, temp)
                 places = _short_codes(bits, dictionary + 1, positions, None)
-            left -= 1
-            symbol = chars.read(bits)
-            if symbol < 256:
-                out.append(symbol)
-            else:
-                length, slot = symbol - 253, places.read(bits)
-                distance = 1 if slot == 0 else 1 + (1 << (slot - 1)) + bits.get(slot - 1)
-                if distance > len(out):
-                    raise Broken("match reaches before the chunk")
-                if len(out) + length > size:
-                    raise Broken("match runs past the declared raw size")
-                for _ in range(length):
-                    out.append(out[-distance])
-            if bits.short:
-                raise Broken("input ends before the output is full")
+            # Most of the time goes here: what is held is in local names, without calls.
+            symbols, lengths, longest = chars.symbol, chars.length, chars.longest
+            slots, slot_lengths, slot_longest = places.symbol, places.length, places.longest
+            word, held, past = bits.word, bits.held, 8 * bits.next - bits.size
+            while left and n < size:
+                if held < 64:  # a code, a slot and its further bits are at most 47
+                    bits.word, bits.held = word, held
+                    bits.fill()
+                    word, held, past = bits.word, bits.held, 8 * bits.next - bits.size
+                left -= 1
+                at = word >> (held - longest)
+                held -= lengths[at]
+                word &= (1 << held) - 1
+                symbol = symbols[at]
+                if symbol < 256:
+                    out.append(symbol)
+                    n += 1
+                else:
+                    at = word >> (held - slot_longest)
+                    held -= slot_lengths[at]
+                    word &= (1 << held) - 1
+                    length, slot = symbol - 253, slots[at]
+                    distance = 1 + slot
+                    if slot > 1:
+                        held -= slot - 1
+                        distance = 1 + (1 << (slot - 1)) + (word >> held)
+                        word &= (1 << held) - 1
+                    if distance > n:
+                        failure = "match reaches before the chunk"
+                        break
+                    if n + length > size:
+                        failure = "match runs past the declared raw size"
+                        break
+                    part = out[n - distance : n - distance + length]
+                    out += part if distance >= length else (part * (length // distance + 1))[:length]
+                    n += length
+                if held < past:
+                    failure = "input ends before the output is full"
+                    break
+            bits.word, bits.held = word, held
     except Broken as e:
         failure = str(e)
     return {"output": bytes(out), "ok": failure is None, "failure": failure, "blocks": blocks, "codes_left": left, "left": len(data) - -(-bits.at // 8)}
@@ -249,13 +277,17 @@ def scoreboard(entries: DataFrame) -> DataFrame:
             yield {"key": key, "chunk_no": None, "parameters": name, "ok": None, "left": None, "failure": None, "entry_ok": good and size == expected}
 
     rows = flat_map(entries, ["key", "entry", "expected"], tried, "key string, chunk_no int, parameters string, ok boolean, left long, failure string, entry_ok boolean")
-    totals = rows.groupBy("parameters").agg(
-        F.count("entry_ok").alias("entries"), F.count_if("entry_ok").alias("entries_ok"), F.count("chunk_no").alias("chunks"), F.count_if("ok").alias("ok"), F.count_if(F.col("left") == 0).alias("exact_end"),
+    # Entries are decoded once: what is left of them are counts and the first key and chunk of each outcome.
+    known = rows.groupBy("parameters", "ok", "left", "failure", "entry_ok").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "chunk_no")).alias("first"))
+    known = stored(known)
+    many = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0).cast("bigint"))
+    entry_ok, ok = F.col("entry_ok"), F.col("ok")
+    totals = known.groupBy("parameters").agg(
+        many(entry_ok.isNotNull()).alias("entries"), many(entry_ok).alias("entries_ok"), many(ok.isNotNull()).alias("chunks"), many(ok).alias("ok"), many(F.col("left") == 0).alias("exact_end"),
     )
     to_map = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value))))
-    slack = rows.filter("left is not null").groupBy("parameters", "left").count().groupBy(F.col("parameters").alias("_s")).agg(to_map("left", "count").alias("slack"))
-    first = F.min(F.struct("key", "chunk_no")).alias("first")
-    failed = rows.filter("failure is not null").groupBy("parameters", "failure").agg(F.count(F.lit(1)).alias("n"), first)
+    slack = known.filter("left is not null").groupBy("parameters", "left").agg(many(F.lit(True)).alias("n")).groupBy(F.col("parameters").alias("_s")).agg(to_map("left", "n").alias("slack"))
+    failed = known.filter("failure is not null").groupBy("parameters", "failure").agg(many(F.lit(True)).alias("n"), F.min("first").alias("first"))
     failed = failed.groupBy(F.col("parameters").alias("_f")).agg(to_map("failure", "n").alias("failures"), to_map("failure", "first").alias("first_failures"))
     return totals.join(slack, F.col("parameters") == F.col("_s"), "left").join(failed, F.col("parameters") == F.col("_f"), "left").drop("_s", "_f")
 

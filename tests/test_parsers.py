@@ -113,6 +113,20 @@ def test_scoreboard(spark):
     assert [(x.extension, x.key, bytes(x.head), x.format) for x in sniffed] == [(".tex", "a", b"ABCCCCxyz", "unknown")]
 
 
+def test_scoreboard_decodes_once(spark):
+    entry = X.frame(6, X.lh5_bytes())
+    rows = spark.createDataFrame([("a", bytearray(entry), 6)], "key string, entry binary, expected long")
+    board = codec.scoreboard(rows)
+    assert board.filter("parameters = 'lh5'").first().slack == {0: 1}
+    assert "MapInArrow" not in board._jdf.queryExecution().toString()  # the counts that follow do not decode anew
+
+
+def test_tables_are_as_long_as_their_codes():
+    codes = codec.Codes([2, 1, 0, 2])
+    assert (codes.symbol, codes.length) == ([1, 1, 0, 3], [1, 1, 2, 2])
+    assert (codec.Codes(None, 7).symbol, codec.Codes(None, 7).length) == ([7], [0])
+
+
 def test_tables_of_codes():
     w = X.BitWriter()
     for value, n in ((1, 16), (0, 5), (31, 5)):
