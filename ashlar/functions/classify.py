@@ -162,12 +162,19 @@ def compression_name(code: Column) -> Column:
     return F.when(code == 0, F.lit("stored")).when(code == 2, F.lit("LZ2K")).otherwise(F.lit("unknown"))
 
 
-def format_bytes(n: Column) -> Column:
-    """``N B``, or one decimal of the largest binary unit up to TiB."""
-    out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-    for k, unit in enumerate(("KiB", "MiB", "GiB")):
-        out = out.when(n < 1024 ** (k + 2), F.format_string(f"%.1f {unit}", n / float(1024 ** (k + 1))))
-    return out.otherwise(F.format_string("%.1f TiB", n / float(1024**4)))
+def format_bytes(n: Column, units: tuple[str, ...] = ("KiB", "MiB", "GiB", "TiB")) -> Column:
+    """``N B``, or one decimal of the largest binary unit that fits; null for null.
+
+    As printf rounds: the exact value, a half to the even digit. The fraction of a whole number of bytes has 40 bits
+    at most, so its tenfold is exact; the JVM's own ``%.1f`` rounds a half up.
+    """
+    out = F.when(n.isNull(), F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
+    for k, unit in enumerate(units):
+        value = n.cast("double") / float(1024 ** (k + 1))
+        whole = F.floor(value)
+        text = F.format_string(f"%.1f {unit}", whole + F.rint((value - whole) * 10) / 10)
+        out = out.otherwise(text) if unit == units[-1] else out.when(n < 1024 ** (k + 2), text)
+    return out
 
 
 def parse_extensions(text: Column) -> Column:

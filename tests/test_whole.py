@@ -1,8 +1,10 @@
 """Queries over whole tables, and on rows of their own."""
 
 import duckdb
+from pyspark.sql import functions as F
 from test_queries import SF, canonical
 
+from ashlar.functions import classify as C
 from ashlar.operators import archive
 from ashlar.plans import registry
 
@@ -49,3 +51,18 @@ def test_entropy_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.entropy for r in registry.queries()["byte_entropy"](spark, str(tmp_path)).collect()}
     assert got == {0: 1.0, 1: 2.0, 2: 0.0003}
+
+
+def test_sizes_round_as_printf(spark, tmp_path):
+    sizes = [None, 0, 1023, 1024, 1280, 1792, 3328, 1048575, 1048576, 1310720, 1073741823, 1342177280, (1 << 40) - 1, 1 << 40, (1 << 40) + (1 << 38), (1 << 53) + 2, 9 * 10**18]
+    sizes += [k * 128 + d for k in range(8, 60) for d in (-1, 0, 1)]
+    rows = spark.createDataFrame([(6 * i, n) for i, n in enumerate(sizes)], "doc_id long, n_chars long")  # the query scales each sixth by one
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(registry.ORACLES["format_bytes"]).df()
+    assert canonical(registry.queries()["format_bytes"](spark, str(tmp_path)).toPandas()) == canonical(want)
+    up_to_tib = rows.select("n_chars", C.format_bytes(F.col("n_chars")).alias("size")).filter("n_chars >= 1024").collect()
+    for r in up_to_tib:
+        k = max(k for k in range(1, 5) if r.n_chars >= 1024**k)
+        assert r.size == f"{r.n_chars / 1024**k:.1f} {'KMGT'[k - 1]}iB"
