@@ -156,18 +156,28 @@ def _char_codes(bits: Bits, temp: Codes) -> Codes:
     return Codes(lengths)
 
 
-def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4) -> dict:
-    """Decode ``size`` bytes: output, ok, failure, blocks, codes that the last block still has, and bytes of input left over."""
+def lzh(data: bytes, size: int, dictionary: int = 13, positions: int = 4, opening: list | None = None) -> dict:
+    """Decode ``size`` bytes: output, ok, failure, blocks, codes that the last block still has, and bytes of input left over.
+
+    What the first block has before its positions is the same for all parameter sets: an empty list ``opening`` takes
+    it, and it is not read again when the list comes with the same data.
+    """
     bits, out, n, blocks, failure, left = Bits(data), bytearray(), 0, 0, None, 0
     try:
         while n < size and not failure:
             if not left:
-                left = bits.get(16)
-                if not left:
-                    raise Broken("block of no symbols")
-                blocks += 1
-                temp = _short_codes(bits, TEMP_CODES, TEMP_BITS, 3)
-                chars = _char_codes(bits, temp)
+                if opening and not blocks:
+                    left, chars, bits.word, bits.held, bits.next = opening
+                    blocks = 1
+                else:
+                    left = bits.get(16)
+                    if not left:
+                        raise Broken("block of no symbols")
+                    blocks += 1
+                    temp = _short_codes(bits, TEMP_CODES, TEMP_BITS, 3)
+                    chars = _char_codes(bits, temp)
+                    if opening is not None and blocks == 1:
+                        opening += [left, chars, bits.word, bits.held, bits.next]
                 places = _short_codes(bits, dictionary + 1, positions, None)
             # Most of the time goes here: what is held is in local names, without calls.
             symbols, lengths, longest = chars.symbol, chars.length, chars.longest
@@ -265,16 +275,18 @@ def scoreboard(entries: DataFrame) -> DataFrame:
         found, _, failure = frames(entry or b"", expected)
         if failure:
             return
-        for name, dictionary, positions in PARAMETERS:
-            good, size = True, 0
-            for no, (at, raw, packed) in enumerate(found):
+        good, sizes = {p: True for p, _, _ in PARAMETERS}, {p: 0 for p, _, _ in PARAMETERS}
+        for no, (at, raw, packed) in enumerate(found):
+            payload, opening = entry[at + 12 : at + 12 + packed], []
+            for name, dictionary, positions in PARAMETERS:
                 if raw == packed:
-                    size += raw
+                    sizes[name] += raw
                     continue
-                got = lzh(entry[at + 12 : at + 12 + packed], raw, dictionary, positions)
-                good, size = good and got["ok"], size + len(got["output"])
+                got = lzh(payload, raw, dictionary, positions, opening)
+                good[name], sizes[name] = good[name] and got["ok"], sizes[name] + len(got["output"])
                 yield {"key": key, "chunk_no": no, "parameters": name, "ok": got["ok"], "left": got["left"] if got["ok"] else None, "failure": got["failure"], "entry_ok": None}
-            yield {"key": key, "chunk_no": None, "parameters": name, "ok": None, "left": None, "failure": None, "entry_ok": good and size == expected}
+        for name, _, _ in PARAMETERS:
+            yield {"key": key, "chunk_no": None, "parameters": name, "ok": None, "left": None, "failure": None, "entry_ok": good[name] and sizes[name] == expected}
 
     rows = flat_map(entries, ["key", "entry", "expected"], tried, "key string, chunk_no int, parameters string, ok boolean, left long, failure string, entry_ok boolean")
     # Entries are decoded once: what is left of them are counts and the first key and chunk of each outcome.

@@ -121,6 +121,16 @@ def test_scoreboard_decodes_once(spark):
     assert "MapInArrow" not in board._jdf.queryExecution().toString()  # the counts that follow do not decode anew
 
 
+def test_first_block_is_read_once_for_all_parameters():
+    data = X.lh5_bytes()
+    for stream in (data, data[:10], b"", data + b"\0" * 3):
+        opening = []
+        for _, dictionary, positions in codec.PARAMETERS:
+            assert codec.lzh(stream, 6, dictionary, positions, opening) == codec.lzh(stream, 6, dictionary, positions)
+    opening = []
+    assert codec.lzh(data, 6, opening=opening)["ok"] and opening
+
+
 def test_tables_are_as_long_as_their_codes():
     codes = codec.Codes([2, 1, 0, 2])
     assert (codes.symbol, codes.length) == ([1, 1, 0, 3], [1, 1, 2, 2])
